@@ -51,18 +51,31 @@ def concept_indicator_map(concept_sets: DataFrame, sheet: DataFrame, domain: str
 
 
 def indicator_words(pairs: DataFrame, indicators: list[str]) -> DataFrame:
-    """One row per concept: its indicators as bit words.
+    """One row per concept (and domain, if there is one): its indicators as bit words.
 
     A concept in several sets stays one row, so joining events to it never multiplies them.
     """
+    keys = [c for c in ("domain", CONCEPT) if c in pairs.columns]
     is_indicator = {name: (F.col(INDICATOR) == name).cast("int") for name in indicators}
     return (
-        pairs.select(CONCEPT, *flags.words(is_indicator, indicators))
-        .groupBy(CONCEPT)
+        pairs.select(*keys, *flags.words(is_indicator, indicators))
+        .groupBy(*keys)
         .agg(*flags.merged(indicators))
     )
 
 
+def domain_indicator_map(concept_sets: DataFrame, sheet: DataFrame, domains: list[str]) -> DataFrame:
+    """(domain, concept, indicator) for all given domains at once."""
+    named = F.array(*[F.when(F.col("domain").contains(d), F.lit(d)) for d in domains])
+    wanted = sheet.select(SET_NAME, INDICATOR, F.explode(F.array_compact(named)).alias("domain"))
+    return (
+        current_members(concept_sets)
+        .join(wanted, SET_NAME)
+        .select("domain", CONCEPT, INDICATOR)
+        .distinct()
+    )
+
+
 def sheet_indicators(sheet: DataFrame, domain: str | None = None) -> list[str]:
     """Indicator names of the sheet (of one domain), sorted: the only sheet content the driver reads."""
     if domain is not None:

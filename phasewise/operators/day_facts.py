@@ -14,9 +14,6 @@ from phasewise.names import (
 )
 
 POSITIVE = "PCR_AG_Pos"
-_DAYS = Window.partitionBy(PERSON)
-_SO_FAR = Window.partitionBy(PERSON).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
-_BEFORE = Window.partitionBy(PERSON).orderBy(STAY_START).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def day_facts_merge(frames: list[DataFrame], indicators: list[str], values: list[str] = [BMI]) -> DataFrame:
@@ -56,7 +53,7 @@ def _since_index() -> Column:
 def first_reinfection(facts: DataFrame, wait_days: int = REINFECTION_WAIT_DAYS) -> DataFrame:
     """Flag the first positive test day more than ``wait_days`` after the index date."""
     again = F.when((F.col(POSITIVE) == 1) & (_since_index() > wait_days), F.col(DATE))
-    first = F.min(again).over(_DAYS)
+    first = F.min(again).over(Window.partitionBy(PERSON))
     return facts.withColumn("_first", first).select(
         *facts.columns, F.when(F.col(DATE) == F.col("_first"), 1).otherwise(0).alias(REINFECTION)
     )
@@ -105,7 +102,8 @@ def stay_spans(visits: DataFrame) -> DataFrame:
         .groupBy(PERSON, STAY_START)
         .agg(F.max(STAY_END).alias(STAY_END))
     )
-    reach = F.max(STAY_END).over(_BEFORE)
+    earlier = Window.partitionBy(PERSON).orderBy(STAY_START).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(STAY_END).over(earlier)
     return (
         stays.where(F.col(STAY_END) >= F.col(STAY_START))
         .withColumn("reach", reach)
@@ -141,9 +139,9 @@ def during_any_stay(facts: DataFrame, visits: DataFrame, with_dates: bool = True
     latest = F.last("span", ignorenulls=True).over(
         ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    covering = covering(F.col("latest"))
+    stay = covering(F.col("latest"))
     return (
         rows.withColumn("latest", latest)
         .where(F.col("is_fact"))
-        .select(*facts.columns, *(covering if with_dates else covering[:1]))
+        .select(*facts.columns, *(stay if with_dates else stay[:1]))
     )

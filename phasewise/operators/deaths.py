@@ -5,16 +5,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from phasewise.functions.dates import mask, plausible
 from phasewise.functions.sizing import bounded
 from phasewise.names import (
-    CONCEPT, DATE, DEATH, EXTRACTION, FLOOR_DATE, HORIZON_DAYS, PERSON, SET_DECEASED, SET_HOSPICE,
+    CONCEPT, DATE, DEATH, EXTRACTION, FLOOR_DATE, HORIZON_DAYS, PERSON,
 )
-from phasewise.operators.codesets import concept_roles
 
 DEATH_DATE = "death_date"
 DISCHARGE = "discharge_to_concept_id"
 
 
 def _signs(
-    death: DataFrame, visits: DataFrame, cohort: DataFrame, concept_sets: DataFrame, sets: dict[str, str]
+    death: DataFrame, visits: DataFrame, cohort: DataFrame, roles: DataFrame
 ) -> DataFrame:
     """Registry rows and death or hospice discharges of cohort persons, in one shape.
 
@@ -22,12 +21,14 @@ def _signs(
     distinct dates.
     """
     none = F.lit(None).cast("date")
-    roles = concept_roles(concept_sets, sets).withColumnRenamed(CONCEPT, DISCHARGE)
+    ends = roles.where(F.col("deceased") | F.col("hospice")).select(
+        F.col(CONCEPT).alias(DISCHARGE), "deceased"
+    )
     registry = death.select(
         PERSON, F.col(DEATH_DATE).alias("registered"),
         none.alias("visit_start"), none.alias("visit_end"), F.lit(False).alias("deceased"),
     )
-    discharges = visits.join(bounded(roles), DISCHARGE).select(
+    discharges = visits.join(bounded(ends), DISCHARGE).select(
         PERSON, none.alias("registered"),
         mask(F.col("deceased"), "visit_start_date").alias("visit_start"),
         mask(F.col("deceased"), "visit_end_date").alias("visit_end"),
@@ -51,25 +52,22 @@ def _death_date(floor: str, horizon_days: int) -> Column:
     return F.coalesce(registered, discharged)
 
 
-SIGN_SETS = {"deceased": SET_DECEASED, "hospice": SET_HOSPICE}
-
-
 def death_flags(
     death: DataFrame,
     visits: DataFrame,
     cohort: DataFrame,
-    concept_sets: DataFrame,
-    sets: dict[str, str] = SIGN_SETS,
+    roles: DataFrame,
     floor: str = FLOOR_DATE,
     horizon_days: int = HORIZON_DAYS,
 ) -> DataFrame:
     """(person, date or null, 1) for every cohort person with any sign of death.
 
     The earliest plausible registry date wins; otherwise the latest plausible date of a
-    visit discharged as deceased. A hospice discharge gives the flag and no date.
+    visit discharged as deceased. A hospice discharge gives the flag and no date. ``roles``
+    tells deceased and hospice concepts (``concept_roles``).
     """
     return (
-        _signs(death, visits, cohort, concept_sets, sets)
+        _signs(death, visits, cohort, roles)
         .groupBy(PERSON)
         .agg(_death_date(floor, horizon_days).alias(DATE))
         .select(PERSON, DATE, F.lit(1).alias(DEATH))
@@ -80,11 +78,10 @@ def death_dates(
     death: DataFrame,
     visits: DataFrame,
     cohort: DataFrame,
-    concept_sets: DataFrame,
-    sets: dict[str, str] = SIGN_SETS,
+    roles: DataFrame,
     floor: str = FLOOR_DATE,
     horizon_days: int = HORIZON_DAYS,
 ) -> DataFrame:
     """Persons of ``death_flags`` that have a date."""
-    flagged = death_flags(death, visits, cohort, concept_sets, sets, floor, horizon_days)
+    flagged = death_flags(death, visits, cohort, roles, floor, horizon_days)
     return flagged.where(F.col(DATE).isNotNull()).select(PERSON, DATE)

@@ -9,9 +9,9 @@ from phasewise.names import (
     BMI, BMI_RANGE, CONCEPT, DATE, DOSE, DOSE_DATES, HEIGHT_M_RANGE, LAB_FLAGS, OBESE_BMI,
     OBESITY, PERSON, WEIGHT_KG_RANGE,
 )
-from phasewise.operators.codesets import concept_roles, indicator_words
+from phasewise.operators.codesets import indicator_words
 from phasewise.operators.index_event import RESULT
-from phasewise.operators.intake import early_cohort_filter, in_cohort
+from phasewise.operators.intake import broadcast_ids, early_cohort_filter, in_cohort
 
 VALUE = "harmonized_value_as_number"
 BODY_PARTS = ["recorded_bmi", "height", "weight"]
@@ -22,10 +22,14 @@ BODY_LIMITS = {
 }
 
 
-def indicator_rows(events: DataFrame, pairs: DataFrame, indicators: list[str]) -> DataFrame:
-    """Events of the mapped concepts as (person, date, indicator words)."""
-    coded = bounded(indicator_words(pairs, indicators))
-    return events.join(coded, CONCEPT).select(PERSON, DATE, *flags.word_names(indicators))
+def indicator_rows(events: DataFrame, words: DataFrame, indicators: list[str]) -> DataFrame:
+    """Events of the mapped concepts as (person, date, indicator words).
+
+    ``words`` has one row per concept, or per domain and concept if the events of several
+    domains come together.
+    """
+    keys = [c for c in ("domain", CONCEPT) if c in words.columns]
+    return events.join(bounded(words), keys).select(PERSON, DATE, *flags.word_names(indicators))
 
 
 def indicator_pivot(
@@ -35,7 +39,8 @@ def indicator_pivot(
 
     The columns are the given list, so an indicator without events is an all-0 column (C16).
     """
-    rows = indicator_rows(early_cohort_filter(events, cohort), pairs, indicators)
+    near = early_cohort_filter(events, broadcast_ids(cohort))
+    rows = indicator_rows(near, indicator_words(pairs, indicators), indicators)
     days = rows.groupBy(PERSON, DATE).agg(*flags.merged(indicators))
     return in_cohort(days, cohort).select(PERSON, DATE, *flags.unpacked(indicators))
 
@@ -43,14 +48,18 @@ def indicator_pivot(
 # --- measurements ---------------------------------------------------------------
 
 
-def tagged_measurements(meas: DataFrame, concept_sets: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """Measurements with a boolean column per role; roles of the result end in ``_result``."""
-    of_result = {r: n for r, n in roles.items() if r.endswith("_result")}
-    of_test = {r: n for r, n in roles.items() if r not in of_result}
-    results = concept_roles(concept_sets, of_result).withColumnRenamed(CONCEPT, RESULT)
-    return meas.join(bounded(concept_roles(concept_sets, of_test)), CONCEPT, "left").join(
-        bounded(results), RESULT, "left"
-    )
+TEST_ROLES = ["pcr_ag", "antibody", "bmi", "height", "weight"]
+RESULT_ROLES = ["positive_result", "negative_result"]
+
+
+def tagged_measurements(meas: DataFrame, roles: DataFrame) -> DataFrame:
+    """Measurements with a boolean column per role of their test and of their result.
+
+    ``roles`` comes from ``concept_roles``.
+    """
+    tests = roles.select(CONCEPT, *TEST_ROLES)
+    results = roles.select(F.col(CONCEPT).alias(RESULT), *RESULT_ROLES)
+    return meas.join(bounded(tests), CONCEPT, "left").join(bounded(results), RESULT, "left")
 
 
 def lab_columns() -> dict[str, Column]:

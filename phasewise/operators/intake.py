@@ -35,17 +35,19 @@ def in_cohort(df: DataFrame, cohort: DataFrame) -> DataFrame:
     return df.join(cohort.select(PERSON), PERSON, "left_semi")
 
 
-def early_cohort_filter(df: DataFrame, cohort: DataFrame) -> DataFrame:
+def broadcast_ids(cohort: DataFrame) -> DataFrame | None:
+    """The cohort's ids marked for broadcast if they are countably few, else None."""
+    ids = cohort.select(PERSON).distinct()
+    return F.broadcast(ids) if fits(ids, MAX_BROADCAST_IDS) else None
+
+
+def early_cohort_filter(df: DataFrame, ids: DataFrame | None) -> DataFrame:
     """Cut raw rows to cohort persons where that needs no shuffle of them.
 
-    With a countably small cohort the ids are broadcast. Otherwise the rows are returned
-    as they are, and the caller cuts them after its aggregate, when one person has at most
-    one row per day and no person can be a hot join key.
+    Without broadcast ids the rows are returned as they are, and the caller cuts them after
+    its aggregate, when one person has at most one row per day and cannot be a hot join key.
     """
-    ids = cohort.select(PERSON)
-    if fits(ids, MAX_BROADCAST_IDS):
-        return df.join(F.broadcast(ids), PERSON, "left_semi")
-    return df
+    return df if ids is None else df.join(ids, PERSON, "left_semi")
 
 
 def occurrence_intake(

@@ -36,13 +36,13 @@ def phase_columns(sheet: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def read_phase_columns(sheet: DataFrame, facts: DataFrame) -> dict[str, list[str]]:
-    """The same as sorted lists. Sheet-sized: names only, no data rows."""
-    wanted = phase_columns(sheet, facts).collect()
-    return {
-        phase: sorted(row["column"] for row in wanted if row["phase"] == phase)
-        for phase in PHASE_EXTRAS
-    }
+def phase_column_lists(sheet_rows: list, facts_columns: list[str]) -> dict[str, list[str]]:
+    """The same from sheet rows the driver has already read, as sorted lists."""
+    lists = {}
+    for phase, extras in PHASE_EXTRAS.items():
+        named = {r[INDICATOR] for r in sheet_rows if r[INDICATOR] and phase in (r["pre_during_post"] or "")}
+        lists[phase] = sorted((named | set(extras)) & set(facts_columns))
+    return lists
 
 
 def _wanted(columns: dict[str, list[str]], phase: str) -> list[str]:

@@ -3,17 +3,18 @@
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phasewise import names
 from phasewise.functions import flags
 from phasewise.functions.dates import plausible
 from phasewise.functions.lineage import cut
 from phasewise.functions.sizing import bounded
-from phasewise.names import BMI, DATE, DEATH, DOMAINS, DOSE, LAB_FLAGS, OBESITY, PERSON
+from phasewise.names import BMI, DATE, DEATH, DOMAINS, DOSE, OBESITY, PERSON
 from phasewise.operators import (
     codesets, day_facts, deaths, demographics, domains, index_event, intake, summary, visits,
 )
+from phasewise.plans.codes import StudyCodes, resolve_codes
 from phasewise.plans.study import CodeSets, Windows
 from phasewise.sources.tables import StudyTables
 
@@ -39,24 +40,20 @@ def measurement_events(tables: StudyTables) -> DataFrame:
     )
 
 
-def index_dates(tables: StudyTables, sets: CodeSets) -> DataFrame:
-    concepts = tables.concept_sets
+# --- cohort ---------------------------------------------------------------------
+
+
+def index_dates(tables: StudyTables, codes: StudyCodes) -> DataFrame:
     labs = index_event.positive_test_rows(
-        measurement_events(tables),
-        codesets.concept_ids(concepts, [sets.pcr_ag_tests]),
-        codesets.concept_ids(concepts, [sets.positive_results]),
-    )
-    diagnoses = index_event.with_concept(
-        domain_events(tables, "condition"), codesets.concept_ids(concepts, [sets.diagnosis])
+        measurement_events(tables), codes.ids("pcr_ag"), codes.ids("positive_result")
     )
+    diagnoses = index_event.with_concept(domain_events(tables, "condition"), codes.ids("diagnosis"))
     return index_event.index_date(labs, diagnoses)
 
 
 def counted_visits(tables: StudyTables, windows: Windows) -> DataFrame:
     """Plausible visits, one per stay or day."""
-    columns = tables.visits.select(
-        PERSON, names.PARTNER, names.STAY_START, visits.VISIT_START
-    )
+    columns = tables.visits.select(PERSON, names.PARTNER, names.STAY_START, visits.VISIT_START)
     return visits.visit_dedup(
         intake.plausible_dates(
             columns, tables.manifest, visits.VISIT_START, windows.floor, windows.horizon_days
@@ -64,21 +61,19 @@ def counted_visits(tables: StudyTables, windows: Windows) -> DataFrame:
     )
 
 
-def index_persons(tables: StudyTables, sets: CodeSets, windows: Windows) -> DataFrame:
-    """Index dates with person and source columns, before anything derived from them."""
+def index_persons(tables: StudyTables, codes: StudyCodes, windows: Windows) -> DataFrame:
+    """Index dates with person and source columns, before anything derived from them.
+
+    Written once: most later steps read it, and none should repeat the scan of the event
+    tables.
+    """
     people = intake.person_sample(tables.person, windows.sample, windows.seed)
     sources = bounded(intake.source_manifest(tables.manifest))
-    return index_dates(tables, sets).join(people, PERSON).join(sources, names.PARTNER)
-
+    return cut(index_dates(tables, codes).join(people, PERSON).join(sources, names.PARTNER))
 
-def build_cohort(tables: StudyTables, sets: CodeSets, windows: Windows) -> DataFrame:
-    """One row per person with an index date: dates, demographics, place, source, visit measures.
 
-    The persons are written once: the birth-date limit needs the largest date shift among
-    their sources, the visit measures need their index dates, and neither should repeat the
-    scan of the event tables.
-    """
-    persons = cut(index_persons(tables, sets, windows))
+def build_cohort(tables: StudyTables, persons: DataFrame, windows: Windows) -> DataFrame:
+    """One row per person with an index date: dates, demographics, place, source, visit measures."""
     max_shift = F.coalesce(persons.agg(F.max("shift_days")).scalar(), F.lit(0))
     measures = visits.visit_measures(counted_visits(tables, windows), persons)
     places = bounded(intake.locations(tables.location))
@@ -91,93 +86,98 @@ def build_cohort(tables: StudyTables, sets: CodeSets, windows: Windows) -> DataF
     )
 
 
-def linked_visits(tables: StudyTables, cohort: DataFrame, sets: CodeSets, windows: Windows) -> DataFrame:
-    ed_ids = codesets.concept_ids(tables.concept_sets, [sets.ed_visits])
+# --- tables around the cohort ------------------------------------------------------
+
+
+def linked_visits(tables: StudyTables, cohort: DataFrame, codes: StudyCodes, windows: Windows) -> DataFrame:
     return visits.first_linked_visits(
-        tables.visits, cohort, ed_ids, windows.link_mode, windows.link_days
+        tables.visits, cohort, codes.ids("ed_visit"), windows.link_mode, windows.link_days
     )
 
 
-def death_table(tables: StudyTables, cohort: DataFrame, sets: CodeSets, windows: Windows) -> DataFrame:
+def death_table(tables: StudyTables, cohort: DataFrame, codes: StudyCodes, windows: Windows) -> DataFrame:
     return deaths.death_flags(
-        tables.death, tables.visits, cohort, tables.concept_sets,
-        sets.death_roles(), windows.floor, windows.horizon_days,
+        tables.death, tables.visits, cohort, codes.roles, windows.floor, windows.horizon_days
     )
 
 
-def domain_table(tables: StudyTables, cohort: DataFrame, sheet: DataFrame, domain: str) -> DataFrame:
+def domain_table(tables: StudyTables, cohort: DataFrame, codes: StudyCodes, domain: str) -> DataFrame:
     """Day-level indicators of one domain, as a table of its own."""
+    pairs = codesets.concept_indicator_map(tables.concept_sets, codes.sheet, domain)
     return domains.indicator_pivot(
-        domain_events(tables, domain),
-        cohort,
-        codesets.concept_indicator_map(tables.concept_sets, sheet, domain),
-        codesets.sheet_indicators(sheet, domain),
+        domain_events(tables, domain), cohort, pairs, codes.domain_indicators(domain)
     )
 
 
-def measurement_table(tables: StudyTables, cohort: DataFrame, sets: CodeSets) -> DataFrame:
+def measurement_table(tables: StudyTables, cohort: DataFrame, codes: StudyCodes) -> DataFrame:
     """Labs and body mass per day, as a table of its own."""
-    events = intake.early_cohort_filter(measurement_events(tables), cohort)
-    tagged = domains.tagged_measurements(events, tables.concept_sets, sets.measurement_roles())
+    events = intake.early_cohort_filter(measurement_events(tables), intake.broadcast_ids(cohort))
+    tagged = domains.tagged_measurements(events, codes.roles)
     return intake.in_cohort(domains.measurements(tagged), cohort)
 
 
+# --- day facts ----------------------------------------------------------------------
+
+
+def plausible_death_days(death_rows: DataFrame, cohort: DataFrame, windows: Windows) -> DataFrame:
+    """Death dates that can stand among the facts."""
+    return (
+        death_rows.join(cohort.select(PERSON, names.EXTRACTION), PERSON)
+        .where(plausible(DATE, names.EXTRACTION, windows.floor, windows.horizon_days))
+        .select(PERSON, DATE)
+    )
+
+
 def merged_days(
     tables: StudyTables,
     cohort: DataFrame,
-    sheet: DataFrame,
+    codes: StudyCodes,
     death_days: DataFrame,
-    sets: CodeSets,
     windows: Windows,
-    with_spans: bool = True,
 ) -> DataFrame:
     """Every fact of every day, straight from the source rows.
 
     All sources are brought to one narrow row (person, day, indicator bits, body values) and
     merged by one aggregate: one shuffle, combined on the map side, in place of an aggregate
-    per domain and a join between each two. Days that only mark the start of a stay span are
-    kept aside with ``is_fact`` false.
+    per domain and a join between each two. Stay spans ride along; a day that only starts a
+    span has ``is_fact`` false.
     """
-    indicators = facts_indicators(sheet)
-    words = flags.word_names(indicators)
+    indicators = codes.indicators
     body = [f"{part}_value" for part in domains.BODY_PARTS]
     no_body = [F.lit(None).cast("double").alias(b) for b in body]
-    no_span = F.lit(None).cast(f"struct<{names.STAY_START}:date,{names.STAY_END}:date>").alias("span")
+    span_type = f"struct<{names.STAY_START}:date,{names.STAY_END}:date>"
+    no_span = F.lit(None).cast(span_type).alias("span")
     fact = F.lit(True).alias("is_fact")
+    ids = intake.broadcast_ids(cohort)
 
     def near(rows: DataFrame) -> DataFrame:
-        return intake.early_cohort_filter(rows, cohort)
+        return intake.early_cohort_filter(rows, ids)
 
-    def flagged(rows: DataFrame, values: dict) -> DataFrame:
+    def flagged(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
         return rows.select(PERSON, DATE, *flags.words(values, indicators), *no_body, no_span, fact)
 
+    coded = reduce(
+        DataFrame.unionByName,
+        [domain_events(tables, d).withColumn("domain", F.lit(d)) for d in DOMAINS],
+    )
+    tagged = domains.tagged_measurements(near(measurement_events(tables)), codes.roles)
+    spans = day_facts.stay_spans(near(tables.visits))
     sources = [
         flagged(near(tables.visits.select(PERSON, F.col(visits.VISIT_START).alias(DATE))), {}),
         flagged(near(domains.dose_rows(tables.vaccine_doses, list(windows.dose_columns))), {DOSE: F.lit(1)}),
         flagged(death_days, {DEATH: F.lit(1)}),
-    ]
-    for domain in DOMAINS:
-        pairs = codesets.concept_indicator_map(tables.concept_sets, sheet, domain)
-        rows = domains.indicator_rows(near(domain_events(tables, domain)), pairs, indicators)
-        sources.append(rows.select(PERSON, DATE, *words, *no_body, no_span, fact))
-    tagged = domains.tagged_measurements(
-        near(measurement_events(tables)), tables.concept_sets, sets.measurement_roles()
-    )
-    sources.append(
+        domains.indicator_rows(near(coded), codes.words, indicators).select(
+            PERSON, DATE, *flags.word_names(indicators), *no_body, no_span, fact
+        ),
         tagged.select(
             PERSON, DATE, *flags.words(domains.lab_columns(), indicators),
             *domains.body_columns(), no_span, fact,
-        )
-    )
-    if with_spans:
-        spans = day_facts.stay_spans(near(tables.visits))
-        sources.append(
-            spans.select(
-                PERSON, DATE, *flags.words({}, indicators), *no_body,
-                F.struct(names.STAY_START, names.STAY_END).alias("span"),
-                F.lit(False).alias("is_fact"),
-            )
-        )
+        ),
+        spans.select(
+            PERSON, DATE, *flags.words({}, indicators), *no_body,
+            F.struct(names.STAY_START, names.STAY_END).alias("span"), F.lit(False).alias("is_fact"),
+        ),
+    ]
     merged = (
         reduce(DataFrame.unionByName, sources)
         .groupBy(PERSON, DATE)
@@ -190,48 +190,47 @@ def merged_days(
     return merged.withColumns({BMI: bmi, OBESITY: F.coalesce(obese, F.lit(0))}).drop(*body)
 
 
-def facts_indicators(sheet: DataFrame) -> list[str]:
-    """Every 0/1 column that source rows can set."""
-    fixed = [DOSE, *LAB_FLAGS, DEATH]
-    return fixed + [c for c in codesets.sheet_indicators(sheet) if c not in fixed]
+def fact_days(
+    tables: StudyTables,
+    cohort: DataFrame,
+    codes: StudyCodes,
+    death_days: DataFrame,
+    windows: Windows,
+) -> DataFrame:
+    """Merged days with a column per indicator and the stay that covers the day.
+
+    After the merge a person has at most one row per calendar day, so the window over one
+    person stays small whoever the person is.
+    """
+    so_far = Window.partitionBy(PERSON).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        merged_days(tables, cohort, codes, death_days, windows)
+        .withColumn("latest", F.last("span", ignorenulls=True).over(so_far))
+        .where(F.col("is_fact"))
+        .select(
+            PERSON, DATE, *flags.unpacked(codes.indicators), BMI, OBESITY,
+            *day_facts.covering(F.col("latest")),
+        )
+    )
 
 
 def build_day_facts(
     tables: StudyTables,
     cohort: DataFrame,
-    sheet: DataFrame,
+    codes: StudyCodes,
     linked: DataFrame,
     death_rows: DataFrame,
-    sets: CodeSets,
     windows: Windows,
 ) -> DataFrame:
     """One row per cohort person and day, all indicators and flags.
 
-    After the merge a person has at most one row per calendar day; those rows move once
-    more, to their person, where the window for stays and reinfection and the joins with
-    person-level tables all run on the same partitioning.
+    The merged days move once more, to their person: the windows for stays and reinfection
+    and the joins with person-level tables all run on that partitioning.
     """
-    indicators = facts_indicators(sheet)
-    persons = cohort.select(PERSON, names.EXTRACTION)
-    dated = (
-        death_rows.join(persons, PERSON)
-        .where(plausible(DATE, names.EXTRACTION, windows.floor, windows.horizon_days))
-        .select(PERSON, DATE)
-    )
-    days = merged_days(tables, cohort, sheet, dated, sets, windows)
-    ordered = Window.partitionBy(PERSON).orderBy(DATE)
-    latest = F.last("span", ignorenulls=True).over(
-        ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    covered = (
-        days.withColumn("latest", latest)
-        .where(F.col("is_fact"))
-        .select(
-            PERSON, DATE, *flags.unpacked(indicators), BMI, OBESITY,
-            *day_facts.covering(F.col("latest")),
-        )
+    days = fact_days(
+        tables, cohort, codes, plausible_death_days(death_rows, cohort, windows), windows
     )
-    attached = day_facts.attach_person_dates(covered, cohort, linked)
+    attached = day_facts.attach_person_dates(days, cohort, linked)
     flagged = day_facts.stay_flags(
         day_facts.phase_flags(
             day_facts.death_in_window(
@@ -243,12 +242,15 @@ def build_day_facts(
     return summary.fill_numbers(flagged.drop(*dropped), [BMI])
 
 
+# --- everything -----------------------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class StudyResult:
-    """Output tables of the flow; lazy, except that the cohort is already written."""
+    """Output tables of the flow; codes, index persons and cohort are already written."""
 
+    codes: StudyCodes
     cohort: DataFrame
-    sheet: DataFrame
     linked: DataFrame
     deaths: DataFrame
     day_facts: DataFrame
@@ -257,11 +259,12 @@ class StudyResult:
 
 def run(tables: StudyTables, sets: CodeSets, windows: Windows) -> StudyResult:
     """Cohort, linked visits, deaths, day facts and person summary of a study."""
-    cohort = cut(build_cohort(tables, sets, windows))
-    sheet = codesets.merge_sheets(tables.required_sheet, tables.custom_sheet)
-    linked = linked_visits(tables, cohort, sets, windows)
-    death_rows = death_table(tables, cohort, sets, windows)
-    facts = build_day_facts(tables, cohort, sheet, linked, death_rows, sets, windows)
-    columns = summary.read_phase_columns(sheet, facts)
+    codes = resolve_codes(tables, sets)
+    persons = index_persons(tables, codes, windows)
+    cohort = build_cohort(tables, persons, windows)
+    linked = linked_visits(tables, persons, codes, windows)
+    death_rows = death_table(tables, persons, codes, windows)
+    facts = build_day_facts(tables, persons, codes, linked, death_rows, windows)
+    columns = summary.phase_column_lists(codes.sheet_rows, facts.columns)
     people = summary.person_summary(cohort, facts, linked, death_rows, columns)
-    return StudyResult(cohort, sheet, linked, death_rows, facts, people)
+    return StudyResult(codes, cohort, linked, death_rows, facts, people)

@@ -21,20 +21,22 @@ class CodeSets:
     weight: str = names.SET_WEIGHT
     height: str = names.SET_HEIGHT
 
-    def measurement_roles(self) -> dict[str, str]:
+    def roles(self) -> dict[str, str]:
+        """Set name by the role column that operators read."""
         return {
+            "diagnosis": self.diagnosis,
             "pcr_ag": self.pcr_ag_tests,
             "antibody": self.antibody_tests,
+            "positive_result": self.positive_results,
+            "negative_result": self.negative_results,
             "bmi": self.bmi,
             "weight": self.weight,
             "height": self.height,
-            "positive_result": self.positive_results,
-            "negative_result": self.negative_results,
+            "ed_visit": self.ed_visits,
+            "deceased": self.deceased,
+            "hospice": self.hospice,
         }
 
-    def death_roles(self) -> dict[str, str]:
-        return {"deceased": self.deceased, "hospice": self.hospice}
-
 
 @dataclass(frozen=True)
 class Windows:
