@@ -16,25 +16,36 @@ def word_names(flags: list[str], prefix: str = "_word") -> list[str]:
     return [f"{prefix}{i}" for i in range(-(-len(flags) // WORD_BITS))]
 
 
+def _chunks(flags: list[str]) -> list[list[str]]:
+    return [flags[i:i + WORD_BITS] for i in range(0, len(flags), WORD_BITS)]
+
+
 def words(values: dict[str, Column], flags: list[str], prefix: str = "_word") -> list[Column]:
     """One long per 64 flags; a flag without a column in ``values`` stays 0."""
+    none = F.lit(0).cast("long")
     packed = []
-    for i, name in enumerate(word_names(flags, prefix)):
+    for name, chunk in zip(word_names(flags, prefix), _chunks(flags)):
         bits = [
-            F.when(values[flag] > 0, F.lit(_bit(position))).otherwise(F.lit(0).cast("long"))
-            for position, flag in enumerate(flags[i * WORD_BITS:(i + 1) * WORD_BITS])
-            if flag in values
+            F.when(values[flag] > 0, F.lit(_bit(i))).otherwise(none)
+            for i, flag in enumerate(chunk) if flag in values
         ]
-        word = reduce(lambda a, b: a.bitwiseOR(b), bits) if bits else F.lit(0).cast("long")
-        packed.append(word.alias(name))
+        packed.append(reduce(Column.bitwiseOR, bits, none).alias(name))
+    return packed
+
+
+def words_by_label(label: str, flags: list[str], prefix: str = "_word") -> list[Column]:
+    """The words of one flag whose name is the value of column ``label``."""
+    packed = []
+    for name, chunk in zip(word_names(flags, prefix), _chunks(flags)):
+        whens = " ".join(f"WHEN {_text(flag)} THEN {_bit(i)}L" for i, flag in enumerate(chunk))
+        packed.append(F.expr(f"CASE `{label}` {whens} ELSE 0L END").alias(name))
     return packed
 
 
 def flag(flags: list[str], wanted: str, prefix: str = "_word") -> Column:
     """Read one flag back as int 0/1; null where the word is null."""
-    position = flags.index(wanted)
-    word = F.col(word_names(flags, prefix)[position // WORD_BITS])
-    return F.shiftrightunsigned(word, position % WORD_BITS).bitwiseAND(F.lit(1)).cast("int")
+    word, bit = divmod(flags.index(wanted), WORD_BITS)
+    return F.expr(f"CAST(shiftrightunsigned({word_names(flags, prefix)[word]}, {bit}) & 1L AS INT)")
 
 
 def unpacked(flags: list[str], prefix: str = "_word") -> list[Column]:
@@ -49,3 +60,8 @@ def merged(flags: list[str], prefix: str = "_word") -> list[Column]:
 def _bit(position: int) -> int:
     value = 1 << position
     return value - (1 << 64) if position == WORD_BITS - 1 else value
+
+
+def _text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"

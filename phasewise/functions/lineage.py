@@ -1,24 +1,31 @@
-"""Cut a plan at a table that several later steps read."""
+"""Write a table that several later steps read, and go on from the written copy."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def prepare_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one only for a local session."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; a local session without one gets its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="phasewise-checkpoint-")
-    context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="phasewise-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy."""
-    prepare_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as parquet in the shared folder and read it from there.
+
+    Readers prune its columns and share its scans, and a lost executor costs a re-read, not
+    a re-run of what produced it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

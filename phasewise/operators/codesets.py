@@ -56,9 +56,8 @@ def indicator_words(pairs: DataFrame, indicators: list[str]) -> DataFrame:
     A concept in several sets stays one row, so joining events to it never multiplies them.
     """
     keys = [c for c in ("domain", CONCEPT) if c in pairs.columns]
-    is_indicator = {name: (F.col(INDICATOR) == name).cast("int") for name in indicators}
     return (
-        pairs.select(*keys, *flags.words(is_indicator, indicators))
+        pairs.select(*keys, *flags.words_by_label(INDICATOR, indicators))
         .groupBy(*keys)
         .agg(*flags.merged(indicators))
     )

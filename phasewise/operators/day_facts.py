@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from phasewise.functions import flags
 from phasewise.functions.dates import days_between
@@ -14,6 +14,7 @@ from phasewise.names import (
 )
 
 POSITIVE = "PCR_AG_Pos"
+SPAN = ["span_start", "span_end"]
 
 
 def day_facts_merge(frames: list[DataFrame], indicators: list[str], values: list[str] = [BMI]) -> DataFrame:
@@ -42,7 +43,7 @@ def attach_person_dates(facts: DataFrame, cohort: DataFrame, linked: DataFrame)
     A person without facts keeps one row with a null date. ``linked`` holds cohort persons
     only, so every join is a left join and keeps the partitioning by person.
     """
-    persons = cohort.select(PERSON, FIRST_LAB, FIRST_DX, INDEX).distinct()
+    persons = cohort.groupBy(PERSON).agg(*[F.min(d).alias(d) for d in (FIRST_LAB, FIRST_DX, INDEX)])
     return persons.join(linked, PERSON, "left").join(facts, PERSON, "left")
 
 
@@ -111,19 +112,25 @@ def stay_spans(visits: DataFrame) -> DataFrame:
         .select(
             PERSON,
             F.greatest(F.col(STAY_START), F.date_add("reach", 1)).alias(DATE),
-            STAY_START,
-            STAY_END,
+            F.col(STAY_START).alias("span_start"),
+            F.col(STAY_END).alias("span_end"),
         )
     )
 
 
-def covering(span: Column) -> tuple[Column, Column, Column]:
+def latest_span(order: WindowSpec) -> dict[str, Column]:
+    """Start and end of the last span begun up to the row, as ``span_start`` and ``span_end``."""
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return {c: F.last(c, ignorenulls=True).over(so_far) for c in SPAN}
+
+
+def covering() -> tuple[Column, Column, Column]:
     """Flag and dates of the stay covering the row's day, from the last span begun by then."""
-    covered = F.col(DATE) <= span[STAY_END]
+    covered = F.col(DATE) <= F.col("span_end")
     return (
         F.when(covered, 1).otherwise(0).alias(IN_ANY_STAY),
-        F.when(covered, span[STAY_START]).alias(STAY_START),
-        F.when(covered, span[STAY_END]).alias(STAY_END),
+        F.when(covered, F.col("span_start")).alias(STAY_START),
+        F.when(covered, F.col("span_end")).alias(STAY_END),
     )
 
 
@@ -133,15 +140,13 @@ def during_any_stay(facts: DataFrame, visits: DataFrame, with_dates: bool = True
     Days and spans go through one window per person, in which the last span begun decides:
     no day is ever paired with all the stays of its person.
     """
-    spans = stay_spans(visits).select(PERSON, DATE, F.struct(STAY_START, STAY_END).alias("span"))
-    rows = facts.withColumn("is_fact", F.lit(True)).unionByName(spans, allowMissingColumns=True)
-    ordered = Window.partitionBy(PERSON).orderBy(F.col(DATE), F.col("is_fact").asc_nulls_first())
-    latest = F.last("span", ignorenulls=True).over(
-        ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = facts.withColumn("is_fact", F.lit(True)).unionByName(
+        stay_spans(visits), allowMissingColumns=True
     )
-    stay = covering(F.col("latest"))
+    ordered = Window.partitionBy(PERSON).orderBy(F.col(DATE), F.col("is_fact").asc_nulls_first())
+    stay = covering()
     return (
-        rows.withColumn("latest", latest)
+        rows.withColumns(latest_span(ordered))
         .where(F.col("is_fact"))
         .select(*facts.columns, *(stay if with_dates else stay[:1]))
     )

@@ -145,8 +145,7 @@ def merged_days(
     indicators = codes.indicators
     body = [f"{part}_value" for part in domains.BODY_PARTS]
     no_body = [F.lit(None).cast("double").alias(b) for b in body]
-    span_type = f"struct<{names.STAY_START}:date,{names.STAY_END}:date>"
-    no_span = F.lit(None).cast(span_type).alias("span")
+    no_span = [F.lit(None).cast("date").alias(c) for c in day_facts.SPAN]
     fact = F.lit(True).alias("is_fact")
     ids = intake.broadcast_ids(cohort)
 
@@ -154,7 +153,7 @@ def merged_days(
         return intake.early_cohort_filter(rows, ids)
 
     def flagged(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
-        return rows.select(PERSON, DATE, *flags.words(values, indicators), *no_body, no_span, fact)
+        return rows.select(PERSON, DATE, *flags.words(values, indicators), *no_body, *no_span, fact)
 
     coded = reduce(
         DataFrame.unionByName,
@@ -167,15 +166,15 @@ def merged_days(
         flagged(near(domains.dose_rows(tables.vaccine_doses, list(windows.dose_columns))), {DOSE: F.lit(1)}),
         flagged(death_days, {DEATH: F.lit(1)}),
         domains.indicator_rows(near(coded), codes.words, indicators).select(
-            PERSON, DATE, *flags.word_names(indicators), *no_body, no_span, fact
+            PERSON, DATE, *flags.word_names(indicators), *no_body, *no_span, fact
         ),
         tagged.select(
             PERSON, DATE, *flags.words(domains.lab_columns(), indicators),
-            *domains.body_columns(), no_span, fact,
+            *domains.body_columns(), *no_span, fact,
         ),
         spans.select(
             PERSON, DATE, *flags.words({}, indicators), *no_body,
-            F.struct(names.STAY_START, names.STAY_END).alias("span"), F.lit(False).alias("is_fact"),
+            *day_facts.SPAN, F.lit(False).alias("is_fact"),
         ),
     ]
     merged = (
@@ -183,7 +182,7 @@ def merged_days(
         .groupBy(PERSON, DATE)
         .agg(
             *flags.merged(indicators), *domains.merged_body(),
-            F.max("span").alias("span"), F.bool_or("is_fact").alias("is_fact"),
+            *[F.max(c).alias(c) for c in day_facts.SPAN], F.bool_or("is_fact").alias("is_fact"),
         )
     )
     bmi, obese = domains.bmi_columns()
@@ -202,14 +201,14 @@ def fact_days(
     After the merge a person has at most one row per calendar day, so the window over one
     person stays small whoever the person is.
     """
-    so_far = Window.partitionBy(PERSON).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
+    by_day = Window.partitionBy(PERSON).orderBy(DATE)
     return (
         merged_days(tables, cohort, codes, death_days, windows)
-        .withColumn("latest", F.last("span", ignorenulls=True).over(so_far))
+        .withColumns(day_facts.latest_span(by_day))
         .where(F.col("is_fact"))
         .select(
             PERSON, DATE, *flags.unpacked(codes.indicators), BMI, OBESITY,
-            *day_facts.covering(F.col("latest")),
+            *day_facts.covering(),
         )
     )
 
