@@ -98,9 +98,7 @@ def cell_odds_ratios(cells: DataFrame, treat: str, weighted: bool) -> DataFrame:
     def intercept_loss(base: Column) -> Column:
         return best_control - (c * base - control * F.log1p(F.exp(base)))
 
-    effect = _log_ratio(a, b) - _log_ratio(c, d)
-    effect = F.greatest(F.least(effect, F.lit(2 * FAR)), F.lit(-2 * FAR))
-    base = _log_ratio(c, d)
+    effect, base = _log_ratio(a * d, b * c), _log_ratio(c, d)
     rows = []
     for term, estimate, loss in ((INTERCEPT, base, intercept_loss), (treat, effect, treatment_loss)):
         low, high = _limits(F.col("estimate"), loss, F.col("dispersion"))
@@ -156,31 +154,29 @@ def odds_ratio_adjusted(
     )
 
 
-def _linear(terms: list[str], beta: np.ndarray) -> Column:
-    return reduce(lambda a, b: a + b, [F.lit(float(v)) * F.col(f"`{t}`") for t, v in zip(terms, beta)])
-
-
 def _likelihoods(patterns: DataFrame, terms: list[str], betas: list[np.ndarray]) -> list[tuple]:
-    """Log-likelihood, gradient and information at several coefficient vectors, in one pass."""
+    """Log-likelihood, gradient, information and Pearson sum at several coefficient vectors, in one pass."""
     size = len(terms)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    x, y, w = [F.col(f"`{t}`") for t in terms], F.col("_y"), F.col("_w")
-    sums = []
-    for beta in betas:
-        eta = _linear(terms, beta)
-        mu = 1 / (1 + F.exp(-eta))
-        log_total = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-        sums.append(F.sum(w * (y * eta - log_total)))
-        sums += [F.sum(w * (y - mu) * x[i]) for i in range(size)]
-        sums += [F.sum(w * mu * (1 - mu) * x[i] * x[j]) for i, j in pairs]
-    values = patterns.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
-    width, found = 1 + size + len(pairs), []
-    for start in range(0, len(values), width):
-        part = values[start:start + width]
+    at = F.array(*[F.array(*[F.lit(float(v)) for v in beta]) for beta in betas])
+    x, y, w, eta, mu = [F.col(f"`{t}`") for t in terms], *map(F.col, ("_y", "_w", "eta", "mu"))
+    fitted = (
+        patterns.select("*", F.posexplode(at).alias("k", "beta"))
+        .withColumn("eta", reduce(Column.__add__, [F.col("beta")[i] * x[i] for i in range(size)]))
+        .withColumn("mu", 1 / (1 + F.exp(-eta)))
+        .withColumn("v", w * mu * (1 - mu))
+    )
+    sums = [F.sum(w * (y * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))))]
+    sums += [F.sum(w * (y - mu) * x[i]) for i in range(size)]
+    sums += [F.sum(F.col("v") * x[i] * x[j]) for i, j in pairs]
+    sums += [F.sum(F.try_divide(F.pow(w * (y - mu), 2), F.col("v")))]
+    rows = fitted.groupBy("k").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).orderBy("k").collect()
+    found = []
+    for _, likelihood, *rest, pearson in rows:
         information = np.zeros((size, size))
-        for (i, j), value in zip(pairs, part[1 + size:]):
+        for (i, j), value in zip(pairs, rest[size:]):
             information[i, j] = information[j, i] = value
-        found.append((part[0], np.array(part[1:1 + size]), information))
+        found.append((likelihood, np.array(rest[:size]), information, pearson))
     return found
 
 
@@ -188,15 +184,12 @@ def _profile(patterns: DataFrame, terms: list[str], tolerance: float = 1e-9) ->
     """Odds ratio and limits per term."""
     beta = np.zeros(len(terms))
     for _ in range(MAX_STEPS):
-        best, gradient, information = _likelihoods(patterns, terms, [beta])[0]
+        best, gradient, information, pearson = _likelihoods(patterns, terms, [beta])[0]
         step = np.linalg.solve(information, gradient)
         beta = beta + step
         if np.abs(step).max() < tolerance:
             break
-    mu = 1 / (1 + F.exp(-_linear(terms, beta)))
-    pearson, count = patterns.agg(
-        F.sum(F.col("_w") * F.pow(F.col("_y") - mu, 2) / (mu * (1 - mu))), F.sum("_rows")
-    ).first()
+    count = patterns.agg(F.sum("_rows")).first()[0]
     dispersion = pearson / (count - len(terms))
     target = best - Z * Z * dispersion / 2
     covariance = np.linalg.inv(information) * dispersion
@@ -206,7 +199,7 @@ def _profile(patterns: DataFrame, terms: list[str], tolerance: float = 1e-9) ->
     ]
     for _ in range(MAX_STEPS):
         moved = []
-        for (i, at), (value, gradient, information) in zip(ends, _likelihoods(patterns, terms, [e for _, e in ends])):
+        for (i, at), (value, gradient, information, _) in zip(ends, _likelihoods(patterns, terms, [e for _, e in ends])):
             aim, slopes = gradient.copy(), -information.copy()
             aim[i], slopes[i] = value - target, gradient
             moved.append((i, at - np.linalg.solve(slopes, aim)))
