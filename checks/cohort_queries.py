@@ -86,16 +86,26 @@ def normalize_shift_days(t):
 
 def plausible_dates(t):
     return intake.plausible_dates(
-        t.visits, t.manifest, visits.VISIT_START, WINDOWS.floor, WINDOWS.horizon_days
+        t.visits, intake.source_manifest(t.manifest), visits.VISIT_START, WINDOWS.floor,
+        WINDOWS.horizon_days,
     )
 
 
+def _counted(t: StudyTables) -> DataFrame:
+    return person_flow.counted_visits(t, intake.source_manifest(t.manifest), WINDOWS)
+
+
 def visit_counts(t):
-    return visits.visit_counts(person_flow.counted_visits(t, WINDOWS), _index_dates(t))
+    return visits.visit_counts(_counted(t), _index_dates(t))
 
 
 def observation_periods(t):
-    return visits.observation_periods(person_flow.counted_visits(t, WINDOWS), _index_dates(t))
+    return visits.observation_periods(_counted(t), _index_dates(t))
+
+
+def cohort(t):
+    codes = _codes(t)
+    return person_flow.build_cohort(t, _persons(t, codes), codes.sources, WINDOWS)
 
 
 # --- linked visits ----------------------------------------------------------------
@@ -242,11 +252,11 @@ _BUILDERS: dict[str, Callable[[StudyTables], DataFrame]] = {
     "category_map": category_map,
     "normalize_shift_days": normalize_shift_days,
     "plausible_dates": plausible_dates,
-    "visit_dedup": lambda t: person_flow.counted_visits(t, WINDOWS),
+    "visit_dedup": _counted,
     "visit_counts": visit_counts,
     "observation_periods": observation_periods,
     "dimension_dedup": lambda t: intake.locations(t.location),
-    "cohort": lambda t: person_flow.build_cohort(t, _persons(t), WINDOWS),
+    "cohort": cohort,
     "ed_visits_strong": lambda t: _linked(t, "ed", "strong"),
     "visits_strong_or_mode": visits_strong_or_mode,
     "ed_visits_weak": lambda t: _linked(t, "ed", "weak"),

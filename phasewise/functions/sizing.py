@@ -1,4 +1,8 @@
-"""Broadcast only what has been counted."""
+"""Broadcast only what has been counted.
+
+Dimension-like frames are marked where they are made; Spark carries the mark through the
+filters and projections on the way to a join, so it is counted once however often it is used.
+"""
 
 from pyspark.sql import DataFrame, functions as F
 

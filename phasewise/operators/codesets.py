@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phasewise.functions import flags
+from phasewise.functions.sizing import bounded
 from phasewise.names import CONCEPT
 
 SET_NAME = "concept_set_name"
@@ -18,7 +19,7 @@ def current_members(concept_sets: DataFrame) -> DataFrame:
 
 def concept_ids(concept_sets: DataFrame, names: list[str]) -> DataFrame:
     """Distinct concept ids of the named sets, current version only."""
-    return (
+    return bounded(
         current_members(concept_sets)
         .where(F.col(SET_NAME).isin(*names))
         .select(CONCEPT)

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phasewise.functions.dates import mask, plausible
-from phasewise.functions.sizing import bounded
 from phasewise.names import (
     CONCEPT, DATE, DEATH, EXTRACTION, FLOOR_DATE, HORIZON_DAYS, PERSON,
 )
@@ -28,7 +27,7 @@ def _signs(
         PERSON, F.col(DEATH_DATE).alias("registered"),
         none.alias("visit_start"), none.alias("visit_end"), F.lit(False).alias("deceased"),
     )
-    discharges = visits.join(bounded(ends), DISCHARGE).select(
+    discharges = visits.join(ends, DISCHARGE).select(
         PERSON, none.alias("registered"),
         mask(F.col("deceased"), "visit_start_date").alias("visit_start"),
         mask(F.col("deceased"), "visit_end_date").alias("visit_end"),

@@ -29,7 +29,7 @@ def indicator_rows(events: DataFrame, words: DataFrame, indicators: list[str]) -
     domains come together.
     """
     keys = [c for c in ("domain", CONCEPT) if c in words.columns]
-    return events.join(bounded(words), keys).select(PERSON, DATE, *flags.word_names(indicators))
+    return events.join(words, keys).select(PERSON, DATE, *flags.word_names(indicators))
 
 
 def indicator_pivot(
@@ -40,7 +40,7 @@ def indicator_pivot(
     The columns are the given list, so an indicator without events is an all-0 column (C16).
     """
     near = early_cohort_filter(events, broadcast_ids(cohort))
-    rows = indicator_rows(near, indicator_words(pairs, indicators), indicators)
+    rows = indicator_rows(near, bounded(indicator_words(pairs, indicators)), indicators)
     days = rows.groupBy(PERSON, DATE).agg(*flags.merged(indicators))
     return in_cohort(days, cohort).select(PERSON, DATE, *flags.unpacked(indicators))
 
@@ -59,7 +59,7 @@ def tagged_measurements(meas: DataFrame, roles: DataFrame) -> DataFrame:
     """
     tests = roles.select(CONCEPT, *TEST_ROLES)
     results = roles.select(F.col(CONCEPT).alias(RESULT), *RESULT_ROLES)
-    return meas.join(bounded(tests), CONCEPT, "left").join(bounded(results), RESULT, "left")
+    return meas.join(tests, CONCEPT, "left").join(results, RESULT, "left")
 
 
 def lab_columns() -> dict[str, Column]:

@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from phasewise.functions.sizing import bounded
 from phasewise.names import CONCEPT, DATE, FIRST_DX, FIRST_LAB, INDEX, PERSON
 
 RESULT = "value_as_concept_id"
@@ -10,8 +9,7 @@ RESULT = "value_as_concept_id"
 
 def with_concept(rows: DataFrame, ids: DataFrame, column: str = CONCEPT) -> DataFrame:
     """Rows whose ``column`` is one of the concept ids."""
-    keys = bounded(ids.select(F.col(CONCEPT).alias(column)))
-    return rows.join(keys, column, "left_semi")
+    return rows.join(ids.select(F.col(CONCEPT).alias(column)), column, "left_semi")
 
 
 def positive_test_rows(meas: DataFrame, test_ids: DataFrame, result_ids: DataFrame) -> DataFrame:

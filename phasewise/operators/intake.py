@@ -100,20 +100,24 @@ def normalize_shift_days(manifest: DataFrame) -> DataFrame:
 
 def source_manifest(manifest: DataFrame) -> DataFrame:
     """Manifest under output names, extraction date as a date (C15)."""
-    return normalize_shift_days(manifest).select(
-        PARTNER,
-        F.col("run_date").cast("date").alias(EXTRACTION),
-        "cdm_name", "cdm_version", "shift_date_yn", "max_num_shift_days", "shift_days",
+    return bounded(
+        normalize_shift_days(manifest).select(
+            PARTNER,
+            F.col("run_date").cast("date").alias(EXTRACTION),
+            "cdm_name", "cdm_version", "shift_date_yn", "max_num_shift_days", "shift_days",
+        )
     )
 
 
 def plausible_dates(
-    df: DataFrame, manifest: DataFrame, date_col: str, floor: str, horizon_days: int
+    df: DataFrame, sources: DataFrame, date_col: str, floor: str, horizon_days: int
 ) -> DataFrame:
-    """Rows dated from the floor up to the source's extraction date plus the horizon."""
-    sources = source_manifest(manifest).select(PARTNER, EXTRACTION)
+    """Rows dated from the floor up to the source's extraction date plus the horizon.
+
+    ``sources`` is the ``source_manifest``; rows of other sources drop out.
+    """
     return (
-        df.join(bounded(sources), PARTNER)
+        df.join(sources.select(PARTNER, EXTRACTION), PARTNER)
         .where(plausible(date_col, EXTRACTION, floor, horizon_days))
         .select(*df.columns)
     )

@@ -74,18 +74,21 @@ def _phase_values(columns: dict[str, list[str]], phase: str) -> list[Column]:
 def _rollup(facts: DataFrame, columns: dict[str, list[str]], phases: list[str], extra: list[Column]) -> DataFrame:
     """All phases in one aggregate per person; indicators as one bit word set per phase."""
     indicators = sorted({c for phase in phases for c in _phase_indicators(columns, phase)})
-    present = {c: F.col(f"`{c}`") for c in indicators if c in facts.columns}
+    have = facts.columns
+    present = {c: F.col(f"`{c}`") for c in indicators if c in have}
+    others = [c for c in (*PHASE_FLAG.values(), BMI, DOSE, REINFECTION, DEATH_IN_WINDOW) if c in have]
+    packed = facts.select(PERSON, *others, *flags.words(present, indicators))
     merged, read_back = [], []
     for phase in phases:
-        for name, word in zip(flags.word_names(indicators), flags.words(present, indicators)):
-            merged.append(F.bit_or(mask(F.col(PHASE_FLAG[phase]) == 1, word)).alias(f"{phase}{name}"))
+        for name in flags.word_names(indicators):
+            merged.append(F.bit_or(mask(F.col(PHASE_FLAG[phase]) == 1, name)).alias(f"{phase}{name}"))
         read_back += [
             flags.flag(indicators, c, f"{phase}_word").alias(c + PHASE_SUFFIX[phase])
             for c in _phase_indicators(columns, phase)
         ]
         read_back += [F.col(name) for name in _value_names(columns, phase)]
     values = [value for phase in phases for value in _phase_values(columns, phase)]
-    grouped = facts.groupBy(PERSON).agg(*merged, *values, *extra)
+    grouped = packed.groupBy(PERSON).agg(*merged, *values, *extra)
     extras = [c for c in grouped.columns if c == DEATH_IN_WINDOW]
     return grouped.select(PERSON, *read_back, *extras)
 

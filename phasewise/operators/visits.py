@@ -11,7 +11,6 @@ with a third of all visits is an ordinary key by the time of the join.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phasewise.functions.dates import days_between, mask, within
-from phasewise.functions.sizing import bounded
 from phasewise.names import (
     CONCEPT, FIRST_DX, FIRST_LAB, INDEX, LINK_DAYS, OBSERVED_BEFORE, OBSERVED_POST, PERSON,
     STAY_END, STAY_START, STRONG_ED, STRONG_END, STRONG_START, VISITS_BEFORE, VISITS_POST,
@@ -74,7 +73,7 @@ def candidate_visits(visits: DataFrame, ed_ids: DataFrame) -> DataFrame:
     An emergency visit has no stay and a concept of the emergency set. Other visits collapse
     to one row of nulls, which keeps the person known to have visits.
     """
-    ed = bounded(ed_ids.select(F.col(CONCEPT).alias("visit_concept_id"), F.lit(True).alias("is_ed")))
+    ed = ed_ids.select(F.col(CONCEPT).alias("visit_concept_id"), F.lit(True).alias("is_ed"))
     in_stay = F.col(STAY_START).isNotNull()
     return (
         visits.join(ed, "visit_concept_id", "left")

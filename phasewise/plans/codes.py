@@ -5,8 +5,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, functions as F
 
 from phasewise.functions.lineage import cut
+from phasewise.functions.sizing import bounded
 from phasewise.names import CONCEPT, DEATH, DOMAINS, DOSE, LAB_FLAGS
-from phasewise.operators import codesets
+from phasewise.operators import codesets, intake
 from phasewise.plans.study import CodeSets
 from phasewise.sources.tables import StudyTables
 
@@ -15,14 +16,15 @@ from phasewise.sources.tables import StudyTables
 class StudyCodes:
     """What every step needs to know about concepts.
 
-    ``roles`` and ``words`` have one row per concept (and domain) the study names, written
-    once. ``sheet_rows`` is the sheet itself: it names the output columns.
+    ``roles`` and ``words`` have one row per concept (and domain) the study names; they are
+    written and counted once. ``sheet_rows`` is the sheet itself: it names the output columns.
     """
 
     sheet: DataFrame
     sheet_rows: list[Row]
     roles: DataFrame
     words: DataFrame
+    sources: DataFrame
     indicators: list[str]
 
     def ids(self, role: str) -> DataFrame:
@@ -37,15 +39,18 @@ def _indicators(rows: list[Row]) -> list[str]:
 
 
 def resolve_codes(tables: StudyTables, sets: CodeSets) -> StudyCodes:
-    sheet = codesets.merge_sheets(tables.required_sheet, tables.custom_sheet)
-    rows = sheet.select(codesets.SET_NAME, codesets.INDICATOR, "domain", "pre_during_post").collect()
+    merged = codesets.merge_sheets(tables.required_sheet, tables.custom_sheet)
+    merged = merged.select(codesets.SET_NAME, codesets.INDICATOR, "domain", "pre_during_post")
+    rows = merged.collect()
+    sheet = merged.sparkSession.createDataFrame(rows, merged.schema)
     fixed = [DOSE, *LAB_FLAGS, DEATH]
     indicators = fixed + [i for i in _indicators(rows) if i not in fixed]
     pairs = codesets.domain_indicator_map(tables.concept_sets, sheet, DOMAINS)
     return StudyCodes(
         sheet=sheet,
         sheet_rows=rows,
-        roles=cut(codesets.concept_roles(tables.concept_sets, sets.roles())),
-        words=cut(codesets.indicator_words(pairs, indicators)),
+        roles=bounded(cut(codesets.concept_roles(tables.concept_sets, sets.roles()))),
+        words=bounded(cut(codesets.indicator_words(pairs, indicators))),
+        sources=intake.source_manifest(tables.manifest),
         indicators=indicators,
     )

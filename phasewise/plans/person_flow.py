@@ -51,12 +51,12 @@ def index_dates(tables: StudyTables, codes: StudyCodes) -> DataFrame:
     return index_event.index_date(labs, diagnoses)
 
 
-def counted_visits(tables: StudyTables, windows: Windows) -> DataFrame:
+def counted_visits(tables: StudyTables, sources: DataFrame, windows: Windows) -> DataFrame:
     """Plausible visits, one per stay or day."""
     columns = tables.visits.select(PERSON, names.PARTNER, names.STAY_START, visits.VISIT_START)
     return visits.visit_dedup(
         intake.plausible_dates(
-            columns, tables.manifest, visits.VISIT_START, windows.floor, windows.horizon_days
+            columns, sources, visits.VISIT_START, windows.floor, windows.horizon_days
         )
     )
 
@@ -68,14 +68,15 @@ def index_persons(tables: StudyTables, codes: StudyCodes, windows: Windows) -> D
     tables.
     """
     people = intake.person_sample(tables.person, windows.sample, windows.seed)
-    sources = bounded(intake.source_manifest(tables.manifest))
-    return cut(index_dates(tables, codes).join(people, PERSON).join(sources, names.PARTNER))
+    return cut(index_dates(tables, codes).join(people, PERSON).join(codes.sources, names.PARTNER))
 
 
-def build_cohort(tables: StudyTables, persons: DataFrame, windows: Windows) -> DataFrame:
+def build_cohort(
+    tables: StudyTables, persons: DataFrame, sources: DataFrame, windows: Windows
+) -> DataFrame:
     """One row per person with an index date: dates, demographics, place, source, visit measures."""
     max_shift = F.coalesce(persons.agg(F.max("shift_days")).scalar(), F.lit(0))
-    measures = visits.visit_measures(counted_visits(tables, windows), persons)
+    measures = visits.visit_measures(counted_visits(tables, sources, windows), persons)
     places = bounded(intake.locations(tables.location))
     described = demographics.age_at_index(demographics.date_of_birth(persons, windows.as_of, max_shift))
     grouped = demographics.race_ethnicity(demographics.race(described))
@@ -260,7 +261,7 @@ def run(tables: StudyTables, sets: CodeSets, windows: Windows) -> StudyResult:
     """Cohort, linked visits, deaths, day facts and person summary of a study."""
     codes = resolve_codes(tables, sets)
     persons = index_persons(tables, codes, windows)
-    cohort = build_cohort(tables, persons, windows)
+    cohort = build_cohort(tables, persons, codes.sources, windows)
     linked = linked_visits(tables, persons, codes, windows)
     death_rows = death_table(tables, persons, codes, windows)
     facts = build_day_facts(tables, persons, codes, linked, death_rows, windows)

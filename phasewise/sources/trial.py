@@ -5,6 +5,8 @@ engine check starts from the same rows on both sides. ``{k}`` is the event's cod
 expression the two engines spell differently.
 """
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 from phasewise.plans.study import CodeSets, Windows
@@ -203,6 +205,7 @@ def base_tables(spark: SparkSession, sf_dir: str) -> None:
 
 
 def _views(spark: SparkSession, sf_dir: str, texts: dict[str, str]) -> dict[str, DataFrame]:
+    """The input frames: plans only, no data is read or kept."""
     base_tables(spark, sf_dir)
     frames = {}
     for name, text in texts.items():
@@ -211,10 +214,12 @@ def _views(spark: SparkSession, sf_dir: str, texts: dict[str, str]) -> dict[str,
     return frames
 
 
+@lru_cache(maxsize=8)
 def study_tables(spark: SparkSession, sf_dir: str) -> StudyTables:
     frames = _views(spark, sf_dir, INPUTS)
     return StudyTables(**{table: frames[view] for table, view in STUDY_VIEWS.items()})
 
 
+@lru_cache(maxsize=8)
 def analysis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _views(spark, sf_dir, ANALYSIS)["in_analysis"]

@@ -190,5 +190,5 @@ def test_plausible_dates_drop_unknown_sources(frame):
     seen = frame("person_id long, data_partner_id long, visit_start_date date",
                  (1, 1, "2017-12-31"), (2, 1, "2018-01-01"), (3, 1, "01-24"), (4, 1, "01-25"),
                  (5, None, "01-01"), (6, 2, "01-01"), (7, 1, None))
-    kept = intake.plausible_dates(seen, manifest, "visit_start_date", N.FLOOR_DATE, 5)
+    kept = intake.plausible_dates(seen, intake.source_manifest(manifest), "visit_start_date", N.FLOOR_DATE, 5)
     assert [r[0] for r in rows(kept, "person_id")] == [2, 3]
