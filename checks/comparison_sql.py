@@ -88,9 +88,9 @@ def _xlogy(x: str, y: str) -> str:
     return f"(case when {x} > 0 then {x} * ln({y}) else 0 end)"
 
 
-def _odds(outcomes: list[str], weighted: bool) -> str:
-    """Odds ratios with limits found by repeated halving, one recursion for all rows."""
-    w = "ipw" if weighted else "1.0"
+def _odds(outcomes: list[str], weighted: bool) -> tuple[str, str]:
+    """Parts and select for odds ratios; limits by repeated halving, one recursion for all rows."""
+    w, kind = ("ipw", "w") if weighted else ("1.0", "u")
     cells = " union all ".join(
         f"""select '{y}' as outcome, count(*) as m, sum(case when {T} = 1 and {y} = 1 then {w} else 0 end) as a,
             sum(case when {T} = 1 and {y} = 0 then {w} else 0 end) as b,
@@ -106,29 +106,31 @@ def _odds(outcomes: list[str], weighted: bool) -> str:
     effect_loss = (f"({best1} + {best0} - (a * ln(exp(x) * {odds}) + c * ln({odds}) "
                    f"- (a + b) * ln(1 + exp(x) * {odds}) - (c + d) * ln(1 + {odds})))")
     base_loss = f"({best0} - (c * x - (c + d) * ln(1 + exp(x))))"
-    return f"""recursive cells as ({cells}),
-        ends as (select outcome, m, a, b, c, d, {phi} as phi, term, estimate, side, estimate as near, estimate + side * 80 as far from (
-            select *, '(Intercept)' as term, ln(c / d) as estimate from cells
-            union all select *, '{T}', ln(a * d / (b * c)) from cells) c, (select -1 as side union all select 1)),
-        halving as (
-            select *, 0 as step from ends
+    parts = f"""cells_{kind} as ({cells}),
+        ends_{kind} as (select outcome, m, a, b, c, d, {phi} as phi, term, estimate, side,
+            estimate as near, estimate + side * 80 as far from (
+            select *, '(Intercept)' as term, ln(c / d) as estimate from cells_{kind}
+            union all select *, '{T}', ln(a * d / (b * c)) from cells_{kind}),
+            (select -1 as side union all select 1)),
+        halving_{kind} as (
+            select *, 0 as step from ends_{kind}
             union all
             select outcome, m, a, b, c, d, phi, term, estimate, side,
                 case when ok then x else near end, case when ok then far else x end, step + 1 from (
                 select *, 2 * (case when term = '{T}' then {effect_loss} else {base_loss} end) <= {Z2} * phi as ok
-                from (select *, (near + far) / 2 as x from halving where step < 60)))
-        select outcome, {str(weighted).lower()} as weighted, term, round(exp(estimate), 6) as odds_ratio,
+                from (select *, (near + far) / 2 as x from halving_{kind} where step < 60)))"""
+    select = f"""select outcome, {str(weighted).lower()} as weighted, term, round(exp(estimate), 6) as odds_ratio,
             round(exp(max(near) filter (side = -1)), 6) as ci_low,
             round(exp(max(near) filter (side = 1)), 6) as ci_high
-        from halving where step = 60 group by outcome, term, estimate"""
+        from halving_{kind} where step = 60 group by outcome, term, estimate"""
+    return parts, select
 
 
-def _recursive(outcomes: list[str], weighted: bool) -> str:
+def _recursive(select: str, *own: str) -> str:
     """A statement whose own parts follow the shared ones."""
-    text = _odds(outcomes, weighted)
     shared = statement("select * from weighted", PARTS)
     parts = shared[len("with "):-len(" select * from weighted")]
-    return f"with recursive {parts}, {text[len('recursive '):]}"
+    return f"with recursive {', '.join([parts, *own])} {select}"
 
 
 ALL_OUTCOMES = [*N.OUTCOMES, N.LONG_TERM_OUTCOME]
@@ -183,6 +185,10 @@ SELECTS = {
 
 def statements() -> dict[str, str]:
     found = {key: statement(select, PARTS) for key, select in SELECTS.items()}
-    found["odds_ratio_unweighted"] = _recursive(ALL_OUTCOMES, False)
-    found["odds_ratio_weighted"] = _recursive(ALL_OUTCOMES, True)
+    plain, weighted = (_odds(ALL_OUTCOMES, w) for w in (False, True))
+    found["odds_ratio_unweighted"] = _recursive(plain[1], plain[0])
+    found["odds_ratio_weighted"] = _recursive(weighted[1], weighted[0])
+    (plain, plain_select), (weighted, weighted_select) = (_odds(N.OUTCOMES, w) for w in (False, True))
+    both = f"select 'vs_untreated' as comparison, * from ({plain_select} union all {weighted_select})"
+    found["outcome_table"] = _recursive(both, plain, weighted)
     return found

@@ -20,22 +20,29 @@ MAX_STEPS = 50
 
 
 def outcome_cells(df: DataFrame, treat: str, outcomes: list[str], weight: str | None = None) -> DataFrame:
-    """Per outcome: rows, weight sums n11, n10, n01, n00 (treated first, outcome second).
+    """Per outcome: rows and the cells n11, n10, n01, n00 (treated first, outcome second).
 
-    The data is grouped once by treatment and all outcomes; the few resulting rows are then
-    split by outcome. Rows with a missing outcome are left out of that outcome only.
+    One row with counts and, given a weight, one with weight sums (``weighted``). The data
+    is grouped once by treatment and all outcomes; the few resulting rows are then split by
+    outcome. Rows with a missing outcome are left out of that outcome only.
     """
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    w = F.lit(None).cast("double") if weight is None else F.col(weight).cast("double")
     grouped = df.where(F.col(treat).isNotNull()).groupBy(
         F.col(treat).alias("t"), *[F.col(y).alias(y) for y in outcomes]
     ).agg(F.count("*").alias("rows"), F.sum(w).alias("w"))
-    long = grouped.unpivot(["t", "rows", "w"], outcomes, "outcome", "y").where(F.col("y").isNotNull())
+    kinds = [(False, F.col("rows").cast("double"))] + ([] if weight is None else [(True, F.col("w"))])
+    sizes = F.array(*[F.struct(F.lit(k).alias("weighted"), size.alias("size")) for k, size in kinds])
+    long = (
+        grouped.unpivot(["t", "rows", "w"], outcomes, "outcome", "y")
+        .where(F.col("y").isNotNull())
+        .select("outcome", "t", "y", "rows", F.inline(sizes))
+    )
 
     def cell(t: int, y: int) -> Column:
-        found = F.sum(F.when((F.col("t") == t) & (F.col("y") == y), F.col("w")))
+        found = F.sum(F.when((F.col("t") == t) & (F.col("y") == y), F.col("size")))
         return F.coalesce(found, F.lit(0.0)).alias(f"n{t}{y}")
 
-    return long.groupBy("outcome").agg(
+    return long.groupBy("outcome", "weighted").agg(
         F.sum("rows").alias("rows"), cell(1, 1), cell(1, 0), cell(0, 1), cell(0, 0)
     )
 
@@ -72,7 +79,7 @@ def _safe_exp(x: Column) -> Column:
     return F.when(x >= 2 * FAR, F.lit(float("inf"))).when(x <= -2 * FAR, F.lit(0.0)).otherwise(F.exp(x))
 
 
-def cell_odds_ratios(cells: DataFrame, treat: str, weighted: bool) -> DataFrame:
+def cell_odds_ratios(cells: DataFrame, treat: str) -> DataFrame:
     """Odds ratios and intervals from outcome cells, without going back to the data.
 
     A logistic model of treatment alone is saturated: its estimates are ratios of cells, its
@@ -82,7 +89,7 @@ def cell_odds_ratios(cells: DataFrame, treat: str, weighted: bool) -> DataFrame:
     """
     a, b, c, d = (F.col(n) for n in ("n11", "n10", "n01", "n00"))
     treated, control, events = a + b, c + d, a + c
-    dispersion = (treated + control) / (F.col("rows") - 2) if weighted else F.lit(1.0)
+    dispersion = F.when(F.col("weighted"), (treated + control) / (F.col("rows") - 2)).otherwise(1.0)
     best_control = _arm_likelihood(c, d)
     best = _arm_likelihood(a, b) + best_control
 
@@ -98,30 +105,31 @@ def cell_odds_ratios(cells: DataFrame, treat: str, weighted: bool) -> DataFrame:
     def intercept_loss(base: Column) -> Column:
         return best_control - (c * base - control * F.log1p(F.exp(base)))
 
-    effect, base = _log_ratio(a * d, b * c), _log_ratio(c, d)
-    rows = []
-    for term, estimate, loss in ((INTERCEPT, base, intercept_loss), (treat, effect, treatment_loss)):
-        low, high = _limits(F.col("estimate"), loss, F.col("dispersion"))
-        rows.append(
-            cells.withColumns({"estimate": estimate, "dispersion": dispersion}).select(
-                "outcome", F.lit(weighted).alias("weighted"), F.lit(term).alias("term"),
-                _safe_exp(F.col("estimate")).alias("odds_ratio"),
-                F.exp(low).alias("ci_low"), F.exp(high).alias("ci_high"),
-            )
+    def term(name: str, estimate: str, loss: Callable[[Column], Column]) -> Column:
+        low, high = _limits(F.col(estimate), loss, F.col("dispersion"))
+        return F.struct(
+            F.lit(name).alias("term"), _safe_exp(F.col(estimate)).alias("odds_ratio"),
+            F.exp(low).alias("ci_low"), F.exp(high).alias("ci_high"),
         )
-    return reduce(DataFrame.unionByName, rows)
+
+    estimated = cells.withColumns({
+        "base": _log_ratio(c, d), "effect": _log_ratio(a * d, b * c), "dispersion": dispersion,
+    })
+    terms = F.array(term(INTERCEPT, "base", intercept_loss), term(treat, "effect", treatment_loss))
+    return estimated.select("outcome", "weighted", F.inline(terms))
 
 
 def odds_ratios(df: DataFrame, treat: str, outcomes: list[str], weight: str | None = None) -> DataFrame:
     """(outcome, weighted, term, odds_ratio, ci_low, ci_high) for intercept and treatment."""
-    return cell_odds_ratios(outcome_cells(df, treat, outcomes, weight), treat, weight is not None)
+    cells = outcome_cells(df, treat, outcomes, weight).where(F.col("weighted") == F.lit(weight is not None))
+    return cell_odds_ratios(cells, treat)
 
 
 def outcome_table(
     df: DataFrame, comparison: str, treat: str, outcomes: list[str], weight: str = "ipw"
 ) -> DataFrame:
     """Weighted and unweighted odds ratios of all outcomes of a comparison, in long form."""
-    both = odds_ratios(df, treat, outcomes, weight).unionByName(odds_ratios(df, treat, outcomes))
+    both = cell_odds_ratios(outcome_cells(df, treat, outcomes, weight), treat)
     return both.select(F.lit(comparison).alias("comparison"), *both.columns)
 
 

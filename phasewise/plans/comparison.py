@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from phasewise import names
+from phasewise.functions.lineage import cut
 from phasewise.operators import outcomes, populations, propensity, table_one
 
 
@@ -40,10 +41,13 @@ COMPARISONS = [VS_UNTREATED, ACTIVE_COMPARATOR, EARLY_TREATMENT, LONG_TERM]
 
 
 def weighted(analysis: DataFrame, comparison: Comparison) -> DataFrame:
-    """The comparison's population with scores and weights, trimmed."""
-    return propensity.weighted_population(
-        comparison.population(analysis), comparison.weight_treatment,
-        list(comparison.numeric), list(comparison.categorical), comparison.trim,
+    """The comparison's population with scores and weights, trimmed; written, as every
+    table of the comparison reads it."""
+    return cut(
+        propensity.weighted_population(
+            comparison.population(analysis), comparison.weight_treatment,
+            list(comparison.numeric), list(comparison.categorical), comparison.trim,
+        )
     )
 
 

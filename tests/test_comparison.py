@@ -205,9 +205,9 @@ def _profile_loss(cells, b):
 
 
 def test_odds_ratio_of_cells_and_limits(frame):
-    df = frame("outcome string, rows long, n11 double, n10 double, n01 double, n00 double",
-               ("y", 150, 20.0, 14.0, 73.0, 43.0))
-    found = {r.term: r for r in outcomes.cell_odds_ratios(df, "t", False).collect()}
+    df = frame("outcome string, weighted boolean, rows long, n11 double, n10 double, n01 double, n00 double",
+               ("y", False, 150, 20.0, 14.0, 73.0, 43.0))
+    found = {r.term: r for r in outcomes.cell_odds_ratios(df, "t").collect()}
     effect = found["t"]
     assert effect.odds_ratio == pytest.approx(20 * 43 / (14 * 73))
     assert found["(Intercept)"].odds_ratio == pytest.approx(73 / 43)
@@ -216,9 +216,9 @@ def test_odds_ratio_of_cells_and_limits(frame):
 
 
 def test_empty_cell_gives_an_open_end(frame):
-    df = frame("outcome string, rows long, n11 double, n10 double, n01 double, n00 double",
-               ("none", 100, 0.0, 20.0, 30.0, 50.0), ("all", 100, 20.0, 0.0, 30.0, 50.0))
-    found = {(r.outcome, r.term): r for r in outcomes.cell_odds_ratios(df, "t", False).collect()}
+    df = frame("outcome string, weighted boolean, rows long, n11 double, n10 double, n01 double, n00 double",
+               ("none", False, 100, 0.0, 20.0, 30.0, 50.0), ("all", False, 100, 20.0, 0.0, 30.0, 50.0))
+    found = {(r.outcome, r.term): r for r in outcomes.cell_odds_ratios(df, "t").collect()}
     none, every = found[("none", "t")], found[("all", "t")]
     assert none.odds_ratio == 0 and none.ci_low is None and 0 < none.ci_high < 1
     assert every.odds_ratio == math.inf and every.ci_high is None and every.ci_low > 1
