@@ -190,14 +190,14 @@ def merged_days(
     return merged.withColumns({BMI: bmi, OBESITY: F.coalesce(obese, F.lit(0))}).drop(*body)
 
 
-def fact_days(
+def covered_days(
     tables: StudyTables,
     cohort: DataFrame,
     codes: StudyCodes,
     death_days: DataFrame,
     windows: Windows,
 ) -> DataFrame:
-    """Merged days with a column per indicator and the stay that covers the day.
+    """Merged days with the stay that covers each, indicators still as bits.
 
     After the merge a person has at most one row per calendar day, so the window over one
     person stays small whoever the person is.
@@ -207,13 +207,23 @@ def fact_days(
         merged_days(tables, cohort, codes, death_days, windows)
         .withColumns(day_facts.latest_span(by_day))
         .where(F.col("is_fact"))
-        .select(
-            PERSON, DATE, *flags.unpacked(codes.indicators), BMI, OBESITY,
-            *day_facts.covering(),
-        )
+        .select(PERSON, DATE, *flags.word_names(codes.indicators), BMI, OBESITY, *day_facts.covering())
     )
 
 
+def fact_days(
+    tables: StudyTables,
+    cohort: DataFrame,
+    codes: StudyCodes,
+    death_days: DataFrame,
+    windows: Windows,
+) -> DataFrame:
+    """The same with a 0/1 column per indicator."""
+    days = covered_days(tables, cohort, codes, death_days, windows)
+    others = [c for c in days.columns if c not in flags.word_names(codes.indicators)]
+    return days.select(*others, *flags.unpacked(codes.indicators))
+
+
 def build_day_facts(
     tables: StudyTables,
     cohort: DataFrame,
@@ -225,11 +235,15 @@ def build_day_facts(
     """One row per cohort person and day, all indicators and flags.
 
     The merged days move once more, to their person: the windows for stays and reinfection
-    and the joins with person-level tables all run on that partitioning.
+    and the joins with person-level tables all run on that partitioning. Rows stay narrow
+    until the last projection spreads the indicator bits.
     """
-    days = fact_days(
+    indicators = codes.indicators
+    words = flags.word_names(indicators)
+    needed = [names.DEATH, day_facts.POSITIVE]
+    days = covered_days(
         tables, cohort, codes, plausible_death_days(death_rows, cohort, windows), windows
-    )
+    ).select("*", *[flags.flag(indicators, c).alias(c) for c in needed])
     attached = day_facts.attach_person_dates(days, cohort, linked)
     flagged = day_facts.stay_flags(
         day_facts.phase_flags(
@@ -238,8 +252,10 @@ def build_day_facts(
             )
         )
     )
-    dropped = [names.STRONG_END, names.STRONG_ED, names.WEAK_END, names.WEAK_ED]
-    return summary.fill_numbers(flagged.drop(*dropped), [BMI])
+    filled = summary.fill_numbers(flagged, [BMI])
+    dropped = [*words, *needed, names.STRONG_END, names.STRONG_ED, names.WEAK_END, names.WEAK_ED]
+    others = [c for c in filled.columns if c not in dropped]
+    return filled.select(*others, *flags.unpacked(indicators))
 
 
 # --- everything -----------------------------------------------------------------------
