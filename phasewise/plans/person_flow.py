@@ -16,7 +16,7 @@ from phasewise.operators import (
 )
 from phasewise.plans.codes import StudyCodes, resolve_codes
 from phasewise.plans.study import CodeSets, Windows
-from phasewise.sources.tables import StudyTables
+from phasewise.sources.tables import StudyTables, write_table
 
 # Source table, date column and concept column of each indicator domain.
 DOMAIN_SOURCES = {
@@ -263,7 +263,7 @@ def build_day_facts(
 
 @dataclass(frozen=True)
 class StudyResult:
-    """Output tables of the flow; codes, index persons and cohort are already written."""
+    """Output tables of the flow, still to be written or read."""
 
     codes: StudyCodes
     cohort: DataFrame
@@ -284,3 +284,12 @@ def run(tables: StudyTables, sets: CodeSets, windows: Windows) -> StudyResult:
     columns = summary.phase_column_lists(codes.sheet_rows, facts.columns)
     people = summary.person_summary(cohort, facts, linked, death_rows, columns)
     return StudyResult(codes, cohort, linked, death_rows, facts, people)
+
+
+OUTPUTS = ["cohort", "linked", "deaths", "day_facts", "person_summary"]
+
+
+def write_outputs(result: StudyResult, folder: str) -> None:
+    """Write every output table to ``folder/<name>`` as parquet."""
+    for name in OUTPUTS:
+        write_table(getattr(result, name), folder, name)
