@@ -13,11 +13,11 @@ MAX_BROADCAST_ROWS = 1_000_000
 def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``max_rows`` rows.
 
-    The rows are counted, not estimated, and the count stops at the bound. A larger side
-    is returned unmarked: Spark then shuffles the join and splits hot keys at run time.
+    The rows are counted, not estimated. A larger side is returned unmarked: Spark then
+    shuffles the join and splits hot keys at run time.
     """
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
 def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows

@@ -3,9 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phasewise.functions.dates import mask, plausible
-from phasewise.names import (
-    CONCEPT, DATE, DEATH, EXTRACTION, FLOOR_DATE, HORIZON_DAYS, PERSON,
-)
+from phasewise.names import CONCEPT, DATE, DEATH, EXTRACTION, FLOOR_DATE, HORIZON_DAYS, PERSON
 
 DEATH_DATE = "death_date"
 DISCHARGE = "discharge_to_concept_id"

@@ -58,7 +58,8 @@ def occurrence_intake(
     extra: dict[str, str] | None = None,
 ) -> DataFrame:
     """Dated events of cohort persons under common column names."""
-    return in_cohort(dated_events(events, date_col, concept_col, extra), cohort)
+    rows = dated_events(events, date_col, concept_col, extra)
+    return rows.join(bounded(cohort.select(PERSON), MAX_BROADCAST_IDS), PERSON, "left_semi")
 
 
 def person_sample(person: DataFrame, fraction: float = 1.0, seed: int = SAMPLE_SEED) -> DataFrame:

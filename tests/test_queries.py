@@ -71,3 +71,21 @@ def test_plan_has_no_cross_join_and_prunes_the_scan(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     for schema in re.findall(r"ReadSchema: struct<(.*?)>", plan):
         assert "o_totalprice" not in schema and "event_id,ts,user_id,event_type,value" not in schema
+
+
+def test_flow_without_any_broadcast(spark, con, monkeypatch):
+    """The way beyond every size bound: all joins shuffle, rows are cut to the cohort after merging."""
+    from phasewise.functions import sizing
+    from phasewise.operators import intake
+
+    monkeypatch.setattr(sizing, "fits", lambda df, n=0: False)
+    monkeypatch.setattr(intake, "fits", lambda df, n=0: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = entry.queries()["study_flow"](spark, FOLDER)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert compare.differences(df, con, entry.oracle_sql()["study_flow"]) == ""
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
