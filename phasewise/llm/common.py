@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +34,24 @@ def portions(texts: list[str | None], size: int = PORTION_CHARS) -> Iterator[lis
             part, total = [], 0
     if part:
         yield part
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows with equal leading ``keys`` columns, from batches sorted by them."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for c in batch.columns[:keys]:
+            change[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            own = tuple(c[a].as_py() for c in batch.columns[:keys])
+            if held and own != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held)

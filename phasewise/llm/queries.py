@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phasewise.llm import op1_sentencepiece, op2_url_filter, op6_packing
+from phasewise.llm import (
+    op1_sentencepiece,
+    op2_url_filter,
+    op6_packing,
+    op8_minhash,
+    op9_toxicity,
+    op10_license_scan,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece.query,
         "op2_url_filter": op2_url_filter.query,
         "op6_packing": op6_packing.query,
+        "op8_minhash": op8_minhash.query,
+        "op9_toxicity": op9_toxicity.query,
+        "op10_license_scan": op10_license_scan.query,
     }
 
 
