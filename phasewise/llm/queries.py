@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from phasewise.llm import (
     op1_sentencepiece,
     op2_url_filter,
+    op3_nearest,
     op6_packing,
+    op7_cover_tree,
     op8_minhash,
     op9_toxicity,
     op10_license_scan,
@@ -20,7 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece.query,
         "op2_url_filter": op2_url_filter.query,
+        "op3_nearest": op3_nearest.query,
         "op6_packing": op6_packing.query,
+        "op7_cover_tree": op7_cover_tree.query,
         "op8_minhash": op8_minhash.query,
         "op9_toxicity": op9_toxicity.query,
         "op10_license_scan": op10_license_scan.query,
