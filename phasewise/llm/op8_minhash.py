@@ -7,10 +7,10 @@ misses every bucket with a probability of (1 - 0.8^4)^32 = 5e-8.
 
 In each bucket every node is first held against the smallest one only.  A pair is verified
 by its signature (agreement well below the threshold rejects) and then on the full sets.
-Links found that way are joined to components.  Pairs of a bucket that are in one component
-already can change nothing.  All others, in buckets that still hold several components, are
-compared by signature in blocks of bounded size, so that no link is lost and no bucket, however
-large, has its pairs written out; those that pass are verified on full sets too.
+Links found that way are joined to components.  Nodes that share buckets, directly or
+through others, are a family.  Where a family still has several components, all its pairs
+across components are compared on their full sets, in blocks of bounded size: no link is lost,
+and no task returns more than one link per node, so no pairs are written out.
 
 Texts that are null, empty or only white space have no set and link with nothing; their
 component is their own id.  Repeated rows and equal ids are nodes by their text; a null id
@@ -37,8 +37,9 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Signatures whose agreement lies so many standard deviations below the threshold are not verified further.
 DEVIATIONS = 6
-#: Nodes of a bucket compared with as many others in one step.
-BLOCK = 512
+#: Nodes of a family compared with as many others in one step, and different n-grams looked at together.
+BLOCK = 256
+COLUMNS = 8192
 REMEMBERED_WORDS = 400_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -166,47 +167,70 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "a binary, b binary"))
 
 
-def across(buckets: DataFrame, roots: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components whose signatures agree enough, compared in blocks."""
-    placed = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = (placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-             .where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows = (placed.join(open_, "key").join(signatures, "node")
+def shared_grams(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets."""
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    total = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(values), COLUMNS):
+        own = (number >= at) & (number < at + COLUMNS)
+        has = np.zeros((len(sets), min(COLUMNS, len(values) - at)), np.float32)
+        has[row[own], number[own] - at] = 1
+        total += has[left] @ has[right].T
+    return total
+
+
+def across(pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Further links (a, b) between nodes that buckets connect and verified links do not yet.
+
+    Nodes that buckets connect, however indirectly, are a family.  Families of several
+    components are compared on their full sets, block by block, and each task returns no more
+    than one link per node.
+    """
+    roots = components(found).withColumnRenamed("node", "_node")
+    family = components(pairs).withColumnRenamed("root", "family")
+    placed = cut(family.join(roots, F.col("node") == F.col("_node"), "left")
+                 .select("family", "node", F.coalesce("root", "node").alias("root")))
+    open_ = (placed.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+             .where("low <> high").select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows = (placed.join(open_, "family").join(sets.select("node", "grams"), "node")
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    met = rows.select("key", "node", "root", "signature", "block", F.explode(others).alias("other"))
-    dealt = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                       "block", "node", "root", "signature")
-
-    least = least_agreement(percent)
+    met = rows.select("family", "node", "root", "grams", "block", F.explode(others).alias("other"))
+    dealt = met.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                       "block", "node", "root", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[bytes, bytes]] = []
-        for (_, i, j), rows_ in groups(batches, 3):
-            if len(rows_) < 2:
+        for (_, i, j), own in groups(batches, 3):
+            block, nodes = own["block"].to_numpy(), own["node"].to_pylist()
+            number = {r: k for k, r in enumerate(dict.fromkeys(own["root"].to_pylist()))}
+            root = np.array([number[r] for r in own["root"].to_pylist()])
+            if len(number) < 2:
                 continue
-            block = rows_["block"].to_numpy()
-            nodes, root = rows_["node"].to_pylist(), rows_["root"].to_pylist()
-            number = {r: k for k, r in enumerate(set(root))}
-            root_no = np.array([number[r] for r in root])
-            own = np.frombuffer(b"".join(rows_["signature"].to_pylist()), "<u4").reshape(-1, MINIMA)
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            for at in range(0, len(left), 16):
-                some = left[at:at + 16]
-                agree = (own[some, None, :] == own[None, right, :]).sum(axis=2)
-                x, y = np.nonzero((agree >= least) & (root_no[some, None] != root_no[None, right]))
-                found += [(nodes[a], nodes[b]) for a, b in zip(some[x], right[y])]
-            if len(found) > 10_000:
-                yield _pairs(found)
-                found = []
-        if found:
-            yield _pairs(found)
+            parent = list(range(len(number)))
 
-    def _pairs(found):
-        return pa.RecordBatch.from_arrays([pa.array([max(p) for p in found], pa.binary()), pa.array([min(p) for p in found], pa.binary())], names=["a", "b"])
+            def top(k: int) -> int:
+                while parent[k] != k:
+                    parent[k] = k = parent[parent[k]]
+                return k
 
-    return (dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(run, "a binary, b binary").distinct())
+            grams = [np.frombuffer(g, np.uint64) for g in own["grams"].to_pylist()]
+            size = np.array([len(g) for g in grams])
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            both = shared_grams(grams, left, right)
+            linked = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (root[left][:, None] != root[right][None, :])
+            some: list[tuple[bytes, bytes]] = []
+            for x, y in zip(*np.nonzero(linked)):
+                x, y = left[x], right[y]
+                p, q = top(root[x]), top(root[y])
+                if p != q:
+                    parent[p] = q
+                    some.append((nodes[x], nodes[y]))
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in some], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return (dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+            .mapInArrow(run, "a binary, b binary"))
 
 
 def links(docs: DataFrame, signed: DataFrame, words_each: int, percent: int, text_column: str) -> DataFrame:
@@ -222,9 +246,7 @@ def links(docs: DataFrame, signed: DataFrame, words_each: int, percent: int, tex
     keys = signed.join(wanted, "node").groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key")
     sets = cut(sets_of(docs, keys, words_each, text_column))
     found = cut(verified(pairs, sets, percent))
-    first = components(found)
-    more = verified(across(buckets.select("key", "node"), first, sets.select("node", "signature"), percent), sets, percent)
-    return components(found.union(more))
+    return components(found.union(across(pairs, found, sets, percent)))
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 5, percent: int = PERCENT, id_column: str = "doc_id",
