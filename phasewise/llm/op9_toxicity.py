@@ -11,8 +11,8 @@ weight per landmark.  As the kernel is a product over subsequences, landmarks an
 fold into one table of subsequence weights, with which a word is scored without visiting the
 landmarks one by one; the values are the same.
 
-A sentence scores as its worst word and a document by its two worst different words and the
-number of words beyond the margin, through a logistic curve fitted on the labelled documents.
+A sentence scores as its worst word and a document by its three worst different words, through a
+logistic curve fitted on the labelled documents.
 Words of single letters set apart (``i d i o t``) are read together.
 
 Only the texts are inputs of a score.  The fit uses a bounded sample of labelled documents
@@ -43,7 +43,11 @@ FOLDS = 5
 TRAIN_DOCS = 12_000
 POSITIVE_WORDS = 600
 NEGATIVE_WORDS = 1_500
-LANDMARKS = 160
+LANDMARKS = 240
+#: Times that the clean words with the highest scores join the examples, and how many.
+HARD_ROUNDS, HARD_WORDS = 2, 500
+#: A word is a landmark if so much of it is left unexplained by the landmarks before it.
+UNEXPLAINED = 0.3
 #: The kernel: characters of a subsequence, the longest stretch it may span, weight lost per character.
 LENGTH, SPAN, DECAY = 4, 7, 0.6
 #: Longer words are scored in overlapping windows of this many characters.
@@ -51,6 +55,8 @@ WINDOW = 24
 #: A word is an example of toxicity if at least so many toxic documents have it, so many times as often.
 LEAST_DOCS, LEAST_RATIO = 3, 4.0
 REMEMBERED_WORDS = 400_000
+#: Numbers that describe a document: its worst different words.
+FEATURES = 3
 #: Characters: a-z, one for word borders, the rest by hash.
 LETTERS, OTHERS = 27, 13
 BASE = LETTERS + OTHERS
@@ -175,27 +181,23 @@ class Model:
             self.known[c] = max((scores[w] for w in ws), default=self.bias)
 
     def document_features(self, texts: list[str]) -> np.ndarray:
-        """Worst and second worst different word, and words beyond the margin, of each text."""
+        """Scores of the worst different words of each text."""
         split = [chunks_of(t) for t in texts]
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
         self.learn(set().union(*split) - self.known.keys())
-        result = np.full((len(texts), 3), min(self.bias, -1.0))
-        result[:, 2] = 0
+        result = np.full((len(texts), FEATURES), min(self.bias, -1.0))
         for row, chunks in zip(result, split):
             values = np.fromiter(map(self.known.__getitem__, chunks), float, len(chunks))
-            if len(values):
-                row[0] = values.max()
-                row[2] = np.log1p((values > 0).sum())
-                if len(values) > 1:
-                    row[1] = np.partition(values, -2)[-2]
+            worst = np.sort(np.partition(values, -FEATURES)[-FEATURES:] if len(values) > FEATURES else values)[::-1]
+            row[:len(worst)] = worst
         return result
 
     def scores(self, features_: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features_ @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
-def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
+def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 200.0) -> tuple[np.ndarray, float]:
     """Linear support vector machine (squared hinge) by Newton steps on the active rows."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -225,40 +227,40 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def landmarks(words: list[str], own: list[dict[int, float]], count: int) -> list[int]:
-    """Words far from each other: each next one is the word least explained by those taken."""
+def landmarks(own: list[dict[int, float]], count: int) -> list[int]:
+    """The first words, but for those that the ones before already explain."""
     gram = kernel(own, own)
     left = gram.diagonal().copy()
-    basis = np.zeros((len(words), 0))
+    basis = np.zeros((len(own), 0))
     taken: list[int] = []
-    for _ in range(min(count, len(words))):
-        k = int(np.argmax(left))
-        if left[k] < 1e-6:
-            break
-        taken.append(k)
-        new = (gram[:, k] - basis @ basis[k]) / np.sqrt(left[k])
-        basis = np.hstack([basis, new[:, None]])
-        left = np.maximum(left - new ** 2, 0)
+    for k in range(len(own)):
+        if len(taken) < count and left[k] > UNEXPLAINED * gram[k, k]:
+            taken.append(k)
+            new = (gram[:, k] - basis @ basis[k]) / np.sqrt(left[k])
+            basis = np.hstack([basis, new[:, None]])
+            left = np.maximum(left - new ** 2, 0)
     return taken
 
 
-def word_model(positive: list[str], negative: list[str], count: int) -> Model:
+def word_model(positive: list[str], documents: np.ndarray, negative: list[str], count: int) -> Model:
+    """Words in order of importance; a positive word weighs as many times as documents show it."""
     words = positive + negative
     own = features(words)
-    half = landmarks(positive, own[:len(positive)], count // 2)
-    half += [len(positive) + k for k in landmarks(negative, own[len(positive):], count - len(half))]
-    chosen = [own[k] for k in half]
-    values, vectors = np.linalg.eigh(kernel(chosen, chosen))
+    chosen = landmarks(own[:len(positive)], count * 2 // 3)
+    chosen += [len(positive) + k for k in landmarks(own[len(positive):], count - len(chosen))]
+    marks = [own[k] for k in chosen]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
     good = values > 1e-6
     whiten = vectors[:, good] / np.sqrt(values[good])
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    w, bias = machine(kernel(own, chosen) @ whiten, y, np.where(y > 0, len(negative) / len(positive), 1.0) / len(y) * 2)
+    weight = np.r_[documents / documents.sum(), np.full(len(negative), 1 / len(negative))]
+    w, bias = machine(kernel(own, marks) @ whiten, y, weight)
     total: dict[int, float] = {}
-    for alpha, features_ in zip(whiten @ w, chosen):
+    for alpha, features_ in zip(whiten @ w, marks):
         for n, v in features_.items():
             total[n] = total.get(n, 0.0) + alpha * v
     numbers = np.array(sorted(total), np.int64)
-    return Model(numbers, np.array([total[n] for n in numbers.tolist()], np.float32), bias, np.zeros(4))
+    return Model(numbers, np.array([total[n] for n in numbers.tolist()], np.float32), bias, np.zeros(FEATURES + 1))
 
 
 def held_out(id_column: str) -> Column:
@@ -284,21 +286,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], names=["word", "y"])
 
     none = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0,
-                 np.array([0, 0, 0, np.log((toxic + 1) / (clean + 1))], float))
+                 np.append(np.zeros(FEATURES), np.log((toxic + 1) / (clean + 1))))
     if not toxic or not clean:
         return none
     counted = cut(sample.repartition(spark.sparkContext.defaultParallelism * 2).select("_text", "_toxic").mapInArrow(words, "word string, y int")
                   .groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")))
     ratio = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
-    positive = [r[0] for r in counted.where((F.col("t") >= LEAST_DOCS) & (ratio >= LEAST_RATIO))
-                .orderBy((F.col("t") * F.log(ratio)).desc(), "word").limit(POSITIVE_WORDS).collect()]
+    found = (counted.where((F.col("t") >= LEAST_DOCS) & (ratio >= LEAST_RATIO))
+                .orderBy((F.col("t") * F.log(ratio)).desc(), "word").limit(POSITIVE_WORDS).collect())
+    positive, documents = [r["word"] for r in found], np.array([r["t"] for r in found], float)
     usual = counted.where((F.col("c") >= 1) & (ratio < 1.5))
     negative = [r[0] for r in usual.orderBy(F.col("c").desc(), "word").limit(NEGATIVE_WORDS // 3).collect()]
     negative += [r[0] for r in usual.orderBy(F.xxhash64("word"), "word").limit(NEGATIVE_WORDS - len(negative)).collect()]
-    negative = sorted(set(negative))
+    negative = list(dict.fromkeys(negative))
     if not positive or not negative:
         return none
-    model = word_model(positive, negative, LANDMARKS)
+    model = word_model(positive, documents, negative, LANDMARKS)
+    for _ in range(HARD_ROUNDS):  # clean words that the machine takes for toxic join the examples
+        negative += [w for w in _hardest(counted.where("t = 0"), model) if w not in set(negative)]
+        model = word_model(positive, documents, negative, LANDMARKS)
+
+    names = [*(f"f{k}" for k in range(FEATURES)), "y"]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,15 +314,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
             for texts in portions(batch.column(0).to_pylist()):
                 found = model.document_features(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(found[:, k]) for k in range(3)), batch.column(1).slice(at, len(texts))], names=["a", "b", "n", "y"])
+                    [*(pa.array(found[:, k]) for k in range(FEATURES)), batch.column(1).slice(at, len(texts))], names=names)
                 at += len(texts)
 
     rows = np.array([tuple(r) for r in sample.select("_text", "_toxic").mapInArrow(
-        measured, "a double, b double, n double, y int").collect()], float)
-    model.curve = logistic(rows[:, :3], rows[:, 3])
+        measured, ", ".join(f"{n} double" for n in names[:-1]) + ", y int").collect()], float)
+    model.curve = logistic(rows[:, :-1], rows[:, -1])
     return model
 
 
+def _hardest(words: DataFrame, model: Model) -> list[str]:
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shared.value.word_scores(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["word", "score"])
+
+    scored = words.select("word").mapInArrow(run, "word string, score double")
+    return [r[0] for r in scored.orderBy(F.col("score").desc(), "word").limit(HARD_WORDS).collect()]
+
+
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs' id with held_out, score and predicted."""
     return _scored(docs.select(column(id_column).alias(id_column), column(text_column).cast("string").alias("_text")), model, "_text").select(
@@ -323,7 +343,8 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
 
 def _scored(rows: DataFrame, model: Model, text_column: str) -> DataFrame:
-    place = rows.columns.index(text_column)
+    columns = rows.columns
+    place = columns.index(text_column)
     schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema) + ", _score double"
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -332,7 +353,7 @@ def _scored(rows: DataFrame, model: Model, text_column: str) -> DataFrame:
         for batch in batches:
             found = [own.scores(own.document_features(texts)) for texts in portions(batch.column(place).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*rows.columns, "_score"])
+                [*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*columns, "_score"])
 
     return rows.mapInArrow(run, schema)
 
