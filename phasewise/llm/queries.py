@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from phasewise.llm import (
     op1_sentencepiece,
     op2_url_filter,
     op3_nearest,
+    op4_suffix_dedup,
+    op5_html_text,
     op6_packing,
     op7_cover_tree,
     op8_minhash,
@@ -23,11 +26,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece.query,
         "op2_url_filter": op2_url_filter.query,
         "op3_nearest": op3_nearest.query,
+        "op4_suffix_dedup": op4_suffix_dedup.query,
+        "op5_html_text": op5_html_text.query,
         "op6_packing": op6_packing.query,
         "op7_cover_tree": op7_cover_tree.query,
         "op8_minhash": op8_minhash.query,
         "op9_toxicity": op9_toxicity.query,
         "op10_license_scan": op10_license_scan.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
