@@ -1,7 +1,7 @@
 """Main text of web pages by boosted trees over DOM nodes and hierarchical decoding.
 
-A page is parsed into a tree of elements.  Block elements, and others with attribute tokens, are
-judged by gradient-boosted trees over their features: text and link density of the subtree, its
+A page is parsed into a tree of elements.  Containers, and any elements with attribute tokens, are
+judged (a paragraph or list item goes with its container) by gradient-boosted trees over their features: text and link density of the subtree, its
 punctuation, attribute tokens of the node and its ancestors, tags, depth, and how it compares
 with its siblings.  Decoding then picks the best set of nodes in which a node is kept only
 with all its ancestors: bottom up, a subtree is worth its own evidence, by the text it owns, plus
@@ -45,6 +45,8 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Blocks that stand or fall with what they are part of, unless they have attribute tokens.
+PARTS = frozenset("p li dt dd tr tbody thead tfoot h1 h2 h3 h4 h5 h6 blockquote pre caption figcaption legend summary center address hr".split())
 CLOSES_P = BLOCKS - frozenset("body caption html tbody td tfoot th thead tr li dd dt legend summary figcaption".split())
 #: An opening tag ends an open one of these, up to the nearest of the second set.
 IMPLIED = {
@@ -73,7 +75,7 @@ class Element:
         self.tag, self.parent, self.tokens, self.label, self.hidden = tag, parent, tokens, label, hidden
         self.children: list[Element | str] = []
         self.depth = parent.depth + 1 if parent else 0
-        self.scored = tag in BLOCKS or bool(tokens)
+        self.scored = tag in BLOCKS and tag not in PARTS or bool(tokens)
         self.in_p = tag == "p" or parent is not None and parent.in_p
 
 
@@ -230,7 +232,7 @@ def features(nodes: list[Element], odds: dict[str, float]) -> np.ndarray:
         while up is not None and id(up) not in above:
             up = up.parent
         low0, high0, out0, in0, tag0 = above[id(up)] if up is not None else (0.0, 0.0, 0, 0, 0)
-        values = [odds.get(t, 0.0) for t in node.tokens]
+        values = [odds[t] for t in node.tokens if t in odds]
         low, high = min(values, default=0.0), max(values, default=0.0)
         tag = TAG_NUMBER.get(node.tag, 0)
         outside, inside = node.tag in OUTSIDE, node.tag in INSIDE
@@ -385,7 +387,7 @@ def layout(own: random.Random, texts: list[str]) -> str:
     for _ in range(own.randint(1, 10)):
         parts.append(own.choices(
             (paragraphs(1, 1, 4), tag(own.choice(("h2", "h3")), 1, own.choice(texts)[:50]),
-             tag(own.choice(("ul", "ol")), 1, "".join(tag("li", 1, t[:150]) for t in some(2, 5))),
+             tag(own.choice(("ul", "ol")), 1, "".join(tag("li", 1, t[:own.choice((20, 150))]) for t in some(2, 8))),
              tag("blockquote", 1, paragraphs(1, 1, 2)), bad(own.choice(("ad", "share", "notice", "side", "form")))), (8, 2, 1, 1, 1.5))[0])
     if own.random() < 0.3:
         parts.append(bad("comments"))
@@ -393,7 +395,9 @@ def layout(own: random.Random, texts: list[str]) -> str:
     head = tag("header", 1, head) if own.random() < 0.15 else head
     good = tag(own.choice(("article", "div", "main", "section", "article")), 1, head + "".join(parts),
                named(own, GOOD_NAMES) if own.random() < 0.7 else "")
-    if own.random() < 0.5:
+    if own.random() < 0.1:
+        good = head + "".join(parts)
+    elif own.random() < 0.5:
         good = tag(own.choice(("div", "main", "section")), 1, good + (bad("side") if own.random() < 0.3 else ""),
                    named(own, GOOD_NAMES) if own.random() < 0.5 else "")
     before = [bad(k) for k in ("header", "nav", "notice", "ad", "form", "side") if own.random() < 0.45]
