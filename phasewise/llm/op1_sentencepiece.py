@@ -61,6 +61,7 @@ class Pieces:
         self.known = {t for t in self.id if len(t) == 1}
         self.joined = {t[k:k + 2] for t in self.id for k in range(len(t) - 1)}
         self.other = re.compile("[^" + "".join(map(re.escape, sorted(self.known))) + "]")
+        self.silent = {i for i, p in enumerate(model.pieces) if p.type == 3}
         #: What an id stands for; bytes above 127 as lone surrogates until all are joined.
         self.surface = [
             trainer.unk_surface if p.type == 2
@@ -298,10 +299,16 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; the first mark goes, and bytes that are not UTF-8 become U+FFFD."""
+        if not self.silent.isdisjoint(ids):  # bytes on both sides of a silent token are not one character
+            cuts = [-1, *(k for k, i in enumerate(ids) if i in self.silent), len(ids)]
+            text = "".join(self._joined(ids[a + 1:b]) for a, b in zip(cuts, cuts[1:]))
+        else:
+            text = self._joined(ids)
+        first = next((i for i in ids if i not in self.silent), None)
+        return text[1:] if first is not None and self.text[first].startswith(MARK) else text
+
+    def _joined(self, ids: list[int]) -> str:
         text = "".join(map(self.surface.__getitem__, ids))
-        first = next((i for i in ids if self.surface[i]), None)
-        if first is not None and self.text[first].startswith(MARK):
-            text = text[1:]
         if text.isascii():
             return text
         try:
