@@ -5,7 +5,8 @@ arithmetic is checked apart from the model. Doubles are rounded to 6 digits, as
 another order in every engine.
 """
 
-from functools import partial
+import dataclasses
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -68,9 +69,7 @@ def _odds(weight: str | None, a: DataFrame) -> DataFrame:
 
 
 def _adjusted(a: DataFrame) -> DataFrame:
-    return outcomes.odds_ratio_adjusted(
-        _weighted(a), N.OUTCOMES[0], N.TREATMENT, ["age_at_covid"], "ipw"
-    )
+    return comparison.outcomes_adjusted(_weighted(a), comparison.VS_UNTREATED)
 
 
 def _outcome_table(a: DataFrame) -> DataFrame:
@@ -103,8 +102,8 @@ _BUILDERS = {
     "smd_weighted": partial(_smd, "ipw"),
     "group_tests": lambda a: _tests(a).drop("p"),
     "group_test_p_values": lambda a: _tests(a).select("variable", "p"),
-    "group_tests_weighted": lambda a: _tests_weighted(a).where(F.col("test") == "F").drop("p"),
-    "group_test_p_values_weighted": _tests_weighted,
+    "group_tests_weighted": lambda a: _tests_weighted(a).drop("p"),
+    "group_test_p_values_weighted": lambda a: _tests_weighted(a).select("variable", "p"),
     "balance": lambda a: comparison.balance(_weighted(a)),
     "odds_ratio_unweighted": partial(_odds, None),
     "odds_ratio_weighted": partial(_odds, "ipw"),
@@ -115,6 +114,31 @@ _BUILDERS = {
 }
 
 
+# The comparisons with a score from one category: group shares, which SQL can follow to the end.
+ONE_CATEGORY_COMPARISONS = [
+    dataclasses.replace(c, numeric=(), categorical=("race_ethnicity",)) for c in comparison.COMPARISONS
+]
+WITHOUT_P = ("tests", "tests_weighted")
+
+
+def _compared(table: str, chosen: comparison.Comparison, a: DataFrame) -> DataFrame:
+    found = getattr(comparison.compare(a, chosen), table)()
+    return found.drop("p") if table in WITHOUT_P else found
+
+
+def _fit_reports(a: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [
+        comparison.compare(a, c).fit.select(F.lit(c.name).alias("comparison"), "*") for c in comparison.COMPARISONS])
+
+
+_BUILDERS |= {
+    **{f"weights_{c.name}_by_group": partial(_whole, c) for c in ONE_CATEGORY_COMPARISONS},
+    **{f"outcomes_{c.name}_by_group": partial(_whole_outcomes, c) for c in ONE_CATEGORY_COMPARISONS},
+    **{f"comparison_{t}": partial(_compared, t, ONE_CATEGORY_COMPARISONS[1]) for t in comparison.TABLES},
+    "fit_reports": lambda a: _fit_reports(a).drop("iterations"),
+}
+
+
 def _query(build, spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(build(trial.analysis_table(spark, sf_dir)))
 

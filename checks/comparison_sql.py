@@ -47,6 +47,46 @@ PARTS |= {
 }
 
 
+# Rao and Scott by explicit matrices over the cells (level x arm) of each variable: q projects on
+# the interaction space, v is the design covariance, both scaled by the expected shares.
+PARTS |= {
+    "cell_sums": """select variable, level, arm, coalesce(sum(w), 0) as n, coalesce(sum(w * w), 0) as n2, count(w) as rows
+        from all_levels left join levels using (variable, level, arm) group by all""",
+    "cells": """select *, n / t as p, n2 / t ** 2 as s, r * c as e,
+        sum(n2 / t ** 2) over (partition by variable) as ss from (
+        select *, sum(n) over (partition by variable) as t, sum(rows) over (partition by variable) as m,
+            sum(n) over (partition by variable, level) / sum(n) over (partition by variable) as r,
+            sum(n) over (partition by variable, arm) / sum(n) over (partition by variable) as c from cell_sums)""",
+    "cell_pairs": """select a.variable, a.level as l1, a.arm as a1, b.level as l2, b.arm as a2,
+        ((a.level = b.level)::int - sqrt(a.r * b.r)) * ((a.arm = b.arm)::int - sqrt(a.c * b.c)) as q,
+        a.m * a.m / (a.m - 1) * ((case when a.level = b.level and a.arm = b.arm then a.s else 0 end)
+            - a.p * b.s - a.s * b.p + a.p * b.p * a.ss) / sqrt(a.e * b.e) as v
+        from cells a join cells b using (variable)""",
+    "projected": """select x.variable, x.l1, x.a1, y.l2, y.a2, sum(x.q * y.v) as g from cell_pairs x
+        join cell_pairs y on x.variable = y.variable and x.l2 = y.l1 and x.a2 = y.a1 group by all""",
+    "traces": """select variable, sum(case when x.l1 = x.l2 and x.a1 = x.a2 then x.g else 0 end) as trace,
+        sum(x.g * y.g) as trace2
+        from projected x join projected y using (variable) where x.l1 = y.l2 and x.a1 = y.a2 and x.l2 = y.l1 and x.a2 = y.a1
+        group by variable""",
+    "rao_scott": """select variable, statistic / trace as statistic, trace ** 2 / trace2 as df1,
+        trace ** 2 / trace2 * (m - 1) as df2 from traces join (
+        select variable, any_value(m) as m, any_value(m) * sum((p - e) ** 2 / e) as statistic from cells group by variable)
+        using (variable)""",
+}
+
+
+def _tails(tests: str) -> str:
+    """Upper tails of F, or chi-square without df2, by Simpson's rule on the density of the root."""
+    log_density = """case when df2 is null
+        then (df1 - 1) * ln(y) - y * y / 2 - (df1 / 2 - 1) * ln(2) - lgamma(df1 / 2)
+        else ln(2) + lgamma((df1 + df2) / 2) - lgamma(df1 / 2) - lgamma(df2 / 2) + df1 / 2 * ln(df1 / df2)
+            + (df1 - 1) * ln(y) - (df1 + df2) / 2 * ln(1 + df1 * y * y / df2) end"""
+    return f"""select variable, sum(h / 3 * weight * exp({log_density})) as p from (
+        select variable, df1, df2, 0.002 as h, case when k in (0, 20000) then 1 when k % 2 = 1 then 4 else 2 end as weight,
+            greatest(sqrt(statistic), 1e-9) + 0.002 * k as y
+        from ({tests}), (select unnest(range(20001)) as k)) group by variable"""
+
+
 def _smd(numbers: str, p1: str, p0: str) -> str:
     """Two-level and larger categories by the same six sums, for shares p1 and p0."""
     a, d = f"(({p1} + {p0}) / 2)", f"({p1} - {p0})"
@@ -126,11 +166,11 @@ def _odds(outcomes: list[str], weighted: bool) -> tuple[str, str]:
     return parts, select
 
 
-def _recursive(select: str, *own: str) -> str:
+def _recursive(select: str, *own: str, parts: dict[str, str] | None = None) -> str:
     """A statement whose own parts follow the shared ones."""
-    shared = statement("select * from weighted", PARTS)
-    parts = shared[len("with "):-len(" select * from weighted")]
-    return f"with recursive {', '.join([parts, *own])} {select}"
+    shared = statement("select * from weighted", parts or PARTS)
+    before = shared[len("with "):-len(" select * from weighted")]
+    return f"with recursive {', '.join([before, *own])} {select}"
 
 
 ALL_OUTCOMES = [*N.OUTCOMES, N.LONG_TERM_OUTCOME]
@@ -178,11 +218,122 @@ SELECTS = {
             round((a.mean - b.mean) ** 2 / ((a.d2 / a.n ** 2 + b.d2 / b.n ** 2) * (a.rows + b.rows)
                 / (a.rows + b.rows - 1)), 6) as statistic,
             1.0::double as df1, cast(a.rows + b.rows - 2 as double) as df2
-        from described_w a join described_w b using (variable) where a.arm = 1 and b.arm = 0""",
+        from described_w a join described_w b using (variable) where a.arm = 1 and b.arm = 0
+        union all select variable, 'Rao-Scott', round(statistic, 6), round(df1, 6), round(df2, 6) from rao_scott""",
+    "group_test_p_values": "select variable, round(p, 6) as p from p_values",
+    "group_test_p_values_weighted": "select variable, round(p, 6) as p from p_values_w",
     "balance": _balance(),
 }
 
 
+PARTS["tests"] = SELECTS["group_tests"].replace("round(", "(").replace(", 6)", ")")
+PARTS["tests_w"] = SELECTS["group_tests_weighted"].replace("round(", "(").replace(", 6)", ")")
+PARTS["p_values"], PARTS["p_values_w"] = _tails("select * from tests"), _tails("select * from tests_w")
+
+
+def _cramer(matrix: list[list[str]], vector: list[str]) -> list[str]:
+    """Solution of three linear equations."""
+    def det(m: list[list[str]]) -> str:
+        (a, b, c), (d, e, f), (g, h, i) = m
+        return (f"(({a}) * (({e}) * ({i}) - ({f}) * ({h})) - ({b}) * (({d}) * ({i}) - ({f}) * ({g}))"
+                f" + ({c}) * (({d}) * ({h}) - ({e}) * ({g})))")
+
+    def replaced(k: int) -> list[list[str]]:
+        return [[vector[r] if c == k else matrix[r][c] for c in range(3)] for r in range(3)]
+
+    return [f"{det(replaced(k))} / {det(matrix)}" for k in range(3)]
+
+
+ADJUSTED_TERMS = ["(Intercept)", T, N.ADJUSTED_FOR[0]]
+
+
+def _adjusted(outcomes: list[str]) -> tuple[list[str], str]:
+    """Weighted logistic fit with one covariate and its profile limits, Newton steps written out."""
+    x = ["1.0", "t", "a"]
+    data = " union all ".join(
+        f"select '{y}' as outcome, cast({T} as double) as t, cast({N.ADJUSTED_FOR[0]} as double) as a, "
+        f"cast({y} as double) as y, ipw as w from weighted" for y in outcomes)
+    eta = "(b0 + b1 * t + b2 * a)"
+    sums = ", ".join(
+        [f"sum(w * (y * eta - greatest(eta, 0) - ln(1 + exp(-abs(eta))))) as ll", "sum(w * (y - mu) ** 2 / (mu * (1 - mu))) as pearson",
+         "count(*) as m", *[f"sum(w * (y - mu) * {x[i]}) as g{i}" for i in range(3)],
+         *[f"sum(w * mu * (1 - mu) * {x[i]} * {x[j]}) as h{i}{j}" for i in range(3) for j in range(3)]])
+
+    def summed(name: str, source: str, keys: str) -> str:
+        return f"""{name} as materialized (select {keys}, b0, b1, b2, {sums} from (
+            select *, {eta} as eta, 1 / (1 + exp(-{eta})) as mu from adjusted_data join {source} using (outcome)) group by all)"""
+
+    h = [[f"h{i}{j}" for j in range(3)] for i in range(3)]
+    step = _cramer(h, ["g0", "g1", "g2"])
+    parts = [f"adjusted_data as materialized ({data})",
+             "fit_0 as materialized (select distinct outcome, 0.0::double as b0, 0.0::double as b1, 0.0::double as b2 from adjusted_data)"]
+    for k in range(12):
+        parts += [summed(f"sum_{k}", f"fit_{k}", "outcome"),
+                  f"fit_{k + 1} as materialized (select outcome, {', '.join(f'b{i} + {step[i]} as b{i}' for i in range(3))} from sum_{k})"]
+    parts.append(summed("best", "fit_12", "outcome"))
+    columns = [_cramer(h, [str(float(i == k)) for i in range(3)]) for k in range(3)]  # of the inverse
+    starts = " union all ".join(
+        f"""select outcome, {k} as term, {side} as side, b{k} as estimate, pearson / (m - 3) as phi, ll - {Z2} * pearson / (m - 3) / 2 as target,
+            {', '.join(f'b{i} + {side} * sqrt({Z2} * pearson / (m - 3) / ({columns[k][k]})) * ({columns[k][i]}) as b{i}' for i in range(3))} from best"""
+        for k in range(3) for side in (-1, 1))
+    parts.append(f"end_0 as materialized ({starts})")
+    rows = [[f"case when term = {i} then g{j} else -h{i}{j} end" for j in range(3)] for i in range(3)]
+    aims = [f"case when term = {i} then ll - target else g{i} end" for i in range(3)]
+    moved = _cramer(rows, aims)
+    for k in range(15):
+        parts += [summed(f"limit_{k}", f"end_{k}", "outcome, term, side, estimate, phi, target"),
+                  f"""end_{k + 1} as materialized (select outcome, term, side, estimate, phi, target,
+                      {', '.join(f'b{i} - {moved[i]} as b{i}' for i in range(3))} from limit_{k})"""]
+    names_ = ", ".join(f"({i}, '{t}')" for i, t in enumerate(ADJUSTED_TERMS))
+    at = "case term when 0 then b0 when 1 then b1 else b2 end"
+    select = f"""select outcome, true as weighted, name as term, round(exp(any_value(estimate)), 6) as odds_ratio,
+        round(exp(max({at}) filter (side = -1)), 6) as ci_low, round(exp(max({at}) filter (side = 1)), 6) as ci_high,
+        true as converged, 0::bigint as rows_left_out
+        from end_15 join (values {names_}) n(term, name) using (term) group by outcome, name"""
+    return parts, select
+
+
+def _by_group(chosen) -> dict[str, str]:
+    """Parts of a comparison whose score is the treated share of each group."""
+    conditions = {"vs_untreated": f"{N.OTHER_TREATMENT} = 0 and {N.PRIOR_STAY} = 0",
+                  "early_treatment": f"{N.OTHER_TREATMENT} = 0 and {N.PRIOR_STAY} = 0",
+                  "active_comparator": f"{T} <> {N.OTHER_TREATMENT} and {N.PRIOR_STAY} = 0",
+                  "long_term": f"{N.FOLLOWED_UP} = 1"}
+    treat, (low, high) = chosen.weight_treatment, chosen.trim
+    return PARTS | {
+        "pop": f"select * from in_analysis where {conditions[chosen.name]}",
+        "scored": f"select *, avg({treat}) over (partition by race_ethnicity) as pr_score from pop",
+        "weighted": f"""select s.*, 1 / pr_score as iptw, p / pr_score as wt_stab,
+            case when {treat} = 1 then p / pr_score else (1 - p) / (1 - pr_score) end as ipw
+            from scored s, (select avg({treat}) as p, quantile_cont(pr_score, {low}) as lo, quantile_cont(pr_score, {high}) as hi
+            from scored) where pr_score > lo and pr_score < hi""",
+    }
+
+
+def _comparisons() -> dict[str, str]:
+    from checks.comparison_queries import ONE_CATEGORY_COMPARISONS
+
+    found = {}
+    for c in ONE_CATEGORY_COMPARISONS:
+        own = _by_group(c)
+        found[f"weights_{c.name}_by_group"] = statement(
+            f"""select person_id, {c.weight_treatment}, round(pr_score, 6) as pr_score, round(iptw, 6) as iptw,
+                round(wt_stab, 6) as wt_stab, round(ipw, 6) as ipw from weighted""", own)
+        (plain, plain_select), (weighted, weighted_select) = (_odds(list(c.outcomes), w) for w in (False, True))
+        found[f"outcomes_{c.name}_by_group"] = _recursive(
+            f"select '{c.name}' as comparison, * from ({plain_select} union all {weighted_select})", plain, weighted, parts=own)
+    c = ONE_CATEGORY_COMPARISONS[1]
+    own = _by_group(c)
+    for table, key in {"description": "table_one", "description_weighted": "table_one_weighted", "differences": "smd",
+                       "differences_weighted": "smd_weighted", "tests": "group_tests", "tests_weighted": "group_tests_weighted",
+                       "balance": "balance"}.items():
+        found[f"comparison_{table}"] = statement(SELECTS[key], own)
+    found["comparison_outcomes"] = found[f"outcomes_{c.name}_by_group"]
+    adjusted, select = _adjusted(list(c.outcomes))
+    found["comparison_outcomes_adjusted"] = _recursive(select, *adjusted, parts=own)
+    return found
+
+
 def statements() -> dict[str, str]:
     found = {key: statement(select, PARTS) for key, select in SELECTS.items()}
     plain, weighted = (_odds(ALL_OUTCOMES, w) for w in (False, True))
@@ -191,4 +342,6 @@ def statements() -> dict[str, str]:
     (plain, plain_select), (weighted, weighted_select) = (_odds(N.OUTCOMES, w) for w in (False, True))
     both = f"select 'vs_untreated' as comparison, * from ({plain_select} union all {weighted_select})"
     found["outcome_table"] = _recursive(both, plain, weighted)
-    return found
+    adjusted, adjusted_select = _adjusted(N.OUTCOMES)
+    found["odds_ratio_adjusted"] = _recursive(adjusted_select, *adjusted)
+    return found | _comparisons()

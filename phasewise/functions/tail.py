@@ -1,10 +1,15 @@
 """Upper tail probabilities for the few rows of a test table."""
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# Tasks get this module's functions themselves, so that workers need not find the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def chi_square_tail(x: float, df: float) -> float:
     """P(chi-square with ``df`` degrees of freedom > x)."""
@@ -64,8 +69,8 @@ def _fraction(term, limit: int = 100_000) -> float:
         c = (b + a / c) or tiny
         value *= c * d
         if abs(c * d - 1) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"a continued fraction did not settle in {limit} steps")
 
 
 def p_value(statistic: Column, df1: Column, df2: Column) -> Column:

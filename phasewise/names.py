@@ -157,6 +157,8 @@ PRIOR_STAY = "hosp180_pre_dx"
 FOLLOWED_UP = "d180"
 OUTCOMES = ["mort_30", "d30_composite"]
 LONG_TERM_OUTCOME = "pasc"
+# Further covariates of the adjusted outcome models.
+ADJUSTED_FOR = ["age_at_covid"]
 SCORE_CATEGORICAL = ["sex", "race_ethnicity"]
 SCORE_NUMERIC_BASE = [
     "age_at_covid", "mildliver", "cad", "chf", "mi", "htn", "cancer", "metcancer", "ckd",

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phasewise.functions.roots import bisect
+from phasewise.operators.propensity import NotConverged
 
 # 97.5 % point of the normal distribution: the limits are where the signed root of the
 # scaled deviance reaches it.
@@ -17,6 +18,9 @@ INTERCEPT = "(Intercept)"
 # Log odds beyond this are as good as infinite.
 FAR = 40.0
 MAX_STEPS = 50
+TOLERANCE = 1e-9
+# Parts of a Newton step that are tried together.
+STEP_PARTS = [2.0**-k for k in range(8)]
 
 
 def outcome_cells(df: DataFrame, treat: str, outcomes: list[str], weight: str | None = None) -> DataFrame:
@@ -134,32 +138,44 @@ def outcome_table(
 
 
 def odds_ratio_adjusted(
-    df: DataFrame, outcome: str, treat: str, covariates: list[str], weight: str
+    df: DataFrame, outcomes: list[str], treat: str, covariates: list[str], weight: str, on_failure: str = "error"
 ) -> DataFrame:
-    """Weighted odds ratios with further covariates, quasi-binomial dispersion.
+    """Weighted odds ratios with further covariates, quasi-binomial dispersion, per outcome.
 
     Rows with equal covariates, treatment and outcome are merged first and carry their
-    weight sum, so that each pass of the fit sees distinct patterns only. The profile limits
-    come from Newton's method on "likelihood at its limit, other slopes zero" (Venzon and
-    Moolgavkar 1988); one pass advances the limits of all terms together.
+    weight sum, so that each pass of the fit sees distinct patterns only; rows with a missing
+    value are left out and counted. The profile limits come from Newton's method on "likelihood
+    at its limit, other slopes zero" (Venzon and Moolgavkar 1988); one pass advances the limits
+    of all terms together. A limit that is not reached, or not on its side, is null (open).
+
+    A model without a finite estimate (separated data) raises ``NotConverged``; with
+    ``on_failure='mark'`` its numbers are null and ``converged`` is false.
     """
     terms = [treat, *covariates]
-    patterns = (
-        df.groupBy(*terms, outcome)
-        .agg(F.count("*").alias("_rows"), F.sum(weight).alias("_w"))
-        .select(*[F.col(t).cast("double").alias(t) for t in terms],
-                F.col(outcome).cast("double").alias("_y"), "_rows", "_w", F.lit(1.0).alias(INTERCEPT))
-        .dropna()
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        found = _profile(patterns, [INTERCEPT, *terms])
-    finally:
-        patterns.unpersist()
+    found = []
+    for outcome in outcomes:
+        patterns = (
+            df.groupBy(*terms, outcome)
+            .agg(F.count("*").alias("_rows"), F.sum(weight).alias("_w"))
+            .select(*[F.col(t).cast("double").alias(t) for t in terms],
+                    F.col(outcome).cast("double").alias("_y"), "_rows", "_w", F.lit(1.0).alias(INTERCEPT))
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        )
+        try:
+            whole = patterns.dropna()
+            rows, used = (x.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0] for x in (patterns, whole))
+            try:
+                estimates, converged = _profile(whole, [INTERCEPT, *terms], used), True
+            except NotConverged as e:
+                if on_failure == "error":
+                    raise NotConverged(f"{outcome}: {e}") from None
+                estimates, converged = {t: (None, None, None) for t in (INTERCEPT, *terms)}, False
+        finally:
+            patterns.unpersist()
+        found += [(outcome, True, term, *row, converged, rows - used) for term, row in estimates.items()]
     return df.sparkSession.createDataFrame(
-        [(outcome, True, term, *row) for term, row in found.items()],
-        "outcome string, weighted boolean, term string, odds_ratio double, ci_low double, ci_high double",
-    )
+        found, "outcome string, weighted boolean, term string, odds_ratio double, ci_low double, ci_high double, "
+               "converged boolean, rows_left_out long")
 
 
 def _likelihoods(patterns: DataFrame, terms: list[str], betas: list[np.ndarray]) -> list[tuple]:
@@ -188,34 +204,66 @@ def _likelihoods(patterns: DataFrame, terms: list[str], betas: list[np.ndarray])
     return found
 
 
-def _profile(patterns: DataFrame, terms: list[str], tolerance: float = 1e-9) -> dict[str, tuple]:
-    """Odds ratio and limits per term."""
+def _solve(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray | None:
+    try:
+        found = np.linalg.solve(matrix, vector)
+    except np.linalg.LinAlgError:
+        return None
+    return found if np.isfinite(found).all() else None
+
+
+def _maximum(patterns: DataFrame, terms: list[str]) -> tuple[np.ndarray, float, np.ndarray, float]:
+    """Estimate, log-likelihood, information and Pearson sum; the best part of each Newton step is taken."""
     beta = np.zeros(len(terms))
+    best, gradient, information, pearson = _likelihoods(patterns, terms, [beta])[0]
     for _ in range(MAX_STEPS):
-        best, gradient, information, pearson = _likelihoods(patterns, terms, [beta])[0]
-        step = np.linalg.solve(information, gradient)
-        beta = beta + step
-        if np.abs(step).max() < tolerance:
-            break
-    count = patterns.agg(F.sum("_rows")).first()[0]
+        step = _solve(information, gradient)
+        if step is None or np.abs(beta).max() > FAR:
+            raise NotConverged("the data are separated: the estimate runs to infinity")
+        tried = [beta + part * step for part in STEP_PARTS]
+        results = _likelihoods(patterns, terms, tried)
+        k = max(range(len(tried)), key=lambda i: (results[i][0] if math.isfinite(results[i][0]) else -math.inf, -i))
+        if np.abs(step).max() < TOLERANCE:
+            return tried[0], *results[0][:1], *results[0][2:]
+        if not results[k][0] >= best - 1e-9 * abs(best):
+            raise NotConverged("no part of a Newton step raises the likelihood")
+        beta, (best, gradient, information, pearson) = tried[k], results[k]
+    raise NotConverged(f"no estimate after {MAX_STEPS} steps")
+
+
+def _profile(patterns: DataFrame, terms: list[str], count: int) -> dict[str, tuple]:
+    """Odds ratio and limits per term."""
+    beta, best, information, pearson = _maximum(patterns, terms)
+    if count <= len(terms):
+        raise NotConverged("not more rows than terms")
     dispersion = pearson / (count - len(terms))
     target = best - Z * Z * dispersion / 2
     covariance = np.linalg.inv(information) * dispersion
-    ends = [
-        (i, beta + side * Z * covariance[:, i] / math.sqrt(covariance[i, i]))
+    ends = {
+        (i, side): beta + side * Z * covariance[:, i] / math.sqrt(covariance[i, i])
         for i in range(len(terms)) for side in (-1, 1)
-    ]
+    }
+    reached: dict[tuple[int, int], float] = {}
     for _ in range(MAX_STEPS):
-        moved = []
-        for (i, at), (value, gradient, information, _) in zip(ends, _likelihoods(patterns, terms, [e for _, e in ends])):
+        if not ends:
+            break
+        moved = {}
+        for (key, at), (value, gradient, information, _) in zip(
+                ends.items(), _likelihoods(patterns, terms, list(ends.values()))):
+            i, side = key
             aim, slopes = gradient.copy(), -information.copy()
             aim[i], slopes[i] = value - target, gradient
-            moved.append((i, at - np.linalg.solve(slopes, aim)))
-        change = max(np.abs(new - old).max() for (_, new), (_, old) in zip(moved, ends))
+            step = _solve(slopes, aim)
+            if step is None or np.abs(at).max() > FAR:
+                continue  # open
+            moved[key] = at - step
+            if np.abs(step).max() < TOLERANCE:
+                if side * (moved[key][i] - beta[i]) > 0:
+                    reached[key] = moved[key][i]
+                del moved[key]
         ends = moved
-        if change < tolerance:
-            break
-    return {
-        term: tuple(math.exp(v) for v in (beta[i], *sorted(e[i] for k, e in ends if k == i)))
-        for i, term in enumerate(terms)
-    }
+
+    def end(i: int, side: int) -> float | None:
+        return math.exp(reached[i, side]) if (i, side) in reached else None
+
+    return {term: (math.exp(beta[i]), end(i, -1), end(i, 1)) for i, term in enumerate(terms)}

@@ -1,6 +1,6 @@
 """Treatment probability, weights from it, and trimming."""
 
-import warnings
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import RFormula
@@ -14,21 +14,39 @@ from phasewise.names import TRIM_QUANTILES
 SCORE = "pr_score"
 MAX_ITERATIONS = 25
 TOLERANCE = 1e-8
+# A fitted probability this near to 0 or 1 comes from a coefficient on its way to infinity.
+SEPARATED = 1e-8
 
 
-def propensity(
+class NotConverged(ArithmeticError):
+    """A model without a finite maximum-likelihood estimate, or one not reached in time."""
+
+
+@dataclass(frozen=True)
+class Fit:
+    """Scored rows, and what the fit has to report: one row with treatment, rows used and left
+    out, iterations, and whether it converged."""
+
+    scored: DataFrame
+    report: DataFrame
+
+
+def fit(
     df: DataFrame,
     treat: str,
     numeric: list[str],
     categorical: list[str],
     on_missing: str = "error",
-) -> DataFrame:
-    """Add the fitted probability of treatment from a logistic model.
+    on_failure: str = "error",
+) -> Fit:
+    """Fitted probability of treatment from a logistic model.
 
     The alphabetically first level of a category is its reference level. A missing covariate
-    is an error; ``on_missing='skip'`` leaves such rows out of model and result. The fit
-    passes over the data once per iteration, so the model columns are kept in memory (or on
-    local disk) while it runs.
+    is an error; ``on_missing='skip'`` leaves such rows out of model and result and counts
+    them in the report. A fit that stops at its last iteration, or that drives a probability to
+    0 or 1 (separation), raises ``NotConverged``; with ``on_failure='mark'`` the scores are null
+    instead and the report says so. The fit passes over the data once per iteration, so the
+    model columns are kept in memory (or on local disk) while it runs.
     """
     formula = RFormula(
         formula=f"{treat} ~ " + " + ".join([*numeric, *categorical]),
@@ -42,11 +60,36 @@ def propensity(
             family="binomial", link="logit", featuresCol="_features", labelCol="_label",
             predictionCol=SCORE, maxIter=MAX_ITERATIONS, tol=TOLERANCE,
         ).fit(model_rows)
-        if model.summary.numIterations >= MAX_ITERATIONS:
-            warnings.warn(f"the model of {treat} did not converge in {MAX_ITERATIONS} iterations")
+        iterations = model.summary.numIterations
+        used, low, high = model.transform(model_rows).agg(
+            F.count("*"), F.min(SCORE), F.max(SCORE)).first()
     finally:
         model_rows.unpersist()
-    return model.transform(prepared).select(*df.columns, SCORE)
+    converged = iterations < MAX_ITERATIONS and low > SEPARATED and high < 1 - SEPARATED
+    if not converged and on_failure == "error":
+        raise NotConverged(
+            f"the model of {treat} has no estimate after {iterations} iterations; "
+            f"fitted probabilities from {low:.3g} to {high:.3g}")
+    scored = model.transform(prepared).select(*df.columns, SCORE)
+    if not converged:
+        scored = scored.withColumn(SCORE, F.lit(None).cast("double"))
+    left_out = df.count() - used if on_missing == "skip" else 0
+    report = df.sparkSession.createDataFrame(
+        [(treat, used, left_out, iterations, converged)],
+        "treatment string, rows long, rows_left_out long, iterations int, converged boolean")
+    return Fit(scored, report)
+
+
+def propensity(
+    df: DataFrame,
+    treat: str,
+    numeric: list[str],
+    categorical: list[str],
+    on_missing: str = "error",
+    on_failure: str = "error",
+) -> DataFrame:
+    """``df`` with the fitted probability of treatment; see ``fit``."""
+    return fit(df, treat, numeric, categorical, on_missing, on_failure).scored
 
 
 def ip_weights(df: DataFrame, treat: str, score: str = SCORE) -> DataFrame:
@@ -77,9 +120,22 @@ def weighted_population(
     categorical: list[str],
     trim: tuple[float, float] = TRIM_QUANTILES,
 ) -> DataFrame:
-    """Score, weigh and trim a population. The scored rows are written once."""
-    scored = cut(propensity(cut(df), treat, numeric, categorical))
-    return trim_by_quantile(ip_weights(scored, treat), SCORE, *trim)
+    """Score, weigh and trim a population. It is written once, and once more with its scores."""
+    return fitted_population(df, treat, numeric, categorical, trim).scored
+
+
+def fitted_population(
+    df: DataFrame,
+    treat: str,
+    numeric: list[str],
+    categorical: list[str],
+    trim: tuple[float, float] = TRIM_QUANTILES,
+    on_missing: str = "error",
+) -> Fit:
+    """The same with the report of the fit."""
+    found = fit(cut(df), treat, numeric, categorical, on_missing)
+    scored = cut(found.scored)
+    return Fit(trim_by_quantile(ip_weights(scored, treat), SCORE, *trim), found.report)
 
 
 def overlap_histogram(

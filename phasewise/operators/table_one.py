@@ -5,7 +5,8 @@ numbers and one per variable, level and arm for categories. The data is passed o
 each; every further step works on those few rows. Arms are 0 and 1.
 """
 
-from functools import reduce
+import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,7 +14,6 @@ from phasewise.functions.tail import p_value
 from phasewise.names import BALANCE_THRESHOLD
 
 ARM = "arm"
-_NUMERIC_SUMS = ["rows", "n", "mean", "variance", "n2", "d2"]
 
 
 def _number(df: DataFrame, column: str) -> Column:
@@ -27,45 +27,57 @@ def _weight(weight: str | None) -> Column:
     return F.lit(1.0) if weight is None else F.col(weight).cast("double")
 
 
+def _origins(df: DataFrame, numeric: list[str]) -> dict[str, float]:
+    """A value of each variable to count from: sums of squares of small differences keep their digits."""
+    row = df.select(*[F.coalesce(_number(df, v), F.lit(0.0)).alias(v) for v in numeric]).first() if numeric else None
+    return {v: float(row[i]) if row and math.isfinite(row[i]) else 0.0 for i, v in enumerate(numeric)}
+
+
 def numeric_sums(df: DataFrame, strata: str, numeric: list[str], weight: str | None = None) -> DataFrame:
-    """Per variable and arm: rows, weight sum n, mean and sample variance.
+    """Per variable and arm: rows, weight sum n, mean and sample variance, also without the weight.
 
     With weights the variance is sum w (x - mean)^2 / sum w times rows / (rows - 1); n2 is
-    the sum of squared weights and d2 that of (w (x - mean))^2, for the tests.
+    the sum of squared weights and d2 that of (w (x - mean))^2, for the tests. All of it comes
+    from one aggregate; values are counted from one of their own.
     """
     w = _weight(weight)
+    origins = _origins(df, numeric)
     aggregates = []
     for v in numeric:
-        x = _number(df, v)
+        x = _number(df, v) - F.lit(origins[v])
         known = F.when(x.isNotNull(), w)
         aggregates += [
             F.count(x).alias(f"{v}|rows"),
+            F.avg(x).alias(f"{v}|plain"),
+            F.var_samp(x).alias(f"{v}|spread"),
             F.sum(known).alias(f"{v}|n"),
-            (F.sum(w * x) if weight else F.sum(x)).alias(f"{v}|x"),
-            (F.sum(w * x * x) if weight else F.var_samp(x)).alias(f"{v}|xx"),
+            F.sum(w * x).alias(f"{v}|x"),
+            F.sum(w * x * x).alias(f"{v}|xx"),
             F.sum(known * known).alias(f"{v}|n2"),
             F.sum(w * w * x).alias(f"{v}|x2"),
             F.sum(w * w * x * x).alias(f"{v}|xx2"),
         ]
     arms = df.groupBy(F.col(strata).alias(ARM)).agg(*aggregates)
-    parts = ["rows", "n", "x", "xx", "n2", "x2", "xx2"]
-    stacked = ", ".join(f"'{v}', " + ", ".join(f"`{v}|{p}`" for p in parts) for v in numeric)
-    rows = arms.select(
-        ARM, F.expr(f"stack({len(numeric)}, {stacked}) as (variable, {', '.join(f'`{p}`' for p in parts)})")
-    )
+    parts = ["rows", "plain", "spread", "n", "x", "xx", "n2", "x2", "xx2"]
+    stacked = ", ".join(
+        f"'{v}', {origins[v]!r}D, " + ", ".join(f"`{v}|{p}`" for p in parts) for v in numeric)
+    rows = arms.select(ARM, F.expr(
+        f"stack({len(numeric)}, {stacked}) as (variable, origin, {', '.join(f'`{p}`' for p in parts)})"))
     mean = F.try_divide(F.col("x"), F.col("n"))
-    spread = F.col("xx")
-    if weight:
-        centred = F.greatest(F.try_divide(F.col("xx"), F.col("n")) - mean * mean, F.lit(0.0))
-        spread = centred * F.try_divide(F.col("rows"), F.col("rows") - 1)
+    centred = F.greatest(F.try_divide(F.col("xx"), F.col("n")) - mean * mean, F.lit(0.0))
+    variance = centred * F.try_divide(F.col("rows"), F.col("rows") - 1) if weight else F.col("spread")
     squares = F.col("xx2") - 2 * mean * F.col("x2") + mean * mean * F.col("n2")
+    plain = F.col("plain") + F.col("origin")
     return rows.select(
-        "variable", ARM, "rows", "n", mean.alias("mean"), spread.alias("variance"), "n2", squares.alias("d2")
+        "variable", ARM, "rows", "n", (mean + F.col("origin") if weight else plain).alias("mean"),
+        variance.alias("variance"), "n2", squares.alias("d2"),
+        plain.alias("plain_mean"), F.col("spread").alias("plain_variance"),
     )
 
 
 def level_sums(df: DataFrame, strata: str, factors: list[str], weight: str | None = None) -> DataFrame:
-    """Per variable, level and arm: rows, weight sum, squared weight sum, share of the arm."""
+    """Per variable, level and arm: rows, weight sum, squared weight sum, share of the arm,
+    and the share without the weight."""
     w = _weight(weight)
     long = df.select(
         F.col(strata).alias(ARM), w.alias("w"), *[F.col(f).cast("string").alias(f) for f in factors]
@@ -75,8 +87,11 @@ def level_sums(df: DataFrame, strata: str, factors: list[str], weight: str | Non
         .groupBy("variable", "level", ARM)
         .agg(F.count("*").alias("rows"), F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("n2"))
     )
-    of_arm = Window.partitionBy("variable", ARM)
-    return sums.withColumn("share", F.col("n") / F.sum("n").over(of_arm))
+    of_arm = sums.groupBy("variable", ARM).agg(F.sum("n").alias("arm_n"), F.sum("rows").alias("arm_rows"))
+    return sums.join(of_arm, ["variable", ARM]).select(
+        "variable", "level", ARM, "rows", "n", "n2", (F.col("n") / F.col("arm_n")).alias("share"),
+        (F.col("rows") / F.col("arm_rows")).alias("plain_share"),
+    )
 
 
 def table_one(
@@ -88,17 +103,14 @@ def table_one(
     """
     none = F.lit(None).cast("double")
     text = F.lit(None).cast("string")
-    size = df.groupBy(F.col(strata).alias(ARM)).agg(F.sum(_weight(weight)).alias("n"))
-    return reduce(DataFrame.unionByName, [
-        size.select(F.lit("n").alias("variable"), text.alias("level"), ARM, "n",
-                    none.alias("mean"), none.alias("sd"), none.alias("percent")),
-        numeric_sums(df, strata, numeric, weight).select(
-            "variable", text.alias("level"), ARM, "n", "mean", F.sqrt("variance").alias("sd"),
-            none.alias("percent")),
-        level_sums(df, strata, factors, weight).select(
-            "variable", "level", ARM, "n", none.alias("mean"), none.alias("sd"),
-            (100 * F.col("share")).alias("percent")),
-    ])
+    # the arm's size is a factor with one level
+    levels = level_sums(df.withColumn("n", F.lit("")), strata, ["n", *factors], weight)
+    size = F.col("variable") == "n"
+    return levels.select(
+        "variable", F.when(~size, F.col("level")).alias("level"), ARM, "n", none.alias("mean"), none.alias("sd"),
+        F.when(~size, 100 * F.col("share")).alias("percent"),
+    ).unionByName(numeric_sums(df, strata, numeric, weight).select(
+        "variable", text.alias("level"), ARM, "n", "mean", F.sqrt("variance").alias("sd"), none.alias("percent")))
 
 
 def _by_arm(df: DataFrame, keys: list[str], columns: list[str], missing: float | None = None) -> DataFrame:
@@ -205,56 +217,61 @@ def group_tests_weighted(
         F.try_divide(F.pow(F.col("mean1") - F.col("mean0"), 2), error).alias("statistic"),
         F.lit(1.0).alias("df1"), (rows - 2).cast("double").alias("df2"),
     )
-    corrected = (
-        level_sums(df, strata, factors, weight)
-        .groupBy("variable")
-        .applyInPandas(_rao_scott, "variable string, test string, statistic double, df1 double, df2 double")
-    )
-    return _with_p(wald.unionByName(corrected))
-
-
-def _rao_scott(cells):
-    """One variable's cells (level x arm, with rows, n, n2) to its corrected statistic."""
-    import numpy as np
-    import pandas as pd
-
-    wide = cells.pivot_table(index="level", columns=ARM, values=["rows", "n", "n2"], aggfunc="sum", fill_value=0)
-    weights = wide["n"].to_numpy(float)
-    squares = wide["n2"].to_numpy(float)
-    count = float(wide["rows"].to_numpy().sum())
-    levels, arms = weights.shape
-    if levels < 2 or arms < 2:
-        return pd.DataFrame([[cells["variable"].iloc[0], "Rao-Scott", None, None, None]],
-                            columns=["variable", "test", "statistic", "df1", "df2"])
-    total = weights.sum()
-    p = (weights / total).ravel()
-    row, col = weights.sum(1) / total, weights.sum(0) / total
-    independent = np.outer(row, col).ravel()
-    statistic = count * ((p - independent) ** 2 / independent).sum()
-    s = squares.ravel() / total**2
-    covariance = (np.diag(s) - np.outer(p, s) - np.outer(s, p) + np.outer(p, p) * s.sum()) * count / (count - 1)
-    # Contrasts: the interaction columns, made orthogonal to the main effects.
-    main = np.column_stack(
-        [np.ones(levels * arms)]
-        + [np.kron(np.eye(levels)[:, i], np.ones(arms)) for i in range(1, levels)]
-        + [np.kron(np.ones(levels), np.eye(arms)[:, j]) for j in range(1, arms)]
+    return _with_p(wald.unionByName(_rao_scott(level_sums(df, strata, factors, weight))))
+
+
+def _rao_scott(sums: DataFrame) -> DataFrame:
+    """Second-order corrected chi-square, as F, of each variable's levels by arm.
+
+    The correction needs the trace of the design covariance of the shares, scaled by the expected
+    ones and projected on the interaction space, and the trace of its square. The projection is a
+    product of one for levels and one for arms and the covariance is diagonal plus outer
+    products, so both traces are sums over the levels.
+    """
+    cells = _by_arm(sums, ["variable", "level"], ["rows", "n", "n2"], 0.0)
+    totals = cells.groupBy("variable").agg(
+        F.sum("n1").alias("all1"), F.sum("n0").alias("all0"), F.sum("n21").alias("sq1"), F.sum("n20").alias("sq0"),
+        F.sum(F.col("rows1") + F.col("rows0")).alias("count"), F.count("*").alias("levels"),
+    ).where((F.col("levels") > 1) & (F.col("all1") > 0) & (F.col("all0") > 0))
+    total = F.col("all1") + F.col("all0")
+    r = (F.col("n1") + F.col("n0")) / total
+    squares = (F.col("sq1") + F.col("sq0")) / (total * total)
+    of_level = (F.col("n21") + F.col("n20")) / (total * total)
+    parts = {name: [] for name in ("x", "tq", "aa", "ab", "bb", "daa", "dab", "t1")}
+    in_level, by_arm = F.lit(0.0), {}
+    for arm in (1, 0):
+        c = F.col(f"all{arm}") / total
+        p, s, s_arm = F.col(f"n{arm}") / total, F.col(f"n2{arm}") / (total * total), F.col(f"sq{arm}") / (total * total)
+        expected = F.sqrt(r * c)
+        d = s / (r * c)
+        alpha = p / expected - expected
+        beta = s / expected - F.sqrt(r) * s_arm / F.sqrt(c) - F.sqrt(c) * of_level / F.sqrt(r) + expected * squares
+        for name, value in {
+            "x": alpha * alpha, "tq": (1 - r) * (1 - c) * d, "aa": alpha * alpha, "ab": alpha * beta, "bb": beta * beta,
+            "daa": d * alpha * alpha, "dab": d * alpha * beta, "t1": (1 - 2 * r) * (1 - 2 * c) * d * d,
+        }.items():
+            parts[name].append(value)
+        in_level = in_level + c * d
+        by_arm[f"e{arm}"] = r * d
+    found = cells.join(totals, "variable").groupBy("variable", "all1", "all0", "sq1", "sq0", "count").agg(
+        *[F.sum(v[0] + v[1]).alias(n) for n, v in parts.items()],
+        F.sum((1 - 2 * r) * in_level * in_level).alias("t2"), *[F.sum(e).alias(n) for n, e in by_arm.items()],
     )
-    cross = np.column_stack([
-        np.kron(np.eye(levels)[:, i], np.eye(arms)[:, j])
-        for i in range(1, levels) for j in range(1, arms)
-    ])
-    weight = np.diag(independent)
-    cross = cross - main @ np.linalg.solve(main.T @ weight @ main, main.T @ weight @ cross)
-    inverse = np.diag(1 / independent)
-    multinomial = (np.diag(independent) - np.outer(independent, independent)) / count
-    design = np.linalg.solve(cross.T @ inverse @ multinomial @ inverse @ cross,
-                             cross.T @ inverse @ covariance @ inverse @ cross)
-    trace, trace2 = np.trace(design), np.trace(design @ design)
-    df1 = trace**2 / trace2
-    return pd.DataFrame(
-        [[cells["variable"].iloc[0], "Rao-Scott", statistic / trace, df1, df1 * (count - 1)]],
-        columns=["variable", "test", "statistic", "df1", "df2"],
+    c1, c0 = F.col("all1") / total, F.col("all0") / total
+    e1, e0, aa, ab, bb = (F.col(n) for n in ("e1", "e0", "aa", "ab", "bb"))
+    diagonal = F.col("t1") + F.col("t2") + (1 - 2 * c1) * e1 * e1 + (1 - 2 * c0) * e0 * e0 + F.pow(c1 * e1 + c0 * e0, 2)
+    scale = F.col("count") * F.col("count") / (F.col("count") - 1)
+    trace = scale * (F.col("tq") - 2 * ab + squares * aa)
+    trace2 = scale * scale * (
+        diagonal - 4 * F.col("dab") + 2 * squares * F.col("daa") + 2 * ab * ab + 2 * aa * bb
+        - 4 * squares * aa * ab + squares * squares * aa * aa
     )
+    df1 = F.try_divide(trace * trace, trace2)
+    tested = found.select(
+        "variable", F.try_divide(F.col("count") * F.col("x"), trace).alias("statistic"), df1.alias("df1"),
+        (df1 * (F.col("count") - 1)).alias("df2"))
+    return cells.select("variable").distinct().join(tested, "variable", "left").select(
+        "variable", F.lit("Rao-Scott").alias("test"), "statistic", "df1", "df2")
 
 
 def _with_p(tests: DataFrame) -> DataFrame:
@@ -275,25 +292,29 @@ def balance(
     Each level counts as a 0/1 covariate. ``denominator`` tells whose variances standardise
     the weighted difference.
     """
-    def differences(weighted: str | None) -> DataFrame:
-        numbers = _by_arm(numeric_sums(df, treat, numeric, weighted), ["variable"], ["mean", "variance"])
-        levels = _by_arm(level_sums(df, treat, factors, weighted), ["variable", "level"], ["share"], 0.0)
-        share_variance = sum(F.col(f"share{a}") * (1 - F.col(f"share{a}")) for a in (1, 0)) / 2
-        return numbers.select(
-            "variable", F.lit("").alias("level"), (F.col("mean1") - F.col("mean0")).alias("difference"),
-            F.sqrt((F.col("variance1") + F.col("variance0")) / 2).alias("scale"),
-        ).unionByName(
-            levels.select("variable", "level", (F.col("share1") - F.col("share0")).alias("difference"),
-                          F.sqrt(share_variance).alias("scale"))
-        )
+    numbers = _by_arm(
+        numeric_sums(df, treat, numeric, weight), ["variable"], ["mean", "variance", "plain_mean", "plain_variance"])
+    levels = _by_arm(level_sums(df, treat, factors, weight), ["variable", "level"], ["share", "plain_share"], 0.0)
 
-    plain = differences(None)
-    adjusted = differences(weight).withColumnsRenamed({"difference": "weighted", "scale": "weighted_scale"})
+    def of_numbers(kind: str) -> list[Column]:
+        mean, variance = ([F.col(f"{kind}{c}{a}") for a in (1, 0)] for c in ("mean", "variance"))
+        return [mean[0] - mean[1], F.sqrt((variance[0] + variance[1]) / 2)]
+
+    def of_levels(kind: str) -> list[Column]:
+        p1, p0 = F.col(f"{kind}share1"), F.col(f"{kind}share0")
+        return [p1 - p0, F.sqrt((p1 * (1 - p1) + p0 * (1 - p0)) / 2)]
+
+    def named(of: Callable[[str], list[Column]]) -> list[Column]:
+        columns = [*of("plain_"), *of("")]
+        return [c.alias(n) for c, n in zip(columns, ("difference", "scale", "weighted", "weighted_scale"))]
+
+    text = F.lit(None).cast("string")
     scale = F.col("scale") if denominator == "unweighted" else F.col("weighted_scale")
     return (
-        plain.join(adjusted, ["variable", "level"])
+        numbers.select("variable", text.alias("level"), *named(of_numbers))
+        .unionByName(levels.select("variable", "level", *named(of_levels)))
         .select(
-            "variable", F.nullif("level", F.lit("")).alias("level"),
+            "variable", "level",
             F.abs(F.try_divide("difference", "scale")).alias("smd_unweighted"),
             F.abs(F.try_divide(F.col("weighted"), scale)).alias("smd_weighted"),
         )

@@ -164,7 +164,7 @@ ANALYSIS = {
         select k as person_id,
                cast(case when c_mktsegment in ('BUILDING', 'FURNITURE') then 1 else 0 end as int) as "MOLNUPIRAVIR",
                cast(case when c_mktsegment in ('MACHINERY', 'FURNITURE') then 1 else 0 end as int) as "PAXLOVID",
-               cast(case when c_mktsegment = 'BUILDING' and u < 2 then 1 else 0 end as int) as "d3_MOLNUPIRAVIR",
+               cast(case when c_mktsegment = 'BUILDING' and (k * 3 + n) % 4 < 2 then 1 else 0 end as int) as "d3_MOLNUPIRAVIR",
                cast(case when top_price > 450000 then 1 else 0 end as int) as mort_30,
                cast(case when top_price > 400000 then 1 else 0 end as int) as d30_composite,
                cast(case when (n + u) % 3 = 0 then 1 else 0 end as int) as pasc,

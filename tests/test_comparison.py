@@ -75,9 +75,9 @@ def test_saturated_weights_sum_to_arm_sizes(sample):
     assert math.isclose(sums[0], 600 - table["t"].sum(), rel_tol=1e-6)
 
 
-@pytest.mark.parametrize("small", [0, 10**9])
-def test_quantiles_are_exact(spark, monkeypatch, small):
-    monkeypatch.setattr(quantiles, "SMALL", small)
+@pytest.mark.parametrize("last", [1, 50, 10**9])
+def test_quantiles_are_exact(spark, monkeypatch, last):
+    monkeypatch.setattr(quantiles, "LAST_VALUES", last)
     n = 60_000
     df = spark.range(n, numPartitions=5).select(
         F.when(F.col("id") % 3 == 0, F.lit(0.25)).otherwise(F.pow(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003, 3)).alias("v"))
@@ -169,12 +169,35 @@ def test_weighted_tests(sample, spark):
         influence[here] = sign * w * (table["x"][here] - means[a]) / w.sum()
     variance = 600 / 599 * (influence ** 2).sum()
     assert found["x"].statistic == pytest.approx((means[1] - means[0]) ** 2 / variance)
-    assert 0 < found["c"].p < 1 and 0 < found["f"].df1 <= 1.0000001
-    # With equal weights the correction is n / (n - 1) and nothing else.
-    flat = table_one.group_tests_weighted(df.withColumn("one", F.lit(1.0)), "t", ["x"], ["c"], "one")
-    plain = {r.variable: r.statistic for r in table_one.group_tests(df, "t", ["x"], ["c"]).collect()}
-    corrected = {r.variable: r.statistic for r in flat.collect()}["c"]
-    assert corrected == pytest.approx(plain["c"] / 2, rel=0.05)
+    for name in ("c", "f"):
+        statistic, df1 = _design_corrected(table[name], table["t"], table["w"])
+        assert found[name].statistic == pytest.approx(statistic) and found[name].df1 == pytest.approx(df1)
+        assert found[name].df2 == pytest.approx(df1 * 599) and found[name].p == pytest.approx(f_tail(statistic, df1, df1 * 599))
+
+
+def _design_corrected(levels, arms, weights):
+    """Statistic and df1 from the log-linear form: interaction contrasts against main effects, by matrices."""
+    names = sorted(set(levels))
+    cell = np.array([names.index(v) * 2 + a for v, a in zip(levels, arms)])
+    k, n = len(names), len(cell)
+    share = np.array([weights[cell == c].sum() for c in range(2 * k)]) / weights.sum()
+    scores = (np.eye(2 * k)[cell] - share) * (weights / weights.sum())[:, None]
+    design = n / (n - 1) * scores.T @ scores
+    row, col = share.reshape(k, 2).sum(1), share.reshape(k, 2).sum(0)
+    expected = np.outer(row, col).ravel()
+    main = np.column_stack([np.ones(2 * k), np.kron(np.eye(k)[:, 1:], np.ones((2, 1))), np.kron(np.ones((k, 1)), np.eye(2)[:, 1:])])
+    cross = np.column_stack([np.kron(np.eye(k)[:, i], np.eye(2)[:, 1]) for i in range(1, k)])
+    cross = cross - main @ np.linalg.lstsq(main, cross, rcond=None)[0]
+    inverse = np.diag(1 / expected)
+    delta = np.linalg.solve(cross.T @ (inverse / n) @ cross, cross.T @ inverse @ design @ inverse @ cross)
+    statistic = n * ((share - expected) ** 2 / expected).sum()
+    return statistic / np.trace(delta), np.trace(delta) ** 2 / np.trace(delta @ delta)
+
+
+def test_weighted_test_of_one_level_is_null(sample):
+    df, _ = sample
+    row = table_one.group_tests_weighted(df.withColumn("one", F.lit("a")), "t", ["x"], ["one"], "w").where("variable = 'one'").first()
+    assert row.test == "Rao-Scott" and row.statistic is None and row.p is None
 
 
 @pytest.mark.parametrize("denominator", ["unweighted", "weighted"])
@@ -237,14 +260,15 @@ def test_weighted_dispersion_widens_limits(sample):
 def test_adjusted_model_without_covariates_equals_the_cells(sample):
     df, _ = sample
     cells = {r.term: r for r in outcomes.odds_ratios(df, "t", ["y"], "w").collect()}
-    model = {r.term: r for r in outcomes.odds_ratio_adjusted(df, "y", "t", [], "w").collect()}
+    model = {r.term: r for r in outcomes.odds_ratio_adjusted(df, ["y"], "t", [], "w").collect()}
     for term in cells:
-        assert tuple(model[term])[3:] == pytest.approx(tuple(cells[term])[3:], rel=1e-5)
+        assert tuple(model[term])[3:6] == pytest.approx(tuple(cells[term])[3:6], rel=1e-5)
+        assert model[term].converged and model[term].rows_left_out == 0
 
 
 def test_adjusted_limits_lie_on_the_profile(sample):
     df, table = sample
-    found = {r.term: r for r in outcomes.odds_ratio_adjusted(df, "y", "t", ["x"], "w").collect()}
+    found = {r.term: r for r in outcomes.odds_ratio_adjusted(df, ["y"], "t", ["x"], "w").collect()}
     design = np.column_stack([np.ones(600), table["t"], table["x"]]).astype(float)
 
     def fit(x, offset):
@@ -263,6 +287,79 @@ def test_adjusted_limits_lie_on_the_profile(sample):
         assert 2 * (best - held) / phi == pytest.approx(Z2, rel=1e-6)
 
 
+@pytest.fixture
+def separated(spark):
+    """The outcome follows from x alone, and the treatment as well."""
+    return spark.createDataFrame([(i, i % 2, int(i > 60), float(i), int(i > 40)) for i in range(120)],
+                                 "id int, t int, y int, x double, s int")
+
+
+def test_separated_models_give_no_estimate(separated):
+    df = separated.withColumn("w", F.lit(1.0))
+    with pytest.raises(propensity.NotConverged):
+        outcomes.odds_ratio_adjusted(df, ["y"], "t", ["x"], "w")
+    marked = outcomes.odds_ratio_adjusted(df, ["y"], "t", ["x"], "w", on_failure="mark").collect()
+    assert all(not r.converged and r.odds_ratio is None and r.ci_low is None for r in marked)
+    with pytest.raises(propensity.NotConverged):
+        propensity.propensity(df, "s", ["x"], [])
+    found = propensity.fit(df, "s", ["x"], [], on_failure="mark")
+    assert not found.report.first().converged
+    assert found.scored.where("pr_score is not null").count() == 0
+
+
+def test_rows_left_out_are_counted(sample):
+    df, _ = sample
+    holes = df.withColumn("x", F.when(F.col("id") >= 10, F.col("x")))
+    report = propensity.fit(holes, "t", ["x"], ["c"], on_missing="skip").report.first()
+    assert (report.rows, report.rows_left_out, report.converged) == (590, 10, True)
+    assert {r.rows_left_out for r in outcomes.odds_ratio_adjusted(holes, ["y"], "t", ["x"], "w").collect()} == {10}
+
+
+def test_far_start_needs_parts_of_steps(spark):
+    """A steep model, where whole Newton steps from zero overshoot."""
+    rng = np.random.default_rng(1)
+    x = np.exp(rng.normal(0, 2, 400))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.4 * x - 1)))).astype(int)
+    df = spark.createDataFrame([(int(i % 2), float(a), int(b), 1.0) for i, (a, b) in enumerate(zip(x, y))], "t int, x double, y int, w double")
+    rows_ = outcomes.odds_ratio_adjusted(df, ["y"], "t", ["x"], "w").collect()
+    assert all(r.converged and r.ci_low < r.odds_ratio < r.ci_high for r in rows_)
+
+
+def test_tables_take_one_pass_each(sample):
+    df, _ = sample
+    for found in (table_one.balance(df, "t", ["x"], ["c"], "w"), table_one.table_one(df, "t", ["x"], ["c"], "w")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") <= 3  # numbers, levels, and the same levels for the arms' totals
+
+
+def test_large_numbers_with_a_small_spread_keep_their_digits(spark):
+    values = [1e9 + k / 1000 for k in range(100)]
+    df = spark.createDataFrame([(k % 2, v, 1.0 + k % 3) for k, v in enumerate(values)], "t int, x double, w double")
+    rows_ = {r.arm: r for r in table_one.numeric_sums(df, "t", ["x"], "w").collect()}
+    for arm in (0, 1):
+        x, w = np.array(values[arm::2]) - 1e9, np.array([1.0 + k % 3 for k in range(arm, 100, 2)])
+        m = (w * x).sum() / w.sum()
+        assert rows_[arm].variance == pytest.approx((w * (x - m) ** 2).sum() / w.sum() * 50 / 49, rel=1e-6)
+
+
+def test_fixed_lists():
+    """Values that other tables must agree on, written out once more."""
+    from phasewise import names
+
+    assert names.SCORE_CATEGORICAL == ["sex", "race_ethnicity"] and names.ADJUSTED_FOR == ["age_at_covid"]
+    assert names.OUTCOMES == ["mort_30", "d30_composite"] and names.LONG_TERM_OUTCOME == "pasc"
+    assert names.TABLE_NUMERIC == [
+        "age_at_covid", "COVID_first_poslab_or_diagnosis_date", "vaccine_number", "number_of_visits_before_covid",
+        "number_of_visits_post_covid", "observation_period_before_covid", "observation_period_post_covid"]
+    assert names.TABLE_CATEGORICAL == (
+        "sex race_ethnicity mildliver rheum chf mi cad htn ckd cancer metcancer dmcomp dmuncomp obesity lungdisease "
+        "transplant hiv immunocomp systemicsteroids biologic tobacco subuse").split()
+    assert sorted(names.BALANCE_NUMERIC + names.BALANCE_CATEGORICAL) == sorted((
+        "age_at_covid sex race_ethnicity mildliver cad chf mi htn cancer metcancer ckd dmuncomp dmcomp obesity hiv "
+        "lungdisease immunocomp tobacco vaccine_number").split())
+    assert names.TRIM_QUANTILES == (0.01, 0.99)
+
+
 def test_outcome_table_is_long(sample):
     df, _ = sample
     found = outcomes.outcome_table(df, "name", "t", ["y", "f"], "w")
