@@ -1,11 +1,13 @@
 """One Spark query per cohort-side operator, on the test tables."""
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phasewise import names as N
+from phasewise.functions.lineage import shared_folder
 from phasewise.operators import (
     codesets, day_facts, deaths, demographics, domains, index_event, intake, summary, visits,
 )
@@ -138,7 +140,7 @@ def _pivot(domain: str, t: StudyTables) -> DataFrame:
 def _of_tagged(operator: Callable[[DataFrame], DataFrame], t: StudyTables) -> DataFrame:
     codes = _codes(t)
     persons = _persons(t, codes)
-    events = intake.early_cohort_filter(person_flow.measurement_events(t), intake.broadcast_ids(persons))
+    events = intake.early_cohort_filter(person_flow.measurement_events(t), intake.cohort_ids(persons))
     return intake.in_cohort(operator(domains.tagged_measurements(events, codes.roles)), persons)
 
 
@@ -234,10 +236,16 @@ def length_of_stay(t):
     return summary.length_of_stay(first_linked_visits(t)).select(N.PERSON, N.LENGTH_OF_STAY)
 
 
-def study_flow(t):
+def person_summary(t):
     return person_flow.run(t, SETS, WINDOWS).person_summary
 
 
+def study_flow(t):
+    """All outputs, each written and read again for the next."""
+    folder = f"{shared_folder(t.person.sparkSession)}/study-{uuid.uuid4().hex}"
+    return person_flow.output_sizes(person_flow.write_outputs(t, SETS, WINDOWS, folder))
+
+
 _BUILDERS: dict[str, Callable[[StudyTables], DataFrame]] = {
     "occurrence_intake": occurrence_intake,
     "person_sample": lambda t: intake.person_sample(t.person),
@@ -283,9 +291,9 @@ _BUILDERS: dict[str, Callable[[StudyTables], DataFrame]] = {
     "phase_rollup_during": partial(_rollup, "during"),
     "phase_rollup_post": partial(_rollup, "post"),
     "length_of_stay": length_of_stay,
-    "severity": lambda t: study_flow(t).select(N.PERSON, N.SEVERITY),
-    "person_summary": study_flow,
-    "count_by_shift": lambda t: summary.count_by_shift(study_flow(t)),
+    "severity": lambda t: person_summary(t).select(N.PERSON, N.SEVERITY),
+    "person_summary": person_summary,
+    "count_by_shift": lambda t: summary.count_by_shift(person_summary(t)),
     "study_flow": study_flow,
 }
 

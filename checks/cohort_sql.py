@@ -364,7 +364,12 @@ SELECTS = {
     "severity": f"select person_id, {N.SEVERITY} from summarized",
     "person_summary": "select * from summarized",
     "count_by_shift": "select shift_date_yn, count(distinct person_id) as N from summarized group by shift_date_yn",
-    "study_flow": "select * from summarized",
+    "study_flow": " union all ".join(
+        f"""select '{output}' as output, count(*) as n, count(distinct person_id) as persons,
+            cast(coalesce(sum(person_id), 0) as bigint) as person_sum from {part}"""
+        for output, part in (("cohort", "cohort"), ("linked", "linked"), ("deaths", "dead"),
+                             ("day_facts", "facts"), ("person_summary", "summarized"))
+    ),
 }
 
 

@@ -2,8 +2,14 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+
+from phasewise.functions import sizing
+
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,9 +29,34 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it from there.
 
     Readers prune its columns and share its scans, and a lost executor costs a re-read, not
-    a re-run of what produced it.
+    a re-run of what produced it. Inside ``scratch`` the copy goes when the block ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_bounded(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """The same, marked for broadcast if small; the bytes are summed while it is written."""
+    seen = Observation()
+    written = cut(df.observe(seen, F.sum(sizing.row_bytes(df)).alias("bytes")))
+    limit = sizing.MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
+    return F.broadcast(written) if (seen.get["bytes"] or 0) <= limit else written
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the copies written inside the block when it ends; what is needed later must be
+    written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        configuration = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            place = hadoop(path)
+            place.getFileSystem(configuration).delete(place, True)

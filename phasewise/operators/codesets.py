@@ -76,14 +76,6 @@ def domain_indicator_map(concept_sets: DataFrame, sheet: DataFrame, domains: lis
     )
 
 
-def sheet_indicators(sheet: DataFrame, domain: str | None = None) -> list[str]:
-    """Indicator names of the sheet (of one domain), sorted: the only sheet content the driver reads."""
-    if domain is not None:
-        sheet = sheet.where(F.col("domain").contains(domain))
-    names = sheet.select(INDICATOR).where(F.col(INDICATOR).isNotNull()).distinct().collect()
-    return sorted(row[INDICATOR] for row in names)
-
-
 def merge_sheets(required: DataFrame, custom: DataFrame) -> DataFrame:
     """Full outer join on all columns of the required sheet; equal nulls match (C12)."""
     keys = required.columns

@@ -11,7 +11,7 @@ from phasewise.names import (
 )
 from phasewise.operators.codesets import indicator_words
 from phasewise.operators.index_event import RESULT
-from phasewise.operators.intake import broadcast_ids, early_cohort_filter, in_cohort
+from phasewise.operators.intake import cohort_ids, early_cohort_filter, in_cohort
 
 VALUE = "harmonized_value_as_number"
 BODY_PARTS = ["recorded_bmi", "height", "weight"]
@@ -39,10 +39,10 @@ def indicator_pivot(
 
     The columns are the given list, so an indicator without events is an all-0 column (C16).
     """
-    near = early_cohort_filter(events, broadcast_ids(cohort))
+    near = early_cohort_filter(events, cohort_ids(cohort))
     rows = indicator_rows(near, bounded(indicator_words(pairs, indicators)), indicators)
     days = rows.groupBy(PERSON, DATE).agg(*flags.merged(indicators))
-    return in_cohort(days, cohort).select(PERSON, DATE, *flags.unpacked(indicators))
+    return days.select(PERSON, DATE, *flags.unpacked(indicators))
 
 
 # --- measurements ---------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from phasewise.functions.sizing import bounded, fits
+from phasewise.functions.sizing import bounded
 from phasewise.names import CONCEPT, DATE, EXTRACTION, PARTNER, PERSON, SAMPLE_SEED
 from phasewise.functions.dates import plausible
 
@@ -10,8 +10,6 @@ PERSON_COLUMNS = [
     PERSON, "year_of_birth", "month_of_birth", "day_of_birth",
     "ethnicity_concept_name", "race_concept_name", "sex", "location_id", PARTNER,
 ]
-# 8-byte ids only, so more of them fit than of wider rows.
-MAX_BROADCAST_IDS = 5_000_000
 _BUCKETS = 1_000_000_000
 
 
@@ -35,19 +33,19 @@ def in_cohort(df: DataFrame, cohort: DataFrame) -> DataFrame:
     return df.join(cohort.select(PERSON), PERSON, "left_semi")
 
 
-def broadcast_ids(cohort: DataFrame) -> DataFrame | None:
-    """The cohort's ids marked for broadcast if they are countably few, else None."""
-    ids = cohort.select(PERSON)
-    return F.broadcast(ids) if fits(ids, MAX_BROADCAST_IDS) else None
+def cohort_ids(cohort: DataFrame) -> DataFrame:
+    """The cohort's ids, marked for broadcast if they are small enough."""
+    return bounded(cohort.select(PERSON))
 
 
-def early_cohort_filter(df: DataFrame, ids: DataFrame | None) -> DataFrame:
-    """Cut raw rows to cohort persons where that needs no shuffle of them.
+def early_cohort_filter(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Raw rows of cohort persons, cut before anything is built from them.
 
-    Without broadcast ids the rows are returned as they are, and the caller cuts them after
-    its aggregate, when one person has at most one row per day and cannot be a hot join key.
+    With marked ids no row moves. Beyond that size the semi join shuffles the projected rows
+    by person, adaptive execution splits a person with very many of them, and the aggregate per
+    person and day that follows sees cohort rows only.
     """
-    return df if ids is None else df.join(ids, PERSON, "left_semi")
+    return df.join(ids, PERSON, "left_semi")
 
 
 def occurrence_intake(
@@ -59,7 +57,7 @@ def occurrence_intake(
 ) -> DataFrame:
     """Dated events of cohort persons under common column names."""
     rows = dated_events(events, date_col, concept_col, extra)
-    return rows.join(bounded(cohort.select(PERSON), MAX_BROADCAST_IDS), PERSON, "left_semi")
+    return early_cohort_filter(rows, cohort_ids(cohort))
 
 
 def person_sample(person: DataFrame, fraction: float = 1.0, seed: int = SAMPLE_SEED) -> DataFrame:

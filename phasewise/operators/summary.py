@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from phasewise.functions import flags
 from phasewise.functions.dates import days_between, mask
+from phasewise.functions.sql import over
 from phasewise.names import (
     BMI, BMI_POST, BMI_PRE, CRITICAL_CARE, DEATH, DEATH_ANY, DEATH_IN_WINDOW,
     DOSE, DOSES_POST, DOSES_PRE, FIRST_DX, FIRST_LAB, IN_STRONG_STAY, IN_WEAK_STAY,
@@ -15,7 +16,7 @@ from phasewise.names import (
 from phasewise.operators.codesets import INDICATOR
 
 PHASE_FLAG = {"pre": PRE, "during_strong": IN_STRONG_STAY, "during_weak": IN_WEAK_STAY, "post": POST}
-NOT_FILLED = [BMI_PRE, BMI_POST, "postal_code", "age_at_covid"]
+NOT_FILLED = [PERSON, BMI_PRE, BMI_POST, "postal_code", "age_at_covid"]
 _NOT_INDICATORS = [BMI, DOSE, REINFECTION]
 
 
@@ -144,7 +145,10 @@ def severity(df: DataFrame) -> DataFrame:
 
 
 def fill_numbers(df: DataFrame, keep_null: list[str]) -> DataFrame:
-    """0 in place of null in numeric columns; dates and text stay null."""
+    """0 in place of null in numeric columns but those kept; dates and text stay null.
+
+    Keys must be among those kept: a filled key is a new column, by which Spark shuffles again.
+    """
     return df.na.fill(0, subset=[c for c in df.columns if c not in keep_null])
 
 
@@ -167,4 +171,7 @@ def person_summary(
 
 def count_by_shift(summary: DataFrame) -> DataFrame:
     """Distinct persons per date-shift flag; null is a group."""
-    return summary.groupBy("shift_date_yn").agg(F.countDistinct(PERSON).alias("N"))
+    return over(
+        {"person_summary": summary},
+        f"select count(distinct {PERSON}) as N, shift_date_yn from {{person_summary}} group by 2",
+    ).select("shift_date_yn", "N")

@@ -4,14 +4,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, functions as F
 
-from phasewise.functions.lineage import cut
-from phasewise.functions.sizing import bounded
+from phasewise.functions.lineage import cut_bounded
 from phasewise.names import CONCEPT, DEATH, DOMAINS, DOSE, LAB_FLAGS
 from phasewise.operators import codesets, intake
 from phasewise.plans.study import CodeSets
 from phasewise.sources.tables import StudyTables
 
 
+# Rows of the merged sheet: each names an output column.
+MAX_SHEET_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class StudyCodes:
     """What every step needs to know about concepts.
@@ -41,7 +44,10 @@ def _indicators(rows: list[Row]) -> list[str]:
 def resolve_codes(tables: StudyTables, sets: CodeSets) -> StudyCodes:
     merged = codesets.merge_sheets(tables.required_sheet, tables.custom_sheet)
     merged = merged.select(codesets.SET_NAME, codesets.INDICATOR, "domain", "pre_during_post")
-    rows = merged.collect()
+    # the sheet names the output columns, so the driver must know it; a larger one is an error
+    rows = merged.limit(MAX_SHEET_ROWS + 1).collect()
+    if len(rows) > MAX_SHEET_ROWS:
+        raise ValueError(f"the sheets have more than {MAX_SHEET_ROWS} rows")
     sheet = merged.sparkSession.createDataFrame(rows, merged.schema)
     fixed = [DOSE, *LAB_FLAGS, DEATH]
     indicators = fixed + [i for i in _indicators(rows) if i not in fixed]
@@ -49,8 +55,8 @@ def resolve_codes(tables: StudyTables, sets: CodeSets) -> StudyCodes:
     return StudyCodes(
         sheet=sheet,
         sheet_rows=rows,
-        roles=bounded(cut(codesets.concept_roles(tables.concept_sets, sets.roles()))),
-        words=bounded(cut(codesets.indicator_words(pairs, indicators))),
+        roles=cut_bounded(codesets.concept_roles(tables.concept_sets, sets.roles())),
+        words=cut_bounded(codesets.indicator_words(pairs, indicators)),
         sources=intake.source_manifest(tables.manifest),
         indicators=indicators,
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from phasewise import names
 from phasewise.functions import flags
 from phasewise.functions.dates import plausible
-from phasewise.functions.lineage import cut
+from phasewise.functions.lineage import cut, scratch
 from phasewise.functions.sizing import bounded
 from phasewise.names import BMI, DATE, DEATH, DOMAINS, DOSE, OBESITY, PERSON
 from phasewise.operators import (
@@ -112,9 +112,9 @@ def domain_table(tables: StudyTables, cohort: DataFrame, codes: StudyCodes, doma
 
 def measurement_table(tables: StudyTables, cohort: DataFrame, codes: StudyCodes) -> DataFrame:
     """Labs and body mass per day, as a table of its own."""
-    events = intake.early_cohort_filter(measurement_events(tables), intake.broadcast_ids(cohort))
+    events = intake.early_cohort_filter(measurement_events(tables), intake.cohort_ids(cohort))
     tagged = domains.tagged_measurements(events, codes.roles)
-    return intake.in_cohort(domains.measurements(tagged), cohort)
+    return domains.measurements(tagged)
 
 
 # --- day facts ----------------------------------------------------------------------
@@ -148,7 +148,7 @@ def merged_days(
     no_body = [F.lit(None).cast("double").alias(b) for b in body]
     no_span = [F.lit(None).cast("date").alias(c) for c in day_facts.SPAN]
     fact = F.lit(True).alias("is_fact")
-    ids = intake.broadcast_ids(cohort)
+    ids = intake.cohort_ids(cohort)
 
     def near(rows: DataFrame) -> DataFrame:
         return intake.early_cohort_filter(rows, ids)
@@ -252,7 +252,7 @@ def build_day_facts(
             )
         )
     )
-    filled = summary.fill_numbers(flagged, [BMI])
+    filled = summary.fill_numbers(flagged, [PERSON, BMI])
     dropped = [*words, *needed, names.STRONG_END, names.STRONG_ED, names.WEAK_END, names.WEAK_ED]
     others = [c for c in filled.columns if c not in dropped]
     return filled.select(*others, *flags.unpacked(indicators))
@@ -289,7 +289,36 @@ def run(tables: StudyTables, sets: CodeSets, windows: Windows) -> StudyResult:
 OUTPUTS = ["cohort", "linked", "deaths", "day_facts", "person_summary"]
 
 
-def write_outputs(result: StudyResult, folder: str) -> None:
-    """Write every output table to ``folder/<name>`` as parquet."""
-    for name in OUTPUTS:
-        write_table(getattr(result, name), folder, name)
+def write_outputs(tables: StudyTables, sets: CodeSets, windows: Windows, folder: str) -> dict[str, DataFrame]:
+    """Write every output table to ``folder/<name>`` as parquet and return them as written.
+
+    Each table is built from the written ones before it, so every event table is scanned for the
+    day merge once. Copies of other tables that were needed on the way are removed at the end.
+    """
+    spark = tables.person.sparkSession
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        write_table(df, folder, name)
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    with scratch(spark):
+        codes = resolve_codes(tables, sets)
+        persons = index_persons(tables, codes, windows)
+        cohort = written("cohort", build_cohort(tables, persons, codes.sources, windows))
+        linked = written("linked", linked_visits(tables, persons, codes, windows))
+        death_rows = written("deaths", death_table(tables, persons, codes, windows))
+        facts = written("day_facts", build_day_facts(tables, persons, codes, linked, death_rows, windows))
+        columns = summary.phase_column_lists(codes.sheet_rows, facts.columns)
+        people = written("person_summary", summary.person_summary(cohort, facts, linked, death_rows, columns))
+    return dict(zip(OUTPUTS, (cohort, linked, death_rows, facts, people)))
+
+
+def output_sizes(outputs: dict[str, DataFrame]) -> DataFrame:
+    """Per output table: rows, persons, and the sum of its person ids."""
+    return reduce(DataFrame.unionByName, [
+        df.agg(
+            F.lit(name).alias("output"), F.count("*").alias("n"), F.countDistinct(PERSON).alias("persons"),
+            F.coalesce(F.sum(PERSON), F.lit(0)).cast("long").alias("person_sum"),
+        )
+        for name, df in outputs.items()
+    ])

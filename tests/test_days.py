@@ -48,14 +48,12 @@ def test_pivot_keeps_listed_columns_and_current_concepts(frame):
 
 def test_pivot_without_broadcast_gives_the_same(frame, monkeypatch):
     from phasewise.functions import sizing
-    from phasewise.operators import intake
 
     events = frame("person_id long, date date, concept_id long", (1, "01-01", 1), (2, "01-01", 2), (3, "01-01", 1))
     pairs = frame("concept_id long, indicator_prefix string", (1, "x"), (2, "y"))
     cohort = frame("person_id long", (1,), (2,))
     small = rows(domains.indicator_pivot(events, cohort, pairs, ["x", "y"]))
     monkeypatch.setattr(sizing, "fits", lambda df, n=0: False)
-    monkeypatch.setattr(intake, "fits", lambda df, n=0: False)
     assert rows(domains.indicator_pivot(events, cohort, pairs, ["x", "y"])) == small
 
 
