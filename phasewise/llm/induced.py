@@ -29,7 +29,7 @@ def queue(size: int, kind: type, fill: int) -> np.ndarray:
     if size <= IN_MEMORY:
         return np.full(size, fill, kind)
     file = tempfile.TemporaryFile()  # gone when the array is
-    own = np.memmap(file, kind, "w+", shape=(size,))
+    own = np.asarray(np.memmap(file, kind, "w+", shape=(size,)))
     own[:] = fill
     return own
 
@@ -45,15 +45,6 @@ def s_type(text: np.ndarray) -> np.ndarray:
     return smaller[np.repeat(places, np.diff(places, prepend=-1))]
 
 
-def ordinal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stable order by key; in that order the keys' first places, and each one's number in its key."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order]
-    first = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
-    sizes = np.diff(np.append(first, len(same)))
-    return order, first, sizes, np.arange(len(same)) - np.repeat(first, sizes)
-
-
 def names(text: np.ndarray, is_s: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks (from 1) of the substrings from each start to the next one, both ends included."""
     n = len(text)
@@ -102,7 +93,7 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.nda
     n = len(text)
     result = np.zeros(len(a), np.int64)
     if text.dtype == np.uint8 and n >= 8:
-        words = np.ndarray((n - 7,), "<u8", text, strides=(1,))
+        words = np.lib.stride_tricks.as_strided(text[:8].view("<u8"), (n - 7,), (1,))
         rows = np.arange(len(a))
         while len(rows):
             x, y = a[rows] + result[rows], b[rows] + result[rows]
@@ -150,70 +141,73 @@ class Scan:
     """
 
     def __init__(self, text, is_s, places, heads, step, shared=None, limit=0):
-        self.text, self.wanted = text, is_s if step < 0 else ~is_s
-        self.places, self.heads, self.step = places, heads, step
-        self.shared, self.limit = shared, limit
+        n = len(places)
+        self.text, self.step = text, step
+        self.wanted = np.zeros(len(text) + 1, bool)  # the last one stands for "before the first"
+        self.wanted[:-1] = is_s if step < 0 else ~is_s
+        # scanned from the left in either direction
+        self.places = places if step > 0 else places[::-1]
+        self.heads = heads if step > 0 else n - 1 - heads
+        self.shared = shared if shared is None or step > 0 else shared[::-1]
+        self.limit = limit
+        self.count = np.arange(BATCH)
         if shared is not None:
             self.least = np.zeros(len(heads), np.int64)
-        self.seen = np.zeros(len(heads), bool)
+            self.seen = np.zeros(len(heads), bool)
 
     def run(self, borders: np.ndarray) -> None:
         """borders: places whose common prefix with the one scanned before is not yet known."""
-        places, n, step = self.places, len(self.places), self.step
-        at = 0  # tuples scanned
-        borders = np.sort(borders) if step > 0 else np.sort(n - 1 - borders)
+        places, n = self.places, len(self.places)
+        borders = np.sort(borders) if self.step > 0 else np.sort(n - 1 - borders)
+        at, width = 0, 64  # tuples scanned
         while at < n:
-            upto, width = at, 64
+            upto = at
             while upto < n and upto - at < BATCH:
-                part = self._view(upto, min(n, upto + width))
-                empty = part < 0
-                if empty.any():
-                    upto += int(np.argmax(empty))
+                empty = places[upto:min(upto + width, at + BATCH)] < 0
+                k = int(empty.argmax())
+                if empty[k]:
+                    upto += k
                     break
-                upto += len(part)
+                upto += len(empty)
                 width = min(width * 2, BATCH)
-            batch = np.asarray(self._view(at, upto))
-            if not len(batch):
+            if upto == at:
                 raise AssertionError("a queue has a gap")
-            own = None
-            if self.shared is not None:
+            width = max(64, min(2 * (upto - at), BATCH))
+            batch = np.asarray(places[at:upto])
+            if self.shared is None:
+                self._induce(batch)
+            else:
                 for b in borders[np.searchsorted(borders, at):np.searchsorted(borders, upto)].tolist():
-                    self._shared_view(b, b + 1)[:] = self._border(b)
-                own = np.asarray(self._shared_view(at, upto)).astype(np.int64)
-            self._induce(batch, own)
+                    self.shared[b] = common(self.text, np.asarray(places[b - 1:b]), np.asarray(places[b:b + 1]), self.limit)[0]
+                self._induce(batch, np.asarray(self.shared[at:upto]).astype(np.int64))
             at = upto
 
-    def _view(self, low: int, high: int) -> np.ndarray:
-        n = len(self.places)
-        return self.places[low:high] if self.step > 0 else self.places[n - high:n - low][::-1]
-
-    def _shared_view(self, low: int, high: int) -> np.ndarray:
-        n = len(self.places)
-        return self.shared[low:high] if self.step > 0 else self.shared[n - high:n - low][::-1]
-
-    def _border(self, at: int) -> int:
-        a, b = self._view(at - 1, at), self._view(at, at + 1)
-        return int(common(self.text, np.asarray(a), np.asarray(b), self.limit)[0])
-
-    def _induce(self, batch: np.ndarray, shared: np.ndarray | None) -> None:
-        source = np.flatnonzero(batch > 0)
-        before = batch[source] - 1
+    def _induce(self, batch: np.ndarray, shared: np.ndarray | None = None) -> None:
+        before = batch - 1
         good = self.wanted[before]
-        source, before = source[good], before[good]
-        if not len(before):
+        before = before[good]
+        size = len(before)
+        if not size:
             if shared is not None:
                 self.least = np.minimum(self.least, shared.min())
             return
         keys = self.text[before]
-        order, first, sizes, number = ordinal(keys)
-        chars = keys[order][first]
-        target = np.repeat(self.heads[chars], sizes) + self.step * number
-        self.places[target] = before[order]
-        self.heads[chars] += self.step * sizes
+        order = keys.argsort(kind="stable")
+        keys, before = keys[order], before[order]
+        target = self.heads[keys]
+        again = keys[1:] == keys[:-1]
+        if again.any():  # the number of each tuple among those of its character
+            first = self.count[:size].copy()
+            first[1:][again] = 0
+            target += self.count[:size] - np.maximum.accumulate(first)
+        self.places[target] = before
+        self.heads[keys] = target + 1  # the last one of a character stays
         if shared is None:
             return
         # the smallest common prefix since the last tuple that led to the same character
-        source = source[order]
+        first = np.flatnonzero(np.append(True, ~again))
+        chars = keys[first]
+        source = np.flatnonzero(good)[order]
         low = np.append(0, source[:-1] + 1)
         low[first] = 0
         ranges = RangeMinimum(shared)
@@ -222,7 +216,7 @@ class Scan:
         self.shared[target] = np.minimum(value + 1, self.limit)
         self.seen[chars] = True
         self.least = np.minimum(self.least, shared.min())
-        last = source[first + sizes - 1] + 1
+        last = source[np.append(first[1:], size) - 1] + 1
         self.least[chars] = self.limit
         rest = last < len(shared)
         self.least[chars[rest]] = ranges(last[rest], np.full(rest.sum(), len(shared)))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasewise.functions.lineage import cut
-from phasewise.llm.common import column, portions, quoted
+from phasewise.llm.common import column, portions, quoted, unused
 from phasewise.llm.induced import suffixes
 
 LENGTH = 200
@@ -40,7 +40,7 @@ GRAM = 32
 MOST_WINDOWS = 4096
 #: Bytes of pieces dealt to one shard, about, copies included.
 SHARD_BYTES = 8_000_000
-#: Different pieces a task holds back to merge copies, and a shard keeps before it goes to a file.
+#: Bytes of different pieces that a task holds back to merge copies.
 MERGED_BYTES = 32_000_000
 #: Windows of a text worked on at once; twice as many bytes must fit into the bits of PLACE.
 SEGMENT = 1 << 22
@@ -116,8 +116,8 @@ def segment_pieces(segments: list[tuple[int, int, bytes]], length: int) -> tuple
 
 
 def piece_rows(texts: DataFrame, length: int) -> DataFrame:
-    """text key and pieces (hash, first byte, windows, again) of each row of (key, text)."""
-    kind = pa.struct([("h", pa.int64()), ("s", pa.int64()), ("r", pa.int32()), ("again", pa.bool_())])
+    """text key and pieces (hash, place: first byte and windows in one number, again) of each row of (key, text)."""
+    kind = pa.struct([("h", pa.int64()), ("at", pa.int64()), ("again", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,12 +125,12 @@ def piece_rows(texts: DataFrame, length: int) -> DataFrame:
             for part in portions(batch.column(1).to_pylist()):
                 text, h, s, r, again = pieces_of([t.encode() for t in part], length)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(part)))]).astype(np.int32)
-                values = pa.StructArray.from_arrays([pa.array(h), pa.array(s), pa.array(r.astype(np.int32)), pa.array(again.astype(bool))], fields=list(kind))
+                values = pa.StructArray.from_arrays([pa.array(h), pa.array(s * MOST_WINDOWS + r - 1), pa.array(again.astype(bool))], fields=list(kind))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends), values)], names=["key", "pieces"])
                 at += len(part)
 
-    return texts.mapInArrow(run, "key binary, pieces array<struct<h: long, s: long, r: int, again: boolean>>")
+    return texts.mapInArrow(run, "key binary, pieces array<struct<h: long, at: long, again: boolean>>")
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ class Shard:
         self.number: dict[bytes, int] = {}
         self.places: list[int] = []
         self.sizes: list[int] = []
-        self.file = tempfile.SpooledTemporaryFile(MERGED_BYTES)
+        self.file = tempfile.TemporaryFile()  # gone when closed
 
     def add(self, own: bytes, piece: bytes, places: int) -> None:
         k = self.number.setdefault(own, len(self.places))
@@ -181,17 +181,17 @@ class Shard:
 
     def repeated(self) -> pa.RecordBatch:
         """id and ranges of window starts, of the pieces with repeated windows."""
-        self.file.seek(0)
-        text = np.frombuffer(self.file.read(), np.uint8)
-        self.file.close()
+        self.file.flush()
         sizes, places = np.array(self.sizes, np.int64), np.array(self.places, np.int64)
+        text = np.asarray(np.memmap(self.file, np.uint8, "r", shape=(int((sizes + 1).sum()),)))
+        self.file.close()
         offset = np.cumsum(sizes + 1) - sizes - 1
         windows = sizes - self.length + 1
         weight = np.zeros(len(text), np.int32)  # of the windows by their first byte; 0: no whole window
-        edges = np.zeros(len(text) + 1, np.int64)
-        np.add.at(edges, offset, np.minimum(places, 2))
-        np.add.at(edges, offset + windows, -np.minimum(places, 2))
-        weight[:] = np.cumsum(edges[:-1])
+        edges = np.zeros(len(text) + 1, np.int8)
+        edges[offset] = np.minimum(places, 2)
+        edges[offset + windows] = -np.minimum(places, 2)
+        np.cumsum(edges[:-1], out=weight)
         del edges
         order, shared = suffixes(text, self.length)
         first = np.flatnonzero(np.append(True, shared[:-1] < self.length))
@@ -248,18 +248,20 @@ def texts_without_repeats(texts: DataFrame, length: int = LENGTH, digests: bool
         raise ValueError(f"the length must be at least {2 * GRAM}")
     texts = texts.select("key", F.coalesce("text", F.lit("")).alias("text"))
     rows = cut(piece_rows(texts, length).where(F.size("pieces") > 0).withColumn("row", F.monotonically_increasing_id()))
-    each = rows.select("row", F.explode("pieces").alias("p")).select("row", "p.h", "p.s", "p.r", "p.again")
+    each = rows.select("row", F.explode("pieces").alias("p")).select("row", "p.h", "p.at", "p.again")
     often = each.groupBy("h").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("h")
     first = rows.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("n"))
-    wanted = cut(each.join(often, "h", "left_semi").join(first, "row")
-                 .groupBy("key", "n").agg(F.collect_list(F.struct("h", "s", "r")).alias("pieces")))
-    total = wanted.agg(F.sum(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["r"] + length))).first()[0] or 0
+    wanted = cut(each.select("row", "h", "at").join(often, "h", "left_semi").join(first, "row")
+                 .groupBy("key", "n").agg(F.collect_list(F.struct("h", "at")).alias("pieces")))
+    total = wanted.agg(F.sum(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["at"] % MOST_WINDOWS + length))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
 
     different = texts.groupBy("key").agg(F.first("text").alias("text"))
     placed = (different.join(wanted, "key")
               .select("key", "n", F.encode("text", "UTF-8").alias("bytes"), F.explode("pieces").alias("p"))
-              .select("key", "n", "p.h", "p.s", F.substring("bytes", (F.col("p.s") + 1).cast("int"), F.col("p.r") + (length - 1)).alias("piece"))
+              .select("key", "n", "p.h", F.floor(F.col("p.at") / MOST_WINDOWS).alias("s"), "bytes",
+                      (F.col("p.at") % MOST_WINDOWS + length).cast("int").alias("size"))
+              .select("key", "n", "h", "s", F.substring("bytes", (F.col("s") + 1).cast("int"), F.col("size")).alias("piece"))
               .withColumn("id", F.unhex(F.md5("piece"))))
     dealt = placed.select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), "id", "piece", F.col("n").alias("places"))
     repeats = (dealt.mapInArrow(merged, dealt.schema).repartition("shard").sortWithinPartitions("shard")
@@ -299,10 +301,11 @@ def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 def without_repeats(docs: DataFrame, text_column: str = "text", length: int = LENGTH) -> DataFrame:
     """docs, all columns, with the kept bytes as text; a character cut in two goes whole, null stays null."""
     text = column(text_column).cast("string")
+    key, kept = unused(docs.columns, "_key"), unused(docs.columns, "_kept")
     found = (texts_without_repeats(docs.select(text_key(text).alias("key"), text.alias("text")), length)
-             .select(F.col("key").alias("_key"), whole("kept").alias("_kept")))
-    names = [F.when(text.isNotNull(), F.col("_kept")).alias(c) if c == text_column else column(c) for c in docs.columns]
-    return docs.withColumn("_key", text_key(text)).join(found, "_key").select(*names)
+             .select(F.col("key").alias(key), whole("kept").alias(kept)))
+    names = [F.when(text.isNotNull(), column(kept)).alias(c) if c == text_column else column(c) for c in docs.columns]
+    return docs.withColumn(key, text_key(text)).join(found, key).select(*names)
 
 
 def whole(data: str) -> Column:
