@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters of text worked on at once in a task.
-PORTION_CHARS = 2_000_000
+PORTION_CHARS = 1_000_000
+#: Rows of an Arrow column turned into Python values at once.
+ROWS_AT_ONCE = 200
 
 
 def quoted(name: str) -> str:
@@ -22,16 +25,17 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def portions(texts: list[str | None], size: int = PORTION_CHARS) -> Iterator[list[str]]:
-    """Texts in lists of about so many characters; null counts as empty."""
+def portions(texts: pa.Array, size: int = PORTION_CHARS) -> Iterator[list[str]]:
+    """Texts of a column in lists of about so many characters; null counts as empty."""
     part: list[str] = []
     total = 0
-    for t in texts:
-        part.append(t or "")
-        total += len(part[-1])
-        if total >= size:
-            yield part
-            part, total = [], 0
+    for at in range(0, len(texts), ROWS_AT_ONCE):
+        for t in texts.slice(at, ROWS_AT_ONCE).to_pylist():
+            part.append(t or "")
+            total += len(part[-1])
+            if total >= size:
+                yield part
+                part, total = [], 0
     if part:
         yield part
 
@@ -55,3 +59,41 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
             held.append(batch.slice(a, b - a))
     if held:
         yield key, pa.Table.from_batches(held)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+_held: list[dict] = []
+
+
+def hold(memory: dict) -> dict:
+    """The only word memory of this worker: another operator's, if there is one, is emptied."""
+    if not (_held and _held[0] is memory):
+        for other in _held:
+            other.clear()
+        _held[:] = [memory]
+    return memory
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task; when the task ends, what it has freed goes back to the system.
+
+    A Python worker serves many tasks, and its allocators would keep the most that any took.
+    """
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = ctypes.CDLL(None)
+        if hasattr(system, "mallopt"):  # large blocks are mapped, and unmapped when freed
+            system.mallopt(-3, 1 << 17)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(system, "malloc_trim"):
+                system.malloc_trim(0)
+    return tidied

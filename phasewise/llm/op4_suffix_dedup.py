@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasewise.functions.lineage import cut
-from phasewise.llm.common import column, portions, quoted, unused
+from phasewise.llm.common import ROWS_AT_ONCE, column, portions, quoted, tidy, unused
 from phasewise.llm.induced import suffixes
 
 LENGTH = 200
@@ -41,7 +41,7 @@ MOST_WINDOWS = 4096
 #: Bytes of pieces dealt to one shard, about, copies included.
 SHARD_BYTES = 8_000_000
 #: Bytes of different pieces that a task holds back to merge copies.
-MERGED_BYTES = 32_000_000
+MERGED_BYTES = 16_000_000
 #: Windows of a text worked on at once; twice as many bytes must fit into the bits of PLACE.
 SEGMENT = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
@@ -122,7 +122,7 @@ def piece_rows(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in portions(batch.column(1).to_pylist()):
+            for part in portions(batch.column(1)):
                 text, h, s, r, again = pieces_of([t.encode() for t in part], length)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(part)))]).astype(np.int32)
                 values = pa.StructArray.from_arrays([pa.array(h), pa.array(s * MOST_WINDOWS + r - 1), pa.array(again.astype(bool))], fields=list(kind))
@@ -130,7 +130,7 @@ def piece_rows(texts: DataFrame, length: int) -> DataFrame:
                     [batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends), values)], names=["key", "pieces"])
                 at += len(part)
 
-    return texts.mapInArrow(run, "key binary, pieces array<struct<h: long, at: long, again: boolean>>")
+    return texts.mapInArrow(tidy(run), "key binary, pieces array<struct<h: long, at: long, again: boolean>>")
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,8 @@ def texts_without_repeats(texts: DataFrame, length: int = LENGTH, digests: bool
     """
     if length < 2 * GRAM:
         raise ValueError(f"the length must be at least {2 * GRAM}")
-    texts = texts.select("key", F.coalesce("text", F.lit("")).alias("text"))
+    # no key is null; said here, it is the same filter in every use, so that Spark shuffles the texts once
+    texts = texts.select("key", F.coalesce("text", F.lit("")).alias("text")).where(F.col("key").isNotNull())
     rows = cut(piece_rows(texts, length).where(F.size("pieces") > 0).withColumn("row", F.monotonically_increasing_id()))
     each = rows.select("row", F.explode("pieces").alias("p")).select("row", "p.h", "p.at", "p.again")
     often = each.groupBy("h").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("h")
@@ -264,13 +265,13 @@ def texts_without_repeats(texts: DataFrame, length: int = LENGTH, digests: bool
               .select("key", "n", "h", "s", F.substring("bytes", (F.col("s") + 1).cast("int"), F.col("size")).alias("piece"))
               .withColumn("id", F.unhex(F.md5("piece"))))
     dealt = placed.select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), "id", "piece", F.col("n").alias("places"))
-    repeats = (dealt.mapInArrow(merged, dealt.schema).repartition("shard").sortWithinPartitions("shard")
-               .mapInArrow(sorted_shards(length), "id binary, spans array<struct<a: int, b: int>>"))
+    repeats = (dealt.mapInArrow(tidy(merged), dealt.schema).repartition("shard").sortWithinPartitions("shard")
+               .mapInArrow(tidy(sorted_shards(length)), "id binary, spans array<struct<a: int, b: int>>"))
     gone = (placed.select("key", "s", "id").join(repeats, "id").groupBy("key")
             .agg(F.collect_list(F.struct("s", "spans")).alias("gone")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             columns: list[list] = [[], [], [], []]
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = text.encode()
@@ -285,8 +286,7 @@ def texts_without_repeats(texts: DataFrame, length: int = LENGTH, digests: bool
                 names=["key", "n_bytes", "n_removed", "n_spans", last])
 
     last = "kept_sha256" if digests else "kept"
-    return different.join(gone, "key", "left").mapInArrow(
-        run, f"key binary, n_bytes long, n_removed long, n_spans long, {last} {'string' if digests else 'binary'}")
+    return different.join(gone, "key", "left").mapInArrow(tidy(run), f"key binary, n_bytes long, n_removed long, n_spans long, {last} {'string' if digests else 'binary'}")
 
 
 def removals(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
