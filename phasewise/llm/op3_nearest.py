@@ -28,19 +28,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasewise.functions.lineage import cut
-from phasewise.llm.common import column, groups
+from phasewise.llm.common import column, groups, tidy
 
 NEIGHBOURS = 20
 PROJECTIONS = 64
-THRESHOLD = 0.72
+THRESHOLD = 0.68
 VERIFIED = 0.1
 #: Half widths of the windows relative to the largest norm: the first, and the factor from one to the next.
-FIRST, WIDER, LEVELS = 0.6, 1.1, 16
+FIRST, WIDER, LEVELS = 0.8, 1.1, 14
 #: A normal value lies inside this many deviations with a probability of THRESHOLD.
-DEVIATIONS = 1.0803
+DEVIATIONS = 0.9945
 #: The k-th best ends the search if it is nearer by this factor than what the windows meet on average.
 MARGIN = 1.35
-BLOCK, QUERY_BLOCK, MERGED = 8192, 512, 64
+ROUNDING = 1e-9
+BLOCK, QUERY_BLOCK, MERGED = 16_384, 512, 64
 EVERY = 20
 
 
@@ -98,7 +99,7 @@ class Index:
                 else:
                     new = np.flatnonzero(~done)  # windows without end
                 done[new] = True
-                score[new] = (self.vectors[new] * vector).sum(axis=1)
+                score[new] = np.einsum("ij,j->i", self.vectors[new], vector)
                 verified = np.count_nonzero(done)
                 if verified >= enough:
                     break
@@ -106,9 +107,13 @@ class Index:
                     kth = np.partition(score, -k - 1)[-k - 1] * self.largest / np.linalg.norm(vector)
                     if np.sqrt(max(2 * self.largest ** 2 - 2 * kth, 0)) * MARGIN <= half[level] / DEVIATIONS:
                         break
-            rows = np.flatnonzero(done & (self.ids != own))
-            best = rows[np.lexsort((self.ids[rows], -score[rows]))[:k]]
-            yield int(own), self.ids[best], score[best]
+            # the nearest, and any within rounding of them, in one fixed order of summation
+            score[self.ids == own] = -np.inf
+            last = np.partition(score, -k)[-k] if n > k else -np.inf
+            rows = np.flatnonzero((score >= last - ROUNDING * self.largest ** 2) & np.isfinite(score))
+            exact = (self.vectors[rows] * vector).sum(axis=1)
+            best = np.lexsort((self.ids[rows], -exact))[:k]
+            yield int(own), self.ids[rows[best]], exact[best]
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, id_column: str = "vec_id",
@@ -143,7 +148,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, id_column:
                         names=["query_id", "part", "vec_id", "score"])
 
     found = (held.union(asked).repartition("_size", "_block", "_group").sortWithinPartitions("_size", "_block", "_group")
-             .mapInArrow(run, "query_id long, part int, vec_id long, score double"))
+             .mapInArrow(tidy(run), "query_id long, part int, vec_id long, score double"))
     parts = sizes.agg(F.max("_blocks")).first()[0] or 1
     order = [F.col("score").desc(), F.col("vec_id")]
     while parts > MERGED:
