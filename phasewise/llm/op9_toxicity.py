@@ -36,14 +36,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasewise.functions.lineage import cut
-from phasewise.llm.common import column, portions, quoted
+from phasewise.llm.common import column, hold, portions, quoted, tidy, unused
 
 FOLDS = 5
 #: Bounds of the fit: labelled documents, words of either kind, landmarks.
 TRAIN_DOCS = 12_000
 POSITIVE_WORDS = 600
 NEGATIVE_WORDS = 1_500
-LANDMARKS = 240
+LANDMARKS = 400
 #: Times that the clean words with the highest scores join the examples, and how many.
 HARD_ROUNDS, HARD_WORDS = 2, 500
 #: A word is a landmark if so much of it is left unexplained by the landmarks before it.
@@ -54,14 +54,19 @@ LENGTH, SPAN, DECAY = 4, 7, 0.6
 WINDOW = 24
 #: A word is an example of toxicity if at least so many toxic documents have it, so many times as often.
 LEAST_DOCS, LEAST_RATIO = 3, 4.0
-REMEMBERED_WORDS = 400_000
-#: Numbers that describe a document: its worst different words.
-FEATURES = 3
+REMEMBERED_WORDS = 200_000
+LEARNED_AT_ONCE = 20_000
+#: A document is described by its worst different words, their positive scores also squared and
+#: cubed, so that one plain insult can outweigh several doubtful words.
+WORST, POWERS = 3, (2, 3)
+FEATURES = WORST * (1 + len(POWERS))
 #: Characters: a-z, one for word borders, the rest by hash.
 LETTERS, OTHERS = 27, 13
 BASE = LETTERS + OTHERS
+#: Border signs at each end of a word, so that its beginning and end weigh more.
+BORDERS = 2
 LOOKALIKES = str.maketrans("013457@$", "oieastas")
-CHUNK = re.compile(r"\S+")
+AROUND = re.compile(r"^[\W_]+|[\W_]+$")
 PART = re.compile(r"[^\W\d_]+")
 APART = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 
@@ -79,7 +84,7 @@ def codes(words: list[str]) -> np.ndarray:
     size = len(words[0])
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size).astype(np.int64)
     plain = (points >= 97) & (points <= 122)
-    return np.pad(np.where(plain, points - 96, LETTERS + points % OTHERS), ((0, 0), (1, 1)))
+    return np.pad(np.where(plain, points - 96, LETTERS + points % OTHERS), ((0, 0), (BORDERS, BORDERS)))
 
 
 def by_length(words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
@@ -87,7 +92,7 @@ def by_length(words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
     for k, w in enumerate(words):
         groups.setdefault(len(w), []).append(k)
     for size, own in groups.items():
-        step = max(1, 400_000 // max(1, len(patterns(size + 2)[0])))
+        step = max(1, 400_000 // max(1, len(patterns(size + 2 * BORDERS)[0])))
         for at in range(0, len(own), step):
             yield own[at:at + step], [words[k] for k in own[at:at + step]]
 
@@ -127,8 +132,11 @@ def kernel(left: list[dict[int, float]], right: list[dict[int, float]]) -> np.nd
 
 
 def cleaned(chunk: str) -> set[str]:
-    """Words of a run of characters without white space: its letters together, and its longer parts."""
-    own = chunk.translate(LOOKALIKES)
+    """Words of a run of characters without white space: its letters together, and its longer parts.
+
+    Signs around it go; digits and signs inside stand for the letters they look like.
+    """
+    own = AROUND.sub("", chunk).translate(LOOKALIKES)
     parts = PART.findall(own)
     joined = "".join(parts)
     found = {joined} | ({p for p in parts if len(p) > 2} if len(parts) > 1 else set())
@@ -174,23 +182,27 @@ class Model:
         return result
 
     def learn(self, chunks: set[str]) -> None:
-        new = [(c, cleaned(c)) for c in chunks]
-        words = sorted(set().union(*(ws for _, ws in new))) if new else []
-        scores = dict(zip(words, self.word_scores(words).tolist())) if words else {}
-        for c, ws in new:
-            self.known[c] = max((scores[w] for w in ws), default=self.bias)
+        todo = iter(chunks)
+        while some := list(itertools.islice(todo, LEARNED_AT_ONCE)):
+            new = [(c, cleaned(c)) for c in some]
+            words = sorted(set().union(*(ws for _, ws in new)))
+            scores = dict(zip(words, self.word_scores(words).tolist()))
+            for c, ws in new:
+                self.known[c] = max((scores[w] for w in ws), default=self.bias)
 
     def document_features(self, texts: list[str]) -> np.ndarray:
-        """Scores of the worst different words of each text."""
+        """Scores of the worst different words of each text, and powers of them."""
         split = [chunks_of(t) for t in texts]
-        if len(self.known) > REMEMBERED_WORDS:
+        if len(hold(self.known)) > REMEMBERED_WORDS:
             self.known.clear()
         self.learn(set().union(*split) - self.known.keys())
         result = np.full((len(texts), FEATURES), min(self.bias, -1.0))
         for row, chunks in zip(result, split):
             values = np.fromiter(map(self.known.__getitem__, chunks), float, len(chunks))
-            worst = np.sort(np.partition(values, -FEATURES)[-FEATURES:] if len(values) > FEATURES else values)[::-1]
+            worst = np.sort(np.partition(values, -WORST)[-WORST:] if len(values) > WORST else values)[::-1]
             row[:len(worst)] = worst
+        for k, power in enumerate(POWERS, 1):
+            result[:, k * WORST:(k + 1) * WORST] = np.maximum(result[:, :WORST], 0) ** power
         return result
 
     def scores(self, features_: np.ndarray) -> np.ndarray:
@@ -281,15 +293,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = sorted(set().union(*map(cleaned, chunks_of(t or ""))) if t else set())
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.int32())], names=["word", "y"])
+            labels_ = iter(batch.column(1).to_pylist())
+            for texts in portions(batch.column(0)):
+                found: list[str] = []
+                marks: list[int] = []
+                for t, y in zip(texts, labels_):
+                    own = sorted(set().union(*map(cleaned, chunks_of(t))))
+                    found += own
+                    marks += [y] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(marks, pa.int32())], names=["word", "y"])
 
     none = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0,
                  np.append(np.zeros(FEATURES), np.log((toxic + 1) / (clean + 1))))
     if not toxic or not clean:
         return none
-    counted = cut(sample.repartition(spark.sparkContext.defaultParallelism * 2).select("_text", "_toxic").mapInArrow(words, "word string, y int")
+    counted = cut(sample.repartition(spark.sparkContext.defaultParallelism * 2).select("_text", "_toxic").mapInArrow(tidy(words), "word string, y int")
                   .groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")))
     ratio = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
     found = (counted.where((F.col("t") >= LEAST_DOCS) & (ratio >= LEAST_RATIO))
@@ -311,14 +329,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in portions(batch.column(0).to_pylist()):
+            for texts in portions(batch.column(0)):
                 found = model.document_features(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(found[:, k]) for k in range(FEATURES)), batch.column(1).slice(at, len(texts))], names=names)
                 at += len(texts)
 
-    rows = np.array([tuple(r) for r in sample.select("_text", "_toxic").mapInArrow(
-        measured, ", ".join(f"{n} double" for n in names[:-1]) + ", y int").collect()], float)
+    rows = np.array([tuple(r) for r in sample.select("_text", "_toxic").mapInArrow(tidy(measured), ", ".join(f"{n} double" for n in names[:-1]) + ", y int").collect()], float)
     model.curve = logistic(rows[:, :-1], rows[:, -1])
     return model
 
@@ -331,36 +348,38 @@ def _hardest(words: DataFrame, model: Model) -> list[str]:
             found = shared.value.word_scores(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["word", "score"])
 
-    scored = words.select("word").mapInArrow(run, "word string, score double")
+    scored = words.select("word").mapInArrow(tidy(run), "word string, score double")
     return [r[0] for r in scored.orderBy(F.col("score").desc(), "word").limit(HARD_WORDS).collect()]
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs' id with held_out, score and predicted."""
-    return _scored(docs.select(column(id_column).alias(id_column), column(text_column).cast("string").alias("_text")), model, "_text").select(
-        column(id_column), held_out(id_column).alias("held_out"), F.col("_score").alias("score"),
+    rows = docs.select(column(id_column).alias("_id"), column(text_column).cast("string").alias("_text"))
+    return _scored(rows, model, "_text", "_score").select(
+        F.col("_id").alias(id_column), held_out("_id").alias("held_out"), F.col("_score").alias("score"),
         (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _scored(rows: DataFrame, model: Model, text_column: str) -> DataFrame:
+def _scored(rows: DataFrame, model: Model, text_column: str, name: str) -> DataFrame:
     columns = rows.columns
     place = columns.index(text_column)
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema) + ", _score double"
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema) + f", {quoted(name)} double"
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.scores(own.document_features(texts)) for texts in portions(batch.column(place).to_pylist())]
+            found = [own.scores(own.document_features(texts)) for texts in portions(batch.column(place))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*columns, "_score"])
+                [*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*columns, name])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """Rows of docs, all columns, whose texts are not predicted toxic."""
-    return (_scored(docs, model, text_column).where("_score < 0.5").drop("_score"))
+    name = unused(docs.columns, "_score")
+    return _scored(docs, model, text_column, name).where(column(name) < 0.5).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
