@@ -21,7 +21,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from phasewise.llm.common import column, portions, quoted
+from phasewise.llm.common import column, portions, quoted, tidy
 
 #: Base phrases and labels.
 PHRASES = (
@@ -170,11 +170,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), SPANS]
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
         for batch in batches:
-            rows = [judged(t) for texts in portions(batch.column(1).to_pylist()) for t in texts]
+            rows = [judged(t) for texts in portions(batch.column(1)) for t in texts]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_column, *names])
 
-    return docs.select(column(id_column), column(text_column).cast("string")).mapInArrow(run, schema)
+    return docs.select(column(id_column), column(text_column).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

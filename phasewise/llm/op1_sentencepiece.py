@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from phasewise.llm.common import column, portions, quoted
+from phasewise.llm.common import column, hold, portions, quoted, tidy
 
 MARK = "▁"
 #: Words remembered between portions of text in one worker.
@@ -292,7 +292,7 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         split = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > REMEMBERED_WORDS:
+        if len(hold(self.words)) > REMEMBERED_WORDS:
             self.words.clear()
         self.learn(set(chain.from_iterable(split)) - self.words.keys())
         return [list(chain.from_iterable(map(self.words.__getitem__, ws))) for ws in split]
@@ -348,7 +348,7 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
             if not batch.num_rows:
                 continue
             columns: list[list] = [[], [], []]
-            for texts in portions(batch.column(1).to_pylist()):
+            for texts in portions(batch.column(1)):
                 for ids in own.encode(texts):
                     text = own.decode(ids)
                     if digests:
@@ -364,7 +364,7 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
             fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[id_column, *fields])
 
-    return docs.select(column(id_column), column(text_column).cast("string")).mapInArrow(run, schema)
+    return docs.select(column(id_column), column(text_column).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasewise.llm import boosting
-from phasewise.llm.common import column, portions, quoted
+from phasewise.llm.common import column, portions, quoted, tidy
 
 TRAIN_PAGES, LAYOUTS = 200, 500
 #: Characters of a page used to fit (the text of a page is always extracted from the whole page).
@@ -482,12 +482,12 @@ def extract(pages: DataFrame, model: Model, id_column: str = "page_id", url_colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t for part in portions(batch.column(2).to_pylist()) for t in shared.value.texts(part)]
+            texts = [t for part in portions(batch.column(2)) for t in shared.value.texts(part)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=[id_column, url_column, "text", "n_chars"])
 
-    return pages.select(column(id_column), column(url_column), column(html_column).cast("string")).mapInArrow(run, schema)
+    return pages.select(column(id_column), column(url_column), column(html_column).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def sample(pages: DataFrame, url_column: str = "url", html_column: str = "html", count: int = TRAIN_PAGES) -> list[str]:

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phasewise.functions.lineage import cut
-from phasewise.llm.common import column, portions, quoted
+from phasewise.llm.common import column, hold, portions, quoted, tidy
 
 CAPACITY = 2048
 END_ID = 0
 #: Words remembered between portions of text in one worker.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 250_000
 #: Rows of one length that one task numbers, about.
 ROWS_PER_TASK = 50_000
 LETTERS = "a-zªµºß-öø-ÿ"
@@ -89,6 +89,7 @@ class Ids:
         return [w for w in text.replace("\n", " ").split(" ") if w]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        hold(self.words)
         return [b"".join(map(self.words.__getitem__, self.split(t))) for t in texts]
 
 
@@ -111,7 +112,7 @@ def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id: int =
         own = tokenizer(model)
         for batch in batches:
             row = 0
-            for texts in portions(batch.column(1).to_pylist()):
+            for texts in portions(batch.column(1)):
                 rows: list[int] = []
                 out: list[list] = [[], [], [], [], []]
                 for ids in own(texts):
@@ -130,8 +131,7 @@ def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, end_id: int =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(column(id_column), column(text_column).cast("string")).mapInArrow(
-        run, schema + ", ids array<int>" * with_ids)
+    return docs.select(column(id_column), column(text_column).cast("string")).mapInArrow(tidy(run), schema + ", ids array<int>" * with_ids)
 
 
 def rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

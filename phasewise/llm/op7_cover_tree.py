@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasewise.functions.lineage import cut
-from phasewise.llm.common import column, groups
+from phasewise.llm.common import column, groups, tidy
 from phasewise.llm.components import components
 from phasewise.llm.op3_nearest import usable
 
@@ -185,7 +185,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, id_column: str = "vec_id"
                  pa.array(links.count[some])], names=["a", "b", "links"])
 
     keys = ["_label", "_size", "_i", "_j"]
-    found = cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary, links long"))
+    found = cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "a binary, b binary, links long"))
     roots = components(found.select("a", "b"))
     counts = found.groupBy("a").agg(F.sum("links").alias("_links"))
     placed = (nodes.select("_node", "_n", "_low")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasewise.functions.lineage import cut
-from phasewise.llm.common import column, groups, portions, quoted
+from phasewise.llm.common import ROWS_AT_ONCE, column, groups, hold, portions, quoted, tidy, unused
 from phasewise.llm.components import components
 
 PERCENT = 80
@@ -40,7 +40,7 @@ DEVIATIONS = 6
 #: Nodes of a family compared with as many others in one step, and different n-grams looked at together.
 BLOCK = 256
 COLUMNS = 8192
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 150_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,7 +78,7 @@ def shingles(text: str, words_each: int) -> np.ndarray:
     words = text.encode("utf-8", "replace").translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    known = hashes()[0]
+    known = hold(hashes()[0])
     own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(words_each, len(words))
     grams = np.full(len(own) - size + 1, size, np.uint64)
@@ -109,7 +109,7 @@ def sign(docs: DataFrame, words_each: int, id_column: str, text_column: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], []]
-            for texts in portions(batch.column(2).to_pylist()):
+            for texts in portions(batch.column(2)):
                 for t in texts:
                     grams = shingles(t, words_each)
                     columns[0].append(len(grams))
@@ -120,7 +120,7 @@ def sign(docs: DataFrame, words_each: int, id_column: str, text_column: str) ->
                 names=["_id", "text_key", "n_shingles", "node", "signature"])
 
     text = column(text_column).cast("string")
-    return docs.select(column(id_column).alias("_id"), text_key(text).alias("text_key"), text.alias("_text")).mapInArrow(run, schema)
+    return docs.select(column(id_column).alias("_id"), text_key(text).alias("text_key"), text.alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def text_key(text):
@@ -131,7 +131,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words_each: int, text_column: st
     """node, full set and signature of the texts whose keys are wanted (text_key, distinct)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in portions(batch.column(0).to_pylist()):
+            for texts in portions(batch.column(0)):
                 sets = [shingles(t, words_each) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
@@ -141,7 +141,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words_each: int, text_column: st
     rows = docs.select(text.alias("_text"), text_key(text).alias("text_key"))
     # one text of each wanted key is enough
     return (rows.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("_text").alias("_text"))
-            .select("_text").mapInArrow(run, "node binary, grams binary, signature binary"))
+            .select("_text").mapInArrow(tidy(run), "node binary, grams binary, signature binary"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,7 +149,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             good = []
             for ga, gb, sa, sb in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
                 agree = np.count_nonzero(np.frombuffer(sa, "<u4") == np.frombuffer(sb, "<u4"))
@@ -164,7 +164,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"), F.col("signature").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"), F.col("signature").alias("sb"))
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb", "sa", "sb")
-            .mapInArrow(run, "a binary, b binary"))
+            .mapInArrow(tidy(run), "a binary, b binary"))
 
 
 def shared_grams(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -230,7 +230,7 @@ def across(pairs: DataFrame, found: DataFrame, sets: DataFrame, percent: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in some], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return (dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-            .mapInArrow(run, "a binary, b binary"))
+            .mapInArrow(tidy(run), "a binary, b binary"))
 
 
 def links(docs: DataFrame, signed: DataFrame, words_each: int, percent: int, text_column: str) -> DataFrame:
@@ -273,15 +273,23 @@ def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = PERCENT, id
     """Rows of docs, all columns: of each group of near duplicates the one with the smallest id
     (null last; equal ids: one of them, by a hash of the row), and all rows without a set."""
     signed, by_node = _components(docs, words_each, percent, id_column, text_column)
+    key, mark, group, several = (unused(docs.columns, n) for n in ("_key", "_mark", "_root", "_several"))
     root = (signed.where("node is not null").select("text_key", "node").distinct()
-            .join(by_node.select("node", "root"), "node").select(F.col("text_key").alias("_key"), F.col("root").alias("_root")))
-    order = F.struct(column(id_column).isNull(), column(id_column), F.xxhash64(*[column(c) for c in docs.columns]))
-    rows = docs.withColumn("_key", text_key(column(text_column).cast("string"))).withColumn("_order", order)
-    rows = rows.join(root, "_key", "left").drop("_key")
-    first = rows.where("_root is not null").groupBy("_root").agg(F.min("_order").alias("_first"))
-    chosen = rows.join(first, "_root").where("_order = _first").dropDuplicates(["_root"])
+            .join(by_node.select("node", "root"), "node").select(F.col("text_key").alias(key), F.col("root").alias(group)))
     names = [column(c) for c in docs.columns]
-    return chosen.select(*names).union(rows.where("_root is null").select(*names))
+    rows = docs.withColumn(key, text_key(column(text_column).cast("string"))).withColumn(mark, F.xxhash64(*names))
+    # who stays is decided on ids and hashes; the texts move once, to meet the decision
+    placed = rows.select(key, mark, F.struct(column(id_column).isNull(), column(id_column), F.col(mark)).alias("order")).join(root, key, "left")
+    grouped = placed.where(F.col(group).isNotNull())
+    first = grouped.groupBy(group).agg(F.min("order").alias("first"))
+    chosen = (grouped.join(first, group).where("order = first").groupBy(key, mark, group)
+              .agg((F.count("*") > 1).alias(several)))
+    alone = (placed.where(F.col(group).isNull()).select(key, mark).distinct()
+             .select(key, mark, F.lit(None).cast("binary").alias(group), F.lit(False).alias(several)))
+    kept = rows.join(cut(chosen.unionByName(alone)), [key, mark])
+    # of rows equal in every column one stays
+    return kept.where(~F.col(several)).select(*names).union(
+        kept.where(F.col(several)).dropDuplicates([group]).select(*names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,12 +69,12 @@ def texts_with_repeats(seed):
 def test_removals_equal_brute_force(spark, monkeypatch, shard_bytes):
     monkeypatch.setattr(op4, "SHARD_BYTES", shard_bytes)
     texts = texts_with_repeats(shard_bytes)
-    rows = [(k // 2 if k % 9 else None, t, "x", 1) for k, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, n int").repartition(3)
+    rows = [(k // 2 if k % 9 else None, t, "x", 1, 2) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, n int, _key int").repartition(3)
     expected = sorted(((r[0], *f) for r, f in zip(rows, removed(texts, 200))), key=repr)
     assert sorted(map(tuple, op4.removals(docs).collect()), key=repr) == expected
     kept = op4.without_repeats(docs)
-    assert kept.columns == docs.columns and kept.where("text is null").count() == 2
+    assert kept.columns == docs.columns and kept.where("text is null and _key = 2").count() == 2
     assert kept.where("text is not null").agg(F.sum(F.length(F.encode("text", "UTF-8")))).first()[0] <= sum(e[1] - e[2] for e in expected)
 
 
@@ -141,11 +141,11 @@ def edited_copies(seed, groups=4, copies=45):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, words_each, block):
     monkeypatch.setattr(op8, "BLOCK", block)
     texts = edited_copies(words_each)
-    docs = spark.createDataFrame([(*t, "x", 1) for t in texts], "doc_id long, text string, node string, signature int").repartition(3)
+    docs = spark.createDataFrame([(*t, "x", 1, 2) for t in texts], "doc_id long, text string, node string, signature int, _root int").repartition(3)
     expected = near(texts, words_each)
     assert sorted(map(tuple, op8.near_duplicates(docs, words_each).collect()), key=repr) == expected
     kept = op8.one_of_each(docs, words_each)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {r["_root"] for r in kept.collect()} == {2}
     without = sum(1 for e in expected if not e[1])
     assert kept.count() == len({e[2] for e in expected if e[1]}) + without
     assert op8.near_duplicates(docs.limit(0)).collect() == []

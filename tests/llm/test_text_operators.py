@@ -219,7 +219,9 @@ def test_toxicity(spark):
     odd = awkward(spark, ODD)
     scored = op9.score(odd, model).collect()
     assert len(scored) == odd.count() and all(0 <= r["score"] <= 1 for r in scored)
-    assert op9.without_toxic(odd, model).columns == odd.columns
+    clashing = odd.withColumn("_score", F.lit("s"))
+    assert op9.without_toxic(clashing, model).columns == clashing.columns
+    assert {r["_score"] for r in op9.without_toxic(clashing, model).collect()} == {"s"}
     assert op9.score(odd.limit(0), model).collect() == []
     held = {r["doc_id"]: r["held_out"] for r in scored if r["doc_id"] is not None}
     assert all(v == (zlib.crc32(str(k).encode()) % 5 == 0) for k, v in held.items())
