@@ -88,8 +88,9 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system = ctypes.CDLL(None)
-        if hasattr(system, "mallopt"):  # large blocks are mapped, and unmapped when freed
-            system.mallopt(-3, 1 << 17)
+        if hasattr(system, "mallopt"):  # very large blocks are mapped, and unmapped when freed
+            system.mallopt(-3, 8 << 20)
+            system.mallopt(-1, 64 << 20)
         try:
             yield from run(batches)
         finally:
