@@ -6,7 +6,12 @@ same text or another.  Strings never cross texts and are judged on the input.
 Every window of ``LENGTH`` bytes belongs to the smallest hash among the short byte grams in it, so
 equal windows belong to equal hashes.  Runs of windows of one hash make a piece.  Pieces whose
 hash occurs at one place in all texts hold no repeated window.  All other pieces are dealt to shards by
-their hash, so all places of a repeated window meet in one shard.  There the different pieces,
+their hash, so all places of a repeated window meet in one shard.
+
+The windows around a gram with ``HOT_PLACES`` places or more (a short line in many texts) are dealt anew, by the
+smallest hash among those grams in the window that are not frequent around it, or among all if every one is.
+This, too, depends on the window alone.  Windows with a neighbourhood of their own get a hash
+with one place and go; windows of frequent grams only are few different ones.  In a shard the different pieces,
 each with the number of its places, form one text, whose suffixes are sorted by external induced
 sorting with common prefixes (``induced.py``).  Neighbouring suffixes that share ``LENGTH``
 bytes are one window; it is repeated if the places of its pieces add up to two or more.
@@ -22,10 +27,12 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +47,17 @@ GRAM = 32
 MOST_WINDOWS = 4096
 #: Bytes of pieces dealt to one shard, about, copies included.
 SHARD_BYTES = 8_000_000
+#: Places from which a gram is frequent; the pieces around so many places fill a shard.
+HOT_PLACES = 20_000
+#: Grams around frequent ones are counted by a sample with about so many of HOT_PLACES places.
+SAMPLED_PLACES = 500
 #: Bytes of different pieces that a task holds back to merge copies.
 MERGED_BYTES = 16_000_000
 #: Windows of a text worked on at once; twice as many bytes must fit into the bits of PLACE.
 SEGMENT = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
+#: Pieces around frequent grams worked on at once, each of at most MOST_WINDOWS windows.
+PIECES_AT_ONCE = 1_000
 PLUS_ONE = bytes((b + 1) % 256 for b in range(256))
 
 
@@ -89,12 +102,16 @@ def pieces_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def segment_pieces(segments: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+def segment_pieces(segments: list[tuple[int, int, bytes]], length: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """frequent: sorted hashes of grams that count only in windows without any other."""
     sizes = np.array([len(t) for _, _, t in segments], np.int64)
     windows = sizes - length + 1
     grams = gram_hashes(np.frombuffer(b"".join(t for _, _, t in segments), np.uint8))
     # the first gram with the smallest high bits in each window, by its place in the low bits
     ranked = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
+    if frequent is not None:
+        last = np.isin(grams.view(np.int64), frequent).astype(np.uint64) << np.uint64(63)
+        ranked = ((grams >> np.uint64(1)) & ~PLACE) | last | np.arange(len(grams), dtype=np.uint64)
     low = (smallest(ranked, length - GRAM + 1) & PLACE).astype(np.int32)
     own = np.repeat(np.arange(len(sizes)), windows)
     begin = np.cumsum(sizes) - sizes
@@ -133,6 +150,30 @@ def piece_rows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(tidy(run), "key binary, pieces array<struct<h: long, at: long, again: boolean>>")
 
 
+def counted_grams(step: int):
+    """Hashes of about one in ``step`` grams of the pieces (key, n, s, piece), with their number in a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.random.default_rng(zlib.crc32(batch.column(0)[0].as_py()) if batch.num_rows else 0)
+            for at in range(0, batch.num_rows, PIECES_AT_ONCE):
+                grams = gram_hashes(np.frombuffer(b"".join(batch.column(3).slice(at, PIECES_AT_ONCE).to_pylist()), np.uint8))
+                h, n = np.unique(grams[own.integers(step, size=len(grams)) == 0].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+    return run
+
+
+def dealt_anew(length: int, frequent: Broadcast):
+    """Rows (key, n, h, at, again) of the pieces (key, n, s, piece) by the hashes that are not frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, PIECES_AT_ONCE) for b in batches for at in range(0, b.num_rows, PIECES_AT_ONCE)):
+            parts = [(k, s, piece) for k, (s, piece) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))]
+            row, h, s, r, again = segment_pieces(parts, length, frequent.value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(h),
+                 pa.array(s * MOST_WINDOWS + r - 1), pa.array(again.astype(bool))], names=["key", "n", "h", "at", "again"])
+    return run
+
+
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (shard, id, piece, places) with equal ids of one task made one, as far as memory goes."""
     held: dict[bytes, list] = {}
@@ -239,6 +280,52 @@ def cuts(starts: list[int], spans: list[list[tuple[int, int]]], length: int) ->
     return [tuple(f) for f in found]
 
 
+def pieces_cut(different: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """key, n, h, s and bytes of the pieces (h, at) of ``wanted``, from the texts."""
+    return (different.join(wanted, "key")
+            .select("key", "n", F.encode("text", "UTF-8").alias("bytes"), F.explode("pieces").alias("p"))
+            .select("key", "n", "p.h", F.floor(F.col("p.at") / MOST_WINDOWS).alias("s"), "bytes",
+                    (F.col("p.at") % MOST_WINDOWS + length).cast("int").alias("size"))
+            .select("key", "n", "h", "s", F.substring("bytes", (F.col("s") + 1).cast("int"), F.col("size")).alias("piece")))
+
+
+def often(each: DataFrame, n: Column) -> DataFrame:
+    """Hashes of the pieces that may hold repeated windows, and their places."""
+    return each.groupBy("h").agg(n.alias("places"), F.max("again").alias("again")).where("places > 1 or again").drop("again")
+
+
+def without_hot(different: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``wanted`` with the pieces around frequent grams (hot) dealt anew."""
+    hot = cut(pieces_cut(different, wanted.where(F.size("hot") > 0).select("key", "n", F.col("hot").alias("pieces")), length)
+              .select("key", "n", "s", "piece"))
+    step = max(1, HOT_PLACES // SAMPLED_PLACES)
+    counted = hot.mapInArrow(tidy(counted_grams(step)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    frequent = np.array(sorted(r["h"] for r in counted.where(F.col("n") * step >= HOT_PLACES).select("h").collect()), np.int64)
+    shared = different.sparkSession.sparkContext.broadcast(frequent)
+    each = cut(hot.mapInArrow(tidy(dealt_anew(length, shared)), "key binary, n long, h long, at long, again boolean"))
+    new = (each.join(often(each, F.sum("n")), "h", "left_semi").groupBy("key", "n")
+           .agg(F.collect_list(F.struct("h", "at")).alias("pieces")))
+    return cut(wanted.where(F.size("pieces") > 0).drop("hot").unionByName(new))
+
+
+def dealt_pieces(texts: DataFrame, different: DataFrame, length: int) -> tuple[DataFrame, int]:
+    """key, n, h, s, piece and id of all pieces that may hold repeated windows, and how many shards they fill."""
+    rows = cut(piece_rows(texts, length).where(F.size("pieces") > 0).withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", F.explode("pieces").alias("p")).select("row", "p.h", "p.at", "p.again")
+    first = rows.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("n"))
+    hot = F.col("places") >= HOT_PLACES
+    own = F.struct("h", "at")
+    wanted = cut(each.select("row", "h", "at").join(often(each, F.count("*")), "h").join(first, "row")
+                 .groupBy("key", "n").agg(F.collect_list(F.when(~hot, own)).alias("pieces"), F.collect_list(F.when(hot, own)).alias("hot")))
+    size = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["at"] % MOST_WINDOWS + length)
+    total, n_hot = wanted.agg(F.sum(size), F.sum(F.size("hot"))).first()
+    if n_hot:
+        wanted = without_hot(different, wanted, length)
+        total = wanted.agg(F.sum(size)).first()[0]
+    return (pieces_cut(different, wanted.select("key", "n", "pieces"), length).withColumn("id", F.unhex(F.md5("piece"))),
+            max(1, -(-(total or 0) // SHARD_BYTES)))
+
+
 def texts_without_repeats(texts: DataFrame, length: int = LENGTH, digests: bool = False) -> DataFrame:
     """For each different text of (key, text): key, n_bytes, n_removed, n_spans and the kept bytes or their SHA-256.
 
@@ -248,22 +335,8 @@ def texts_without_repeats(texts: DataFrame, length: int = LENGTH, digests: bool
         raise ValueError(f"the length must be at least {2 * GRAM}")
     # no key is null; said here, it is the same filter in every use, so that Spark shuffles the texts once
     texts = texts.select("key", F.coalesce("text", F.lit("")).alias("text")).where(F.col("key").isNotNull())
-    rows = cut(piece_rows(texts, length).where(F.size("pieces") > 0).withColumn("row", F.monotonically_increasing_id()))
-    each = rows.select("row", F.explode("pieces").alias("p")).select("row", "p.h", "p.at", "p.again")
-    often = each.groupBy("h").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("h")
-    first = rows.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("n"))
-    wanted = cut(each.select("row", "h", "at").join(often, "h", "left_semi").join(first, "row")
-                 .groupBy("key", "n").agg(F.collect_list(F.struct("h", "at")).alias("pieces")))
-    total = wanted.agg(F.sum(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["at"] % MOST_WINDOWS + length))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-
     different = texts.groupBy("key").agg(F.first("text").alias("text"))
-    placed = (different.join(wanted, "key")
-              .select("key", "n", F.encode("text", "UTF-8").alias("bytes"), F.explode("pieces").alias("p"))
-              .select("key", "n", "p.h", F.floor(F.col("p.at") / MOST_WINDOWS).alias("s"), "bytes",
-                      (F.col("p.at") % MOST_WINDOWS + length).cast("int").alias("size"))
-              .select("key", "n", "h", "s", F.substring("bytes", (F.col("s") + 1).cast("int"), F.col("size")).alias("piece"))
-              .withColumn("id", F.unhex(F.md5("piece"))))
+    placed, shards = dealt_pieces(texts, different, length)
     dealt = placed.select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), "id", "piece", F.col("n").alias("places"))
     repeats = (dealt.mapInArrow(tidy(merged), dealt.schema).repartition("shard").sortWithinPartitions("shard")
                .mapInArrow(tidy(sorted_shards(length)), "id binary, spans array<struct<a: int, b: int>>"))

@@ -78,6 +78,31 @@ def test_removals_equal_brute_force(spark, monkeypatch, shard_bytes):
     assert kept.where("text is not null").agg(F.sum(F.length(F.encode("text", "UTF-8")))).first()[0] <= sum(e[1] - e[2] for e in expected)
 
 
+def test_a_frequent_line_does_not_make_one_large_shard(spark, monkeypatch):
+    own = random.Random(8)
+    some = lambda n: "".join(own.choice("abcdefghij ") for _ in range(n))
+    line, passage = some(190), some(400)
+    texts = [some(300) + line + some(300) for _ in range(300)]
+    texts += [some(150) + passage + line + passage[:120] + some(90) for _ in range(30)] + [t[100:] for t in texts[:20]] + texts[:3]
+    expected = sorted(removed(texts, 200))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    keyed = docs.select(op4.text_key(F.col("text")).alias("key"), "text")
+    different = keyed.groupBy("key").agg(F.first("text").alias("text"))
+
+    def largest():
+        placed, _ = op4.dealt_pieces(keyed, different, 200)
+        sums = placed.select("h", "id", F.length("piece").alias("b")).distinct().groupBy("h").agg(F.sum("b"))
+        return sums.agg(F.max("sum(b)")).first()[0]
+
+    assert largest() > 40_000  # the pieces around the smallest gram of the line
+    monkeypatch.setattr(op4, "HOT_PLACES", 20)
+    assert largest() < 10_000
+    monkeypatch.setattr(op4, "SHARD_BYTES", 5_000)
+    assert sorted(tuple(r)[1:] for r in op4.removals(docs).collect()) == expected
+    monkeypatch.setattr(op4, "HOT_PLACES", 2)  # nearly all grams of repeated passages
+    assert sorted(tuple(r)[1:] for r in op4.removals(docs).collect()) == expected
+
+
 def test_removals_of_nothing(spark):
     assert op4.removals(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     one = op4.removals(spark.createDataFrame([(1, "short"), (2, None)], "doc_id long, text string")).collect()
