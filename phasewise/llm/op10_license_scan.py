@@ -4,8 +4,8 @@ A text becomes its words (A-Z lower-cased, runs of digits, letters and character
 ASCII) joined by single spaces.  A notice may differ in up to ``len // CHARS_PER_EDIT``
 characters.  Cut into one part more than that, a notice always has one part unchanged in any
 match, so all parts of all notices go into one automaton; each hit gives a window of the
-text, and the regex library's bounded-error matching searches the window and counts the
-edits.  Notices without a hit in a text cannot match there.
+text, and the regex library's bounded-error matching searches the window, then what is left on
+both sides of the best place, and counts the edits.  Notices without a hit in a text cannot match there.
 
 The exact phrases (the base) are found on whole words and are always part of the result.
 Null and empty texts have no words and no labels.  Rows are independent of each other, so
@@ -93,14 +93,25 @@ class Search:
         for n, own in windows.items():
             label, pattern, _, _ = self.notices[n]
             for low, high in own:
-                for m in pattern.finditer(text, low, min(high, len(text))):
-                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                found += [(label, *m) for m in searched(pattern, text, low, min(high, len(text)))]
         found = sorted(set(found))
         # of overlapping matches of different labels, those with the fewest edits
         return [m for m in found
                 if not any(o[1] < m[2] and m[1] < o[2] and o[0] != m[0] and o[3] < m[3] for o in _near(found, m))]
 
 
+def searched(pattern, text: str, low: int, high: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of matches that do not overlap: the best one, and those on both sides of it."""
+    found, todo = [], [(low, high)]
+    while todo:
+        low, high = todo.pop()
+        m = pattern.search(text, low, high)
+        if m:
+            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            todo += [(low, m.start()), (m.end(), high)]
+    return found
+
+
 def _near(found: list[tuple[str, int, int, int]], match: tuple[str, int, int, int]) -> list[tuple[str, int, int, int]]:
     """Matches that may overlap ``match``, of every label, from lists sorted by label and start."""
     near = []

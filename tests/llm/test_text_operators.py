@@ -191,6 +191,15 @@ def test_fuzzy_matches_equal_a_search_of_the_whole_text():
         assert not whole or label in labels or any(m[3] < sum(whole.fuzzy_counts) for m in search.matches(text))
 
 
+def test_fuzzy_places_before_a_better_one_are_found():
+    search = op10.search(op10.NOTICES, op10.CHARS_PER_EDIT)
+    exact, worse = "gnu lesser general public license", "gnu leser general public licence"
+    for lines in ([worse, exact], [exact, worse], [worse, worse, exact, worse], [worse, exact, worse, exact]):
+        text = " " + " ".join(lines) + " "
+        own = [(a, e) for label, a, _, e in search.matches(text) if label == "lgpl"]
+        assert len(own) == len(lines) and sorted(e for _, e in own) == sorted(2 * (line == worse) for line in lines)
+
+
 def test_kernel_table_equals_the_machine_on_landmarks():
     positive, negative = "idiot stupid loser moron".split(), "the of and house tree water stone river other".split()
     model = op9.word_model(positive, np.array([5.0, 4, 3, 2]), negative, 9)
