@@ -56,7 +56,8 @@ IMPLIED = {
     "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "tbody": (frozenset({"thead", "tbody", "tr", "td", "th"}), frozenset({"table"})),
 }
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>""", re.S)
+#: A quote opens only after "="; other values go up to white space or the end of the tag.
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|(?!"[^"]*"|'[^']*')[^\s>]*+))*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?]")

@@ -94,6 +94,18 @@ ODD_PAGES = {
 }
 
 
+def everything(page):
+    root = op5.parse(page)
+    return op5.text_of(root, {id(n) for n in op5.measured(root)})
+
+
+def test_stray_quotes_in_tags():
+    three = "First text here.\n\nIt's second.\n\nThird."
+    for attribute in ("title=it's", "alt=Bob's", "'", '"', "title=5\"", "a=b=\"c", "title='a>b' x=\"c>d\"", "title = 'a>b'"):
+        assert everything(f"<p {attribute}>First text here.</p><p>It's second.</p><p>Third.</p>") == three
+    assert everything("<p>a</p><p " + "=''" * 40) .startswith("a")  # no '>' any more
+
+
 def test_odd_pages(spark, model):
     rows = [(k // 2, f"u{k}", h, "x") for k, h in enumerate([*ODD_PAGES, "<div>" * 3000 + "deep", "<p>" * 5000 + "wide"])] + [(None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id int, url string, html string, text string")
