@@ -14,7 +14,8 @@ paragraphs dealt anew to ``LAYOUTS`` made-up layouts with menus, sidebars, notic
 comments, of which every node's label is known.
 
 Null, empty or text-free pages give an empty text.  Repeated rows and equal ids are judged one by
-one.  Pages of any length are processed whole; broken markup is read as far as it goes.
+one.  Scripts, styles, the head, form controls and elements marked as hidden are never text; all else is
+judged.  Pages of any length are processed whole; broken markup is read as far as it goes.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ TRAIN_CHARS = 20_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose contents are never text.
-DROPPED = frozenset("script style noscript template head title svg iframe object canvas audio video textarea select option math".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
+DROPPED = frozenset("script style head title textarea select option".split())
+RAW = frozenset("script style textarea title".split())
+#: Contents for readers without something else; judged like containers.
+INSTEAD = frozenset("noscript template iframe object canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -76,7 +79,7 @@ class Element:
         self.tag, self.parent, self.tokens, self.label, self.hidden = tag, parent, tokens, label, hidden
         self.children: list[Element | str] = []
         self.depth = parent.depth + 1 if parent else 0
-        self.scored = tag in BLOCKS and tag not in PARTS or bool(tokens)
+        self.scored = tag in BLOCKS and tag not in PARTS or tag in INSTEAD or bool(tokens)
         self.in_p = tag == "p" or parent is not None and parent.in_p
 
 
@@ -144,7 +147,7 @@ def parse(page: str) -> Element:
             here = close(here, frozenset({"p"}), frozenset({"td", "th", "button", "table"}))
         if tag in IMPLIED:
             here = close(here, *IMPLIED[tag])
-        if here.tag == "head" and tag not in ("meta", "link", "base"):
+        if here.tag == "head" and tag not in ("meta", "link", "base", "noscript", "template"):
             here = here.parent
         tokens, label, hidden = attributes(m[3])
         node = Element(tag, here, tokens, label, hidden)

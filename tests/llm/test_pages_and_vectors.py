@@ -106,6 +106,16 @@ def test_stray_quotes_in_tags():
     assert everything("<p>a</p><p " + "=''" * 40) .startswith("a")  # no '>' any more
 
 
+def test_contents_of_other_elements_are_judged(model):
+    inner = "<p>A long sentence, with some words in it. And one more.</p>" * 4
+    page = f"""<html><head><noscript><p>no</p></noscript><title>no</title></head><body><article>{inner}<p>As <math><mi>E</mi><mo>=</mo><mi>m</mi></math> and
+        <svg><title>no</title><text>a label</text></svg> say.</p><object><p>In an object.</p></object><noscript><p>Without scripts.</p></noscript>
+        <video>In a film.</video><script>no</script><select><option>no</select></article></body></html>"""
+    found = everything(page)
+    assert all(t in found for t in ("E=m", "a label", "In an object.", "Without scripts.", "In a film.")) and "no" not in found.split()
+    assert "E=m" in model.texts([page])[0]
+
+
 def test_odd_pages(spark, model):
     rows = [(k // 2, f"u{k}", h, "x") for k, h in enumerate([*ODD_PAGES, "<div>" * 3000 + "deep", "<p>" * 5000 + "wide"])] + [(None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id int, url string, html string, text string")
