@@ -87,6 +87,22 @@ def test_quantiles_are_exact(spark, monkeypatch, last):
     assert np.allclose(list(found), np.quantile(values, probabilities), rtol=0, atol=1e-15)
 
 
+def test_passes_do_not_grow_with_the_ranks(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "LAST_VALUES", 50)
+    df = spark.range(200_000, numPartitions=3).select((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7).alias("v"))
+
+    def jobs(probabilities):
+        group = f"quantiles-{len(probabilities)}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            exact_quantiles(df, "v", probabilities)
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs([0.01, 0.2, 0.5, 0.77, 0.99]) == jobs([0.4]) <= 14
+
+
 def test_quantiles_of_few_rows(frame):
     df = frame("v double", *[(float(i),) for i in (5, 1, 3, 2)], (None,))
     assert list(exact_quantiles(df, "v", [0.0, 0.3, 1.0]).first()) == pytest.approx([1.0, 1.9, 5.0])
