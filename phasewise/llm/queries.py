@@ -18,6 +18,7 @@ from phasewise.llm import (
     op8_minhash,
     op9_toxicity,
     op10_license_scan,
+    op11_substring_dedup,
     op12_importance,
     op13_centroids,
 )
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash.query,
         "op9_toxicity": op9_toxicity.query,
         "op10_license_scan": op10_license_scan.query,
+        "op11_substring_dedup": op11_substring_dedup.query,
         "op12_importance": op12_importance.query,
         "op13_centroids": op13_centroids.query,
         "pipeline": corpus_pipeline.run,
@@ -42,4 +44,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {"op2_url_filter": op2_url_filter.SQL, "op12_importance": op12_importance.SQL, "op13_centroids": op13_centroids.SQL}
+    return {
+        "op2_url_filter": op2_url_filter.SQL,
+        "op11_substring_dedup": op11_substring_dedup.SQL,
+        "op12_importance": op12_importance.SQL,
+        "op13_centroids": op13_centroids.SQL,
+    }
