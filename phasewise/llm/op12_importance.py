@@ -131,8 +131,19 @@ def counted(texts: DataFrame, states: Broadcast | None = None) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, at_most: int) -> list[bytes]:
-    """Features that occur twice or more; no more than ``at_most``."""
-    return [bytes(r["feature"]) for r in counts.where("n > 1").orderBy(F.col("n").desc(), "feature").limit(at_most).select("feature").collect()]
+    """Features that occur twice or more, from the most frequent on down to a power of two; no more than ``at_most``.
+
+    A histogram of the powers tells where to stop, so no task sends rows that are not wanted.
+    """
+    power = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    kept = cut(counts.where("n > 1").withColumn("power", power))
+    least, total = 64, 0
+    for found, n in kept.groupBy("power").count().orderBy(F.col("power").desc()).collect():  # 63 rows at most
+        total += n
+        if total > at_most:
+            break
+        least = found
+    return [bytes(r["feature"]) for r in kept.where(F.col("power") >= least).select("feature").collect()]
 
 
 def head(texts: DataFrame, most: int = MOST_WORDS, buckets: int = BUCKETS) -> Head:
