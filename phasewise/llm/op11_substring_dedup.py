@@ -346,19 +346,19 @@ SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), w AS (
-  SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM d
+  SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d
 ), starts AS (
-  SELECT row, unnest(range(1, len(words) - {WINDOW} + 2)) AS at FROM d
+  SELECT row, unnest(range(1, len(words) - {WINDOW} + 2)) AS pos FROM d
 ), windows AS (
-  SELECT row, at, md5(array_to_string(words[at:at + {WINDOW} - 1], ' ')) AS own FROM starts JOIN d USING (row)
+  SELECT row, pos, md5(array_to_string(words[pos:pos + {WINDOW} - 1], ' ')) AS own FROM starts JOIN d USING (row)
 ), again AS (
-  SELECT row, at FROM windows QUALIFY count(*) OVER (PARTITION BY own) > 1
+  SELECT row, pos FROM windows QUALIFY count(*) OVER (PARTITION BY own) > 1
 ), judged AS (
-  SELECT row, at, word, max(CASE WHEN again.at IS NULL THEN 0 ELSE 1 END) OVER (
-    PARTITION BY row ORDER BY at ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone
-  FROM w LEFT JOIN again USING (row, at)
+  SELECT row, pos, word, max(CASE WHEN again.pos IS NULL THEN 0 ELSE 1 END) OVER (
+    PARTITION BY row ORDER BY pos ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone
+  FROM w LEFT JOIN again USING (row, pos)
 ), kept AS (
-  SELECT row, sum(gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY at) FILTER (gone = 0), '')) AS kept_sha256
+  SELECT row, sum(gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0), '')) AS kept_sha256
   FROM judged GROUP BY row
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
