@@ -293,15 +293,63 @@ def _adjusted(outcomes: list[str]) -> tuple[list[str], str]:
     return parts, select
 
 
+CONDITIONS = {"vs_untreated": f"{N.OTHER_TREATMENT} = 0 and {N.PRIOR_STAY} = 0",
+              "early_treatment": f"{N.OTHER_TREATMENT} = 0 and {N.PRIOR_STAY} = 0",
+              "active_comparator": f"{T} <> {N.OTHER_TREATMENT} and {N.PRIOR_STAY} = 0",
+              "long_term": f"{N.FOLLOWED_UP} = 1"}
+
+
+def _logistic(treat: str, numeric: list[str], categorical: list[str], rounds: int = 12) -> dict[str, str]:
+    """Parts with the scores of a logistic model (person_id, pr_score): reweighted least squares from the
+    definition, one sum of products and one elimination over the rows of a matrix per round.
+
+    The design is one list per person: 1, the numbers, and a 0/1 entry for every level but the first.
+    """
+    levels = ", ".join(f"(select list(distinct {c} order by {c}) from pop) as levels_{c}" for c in categorical)
+    x = " || ".join(["[1.0::double]", *[f"[cast({v} as double)]" for v in numeric],
+                     *[f"list_transform(levels_{c}[2:], lambda l: cast({c} = l as int)::double)" for c in categorical]])
+    parts = {"design": f"select person_id, cast({treat} as double) as y, {x} as x from pop" + (f", (select {levels})" if levels else ""),
+             "beta_0": "select list_transform(x, lambda v: 0.0::double) as beta from design limit 1"}
+    for k in range(rounds):
+        parts |= {
+            f"means_{k}": f"select y, x, 1 / (1 + exp(-list_dot_product(x, beta))) as mu from design, beta_{k}",
+            f"gram_{k}": f"""select i, list(h order by j) as r from (select i, j, sum(mu * (1 - mu) * x[i] * x[j]) as h
+                from means_{k}, (select unnest(range(1, len(beta) + 1)) as i from beta_0), (select unnest(range(1, len(beta) + 1)) as j from beta_0)
+                group by i, j) group by i""",
+            f"slope_{k}": f"""select i, sum((y - mu) * x[i]) as g
+                from means_{k}, (select unnest(range(1, len(beta) + 1)) as i from beta_0) group by i""",
+            # one step makes one column that of the unit matrix; the last column becomes the solution.  A
+            # covariate that follows from those before it has no pivot left and gets no share (0)
+            f"solved_{k}": f"""select 0 as step, list(list_append(r, g) order by i) as m, list(r[i] order by i) as size
+                from gram_{k} join slope_{k} using (i)
+                union all select step + 1, list_transform(m, lambda r, i: case
+                    when m[step + 1][step + 1] <= 1e-9 * size[step + 1] then list_transform(r, lambda v, j: case when i = step + 1 or j = step + 1 then 0 else v end)
+                    when i = step + 1 then list_transform(r, lambda v: v / r[step + 1])
+                    else list_transform(r, lambda v, j: v - r[step + 1] * m[step + 1][j] / m[step + 1][step + 1]) end), size
+                from solved_{k} where step < len(m)""",
+            f"beta_{k + 1}": f"""select list_transform(beta, lambda b, i: b + m[i][len(m) + 1]) as beta
+                from beta_{k}, solved_{k} where step = len(m)""",
+        }
+    return parts | {"scores": f"select person_id, 1 / (1 + exp(-list_dot_product(x, beta))) as pr_score from design, beta_{rounds}"}
+
+
+def _with_model(chosen) -> dict[str, str]:
+    """Parts of a comparison with all covariates of its score."""
+    own = _by_group(chosen)
+    before = {}
+    for name, text in own.items():
+        if name == "scored":
+            before |= _logistic(chosen.weight_treatment, list(chosen.numeric), list(chosen.categorical))
+            text = "select pop.*, pr_score from pop join scores using (person_id)"
+        before[name] = text
+    return before
+
+
 def _by_group(chosen) -> dict[str, str]:
     """Parts of a comparison whose score is the treated share of each group."""
-    conditions = {"vs_untreated": f"{N.OTHER_TREATMENT} = 0 and {N.PRIOR_STAY} = 0",
-                  "early_treatment": f"{N.OTHER_TREATMENT} = 0 and {N.PRIOR_STAY} = 0",
-                  "active_comparator": f"{T} <> {N.OTHER_TREATMENT} and {N.PRIOR_STAY} = 0",
-                  "long_term": f"{N.FOLLOWED_UP} = 1"}
     treat, (low, high) = chosen.weight_treatment, chosen.trim
     return PARTS | {
-        "pop": f"select * from in_analysis where {conditions[chosen.name]}",
+        "pop": f"select * from in_analysis where {CONDITIONS[chosen.name]}",
         "scored": f"select *, avg({treat}) over (partition by race_ethnicity) as pr_score from pop",
         "weighted": f"""select s.*, 1 / pr_score as iptw, p / pr_score as wt_stab,
             case when {treat} = 1 then p / pr_score else (1 - p) / (1 - pr_score) end as ipw
@@ -312,15 +360,16 @@ def _by_group(chosen) -> dict[str, str]:
 
 def _comparisons() -> dict[str, str]:
     from checks.comparison_queries import ONE_CATEGORY_COMPARISONS
+    from phasewise.plans.comparison import COMPARISONS
 
     found = {}
-    for c in ONE_CATEGORY_COMPARISONS:
-        own = _by_group(c)
-        found[f"weights_{c.name}_by_group"] = statement(
+    for c, own, ending in [*((c, _by_group(c), "_by_group") for c in ONE_CATEGORY_COMPARISONS),
+                           *((c, _with_model(c), "") for c in COMPARISONS)]:
+        found[f"weights_{c.name}{ending}"] = _recursive(
             f"""select person_id, {c.weight_treatment}, round(pr_score, 6) as pr_score, round(iptw, 6) as iptw,
-                round(wt_stab, 6) as wt_stab, round(ipw, 6) as ipw from weighted""", own)
+                round(wt_stab, 6) as wt_stab, round(ipw, 6) as ipw from weighted""", parts=own)
         (plain, plain_select), (weighted, weighted_select) = (_odds(list(c.outcomes), w) for w in (False, True))
-        found[f"outcomes_{c.name}_by_group"] = _recursive(
+        found[f"outcomes_{c.name}{ending}"] = _recursive(
             f"select '{c.name}' as comparison, * from ({plain_select} union all {weighted_select})", plain, weighted, parts=own)
     c = ONE_CATEGORY_COMPARISONS[1]
     own = _by_group(c)

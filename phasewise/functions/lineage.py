@@ -25,16 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, kept: bool = False) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it from there.
 
     Readers prune its columns and share its scans, and a lost executor costs a re-read, not
-    a re-run of what produced it. Inside ``scratch`` the copy goes when the block ends.
+    a re-run of what produced it. Inside ``scratch`` the copy goes when the block ends; a ``kept``
+    one stays until the block around that one ends, if there is any.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if len(_scopes) > kept:
+        _scopes[-1 - kept].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

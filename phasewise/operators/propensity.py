@@ -2,9 +2,11 @@
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.feature import RFormula
+from pyspark.ml.feature import RFormula, VectorSlicer
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from phasewise.functions.lineage import cut
@@ -16,6 +18,8 @@ MAX_ITERATIONS = 25
 TOLERANCE = 1e-8
 # A fitted probability this near to 0 or 1 comes from a coefficient on its way to infinity.
 SEPARATED = 1e-8
+# A covariate of which this share of its variance is its own follows from those before it.
+DEPENDENT = 1e-9
 
 
 class NotConverged(ArithmeticError):
@@ -25,7 +29,7 @@ class NotConverged(ArithmeticError):
 @dataclass(frozen=True)
 class Fit:
     """Scored rows, and what the fit has to report: one row with treatment, rows used and left
-    out, iterations, and whether it converged."""
+    out, iterations, whether it converged, and the covariates that follow from others (aliased)."""
 
     scored: DataFrame
     report: DataFrame
@@ -45,8 +49,10 @@ def fit(
     is an error; ``on_missing='skip'`` leaves such rows out of model and result and counts
     them in the report. A fit that stops at its last iteration, or that drives a probability to
     0 or 1 (separation), raises ``NotConverged``; with ``on_failure='mark'`` the scores are null
-    instead and the report says so. The fit passes over the data once per iteration, so the
-    model columns are kept in memory (or on local disk) while it runs.
+    instead and the report says so. A covariate that is constant or follows from those before it
+    gets no coefficient, as its share cannot be told apart; the scores are the same without it.
+    The fit passes over the data once per iteration, so the model columns are kept in memory (or
+    on local disk) while it runs.
     """
     formula = RFormula(
         formula=f"{treat} ~ " + " + ".join([*numeric, *categorical]),
@@ -56,12 +62,15 @@ def fit(
     prepared = formula.transform(df)
     model_rows = prepared.select("_features", "_label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        names, own = _independent(model_rows)
+        slicer = VectorSlicer(inputCol="_features", outputCol="_own", indices=own)
+        prepared, model_rows_own = slicer.transform(prepared), slicer.transform(model_rows)
         model = GeneralizedLinearRegression(
-            family="binomial", link="logit", featuresCol="_features", labelCol="_label",
+            family="binomial", link="logit", featuresCol="_own", labelCol="_label",
             predictionCol=SCORE, maxIter=MAX_ITERATIONS, tol=TOLERANCE,
-        ).fit(model_rows)
+        ).fit(model_rows_own)
         iterations = model.summary.numIterations
-        used, low, high = model.transform(model_rows).agg(
+        used, low, high = model.transform(model_rows_own).agg(
             F.count("*"), F.min(SCORE), F.max(SCORE)).first()
     finally:
         model_rows.unpersist()
@@ -75,11 +84,29 @@ def fit(
         scored = scored.withColumn(SCORE, F.lit(None).cast("double"))
     left_out = df.count() - used if on_missing == "skip" else 0
     report = df.sparkSession.createDataFrame(
-        [(treat, used, left_out, iterations, converged)],
-        "treatment string, rows long, rows_left_out long, iterations int, converged boolean")
+        [(treat, used, left_out, iterations, converged, ",".join(n for i, n in enumerate(names) if i not in own))],
+        "treatment string, rows long, rows_left_out long, iterations int, converged boolean, aliased string")
     return Fit(scored, report)
 
 
+def _independent(rows: DataFrame) -> tuple[list[str], list[int]]:
+    """Names of the entries of ``_features``, and the numbers of those that do not follow from earlier ones.
+
+    Their variances and correlations come from two passes; the elimination needs no more than that
+    matrix, whose size is the number of covariates.
+    """
+    attributes = rows.schema["_features"].metadata["ml_attr"]["attrs"]
+    names = [a["name"] for a in sorted((a for kind in attributes.values() for a in kind), key=lambda a: a["idx"])]
+    varying = rows.select(Summarizer.variance(F.col("_features"))).first()[0].toArray() > 0
+    rest = np.where(np.outer(varying, varying), Correlation.corr(rows, "_features").first()[0].toArray(), 0.0)
+    own = []
+    for i in range(len(rest)):
+        if rest[i, i] > DEPENDENT:
+            own.append(i)
+            rest = rest - np.outer(rest[:, i], rest[i]) / rest[i, i]
+    return names, own
+
+
 def propensity(
     df: DataFrame,
     treat: str,
