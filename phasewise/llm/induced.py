@@ -5,8 +5,8 @@ substrings between them), then induce all L suffixes from them in ascending orde
 suffixes from those in descending order.  The queues of both scans are arrays of tuples
 (position, common prefix) that are ordered by first character and filled at one head per
 character.  All tuples before the first empty place are final, so they are taken together: a
-scan is a series of batches, each a few vector operations.  Queues above ``IN_MEMORY`` tuples are
-kept in unnamed temporary files; a scan reads them in order and writes at their heads.
+scan is a series of batches, each a few vector operations.  The queues are
+unnamed temporary files; a scan reads them in order and writes at their heads.
 
 A suffix that is induced by another has one more character in common with its neighbour than
 the two suffixes that induced them; the smallest common prefix between those is kept per
@@ -19,15 +19,11 @@ import tempfile
 
 import numpy as np
 
-#: Tuples of a queue kept in memory; larger queues go to files.
-IN_MEMORY = 1 << 25
 #: Tuples taken together at most.
 BATCH = 1 << 15
 
 
 def queue(size: int, kind: type, fill: int) -> np.ndarray:
-    if size <= IN_MEMORY:
-        return np.full(size, fill, kind)
     file = tempfile.TemporaryFile()  # gone when the array is
     own = np.asarray(np.memmap(file, kind, "w+", shape=(size,)))
     own[:] = fill

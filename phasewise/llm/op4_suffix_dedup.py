@@ -8,10 +8,11 @@ equal windows belong to equal hashes.  Runs of windows of one hash make a piece.
 hash occurs at one place in all texts hold no repeated window.  All other pieces are dealt to shards by
 their hash, so all places of a repeated window meet in one shard.
 
-The windows around a gram with ``HOT_PLACES`` places or more (a short line in many texts) are dealt anew, by the
-smallest hash among those grams in the window that are not frequent around it, or among all if every one is.
-This, too, depends on the window alone.  Windows with a neighbourhood of their own get a hash
-with one place and go; windows of frequent grams only are few different ones.  In a shard the different pieces,
+A gram that ``HOT_TEXTS`` different texts or more hold (part of a line in many texts) would fill a shard.
+The windows around it are dealt by more of their content: windows that hold the gram's place at offsets of one range
+of ``CORES`` bytes share all bytes but those of the range less one, and the hash of these decides.  So only windows whose
+surroundings are equal, too, stay together; where even those are in so many texts, single windows are dealt
+by all of their bytes.  In a shard the different pieces,
 each with the number of its places, form one text, whose suffixes are sorted by external induced
 sorting with common prefixes (``induced.py``).  Neighbouring suffixes that share ``LENGTH``
 bytes are one window; it is repeated if the places of its pieces add up to two or more.
@@ -27,16 +28,15 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phasewise.functions.lineage import cut
+from phasewise.functions.lineage import cut, scratch
 from phasewise.llm.common import ROWS_AT_ONCE, column, portions, quoted, tidy, unused
 from phasewise.llm.induced import suffixes
 
@@ -46,17 +46,16 @@ GRAM = 32
 #: Windows of a piece at most; longer runs are several pieces.
 MOST_WINDOWS = 4096
 #: Bytes of pieces dealt to one shard, about, copies included.
-SHARD_BYTES = 8_000_000
-#: Places from which a gram is frequent; the pieces around so many places fill a shard.
-HOT_PLACES = 20_000
-#: Grams around frequent ones are counted by a sample with about so many of HOT_PLACES places.
-SAMPLED_PLACES = 500
+SHARD_BYTES = 4_000_000
+#: Different texts from which a hash counts as hot, and the ranges of offsets by which its windows are dealt anew, one after the other.
+HOT_TEXTS = 20_000
+CORES = (8, 1)
 #: Bytes of different pieces that a task holds back to merge copies.
 MERGED_BYTES = 16_000_000
 #: Windows of a text worked on at once; twice as many bytes must fit into the bits of PLACE.
 SEGMENT = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
-#: Pieces around frequent grams worked on at once, each of at most MOST_WINDOWS windows.
+#: Pieces around hot grams worked on at once, each of at most MOST_WINDOWS windows.
 PIECES_AT_ONCE = 1_000
 PLUS_ONE = bytes((b + 1) % 256 for b in range(256))
 
@@ -65,12 +64,12 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes at each place, by doubling."""
+def gram_hashes(data: np.ndarray, gram: int = 0) -> np.ndarray:
+    """A hash of the GRAM bytes (or of another power of two) at each place, by doubling."""
     h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     size = 1
-    while size < GRAM:
+    while size < (gram or GRAM):
         right = h[size:]
         h = h[:-size] * np.uint64(0xBF58476D1CE4E5B9) + (right ^ (right >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(30)
@@ -102,23 +101,38 @@ def pieces_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def segment_pieces(segments: list[tuple[int, int, bytes]], length: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """frequent: sorted hashes of grams that count only in windows without any other."""
-    sizes = np.array([len(t) for _, _, t in segments], np.int64)
-    windows = sizes - length + 1
-    grams = gram_hashes(np.frombuffer(b"".join(t for _, _, t in segments), np.uint8))
-    # the first gram with the smallest high bits in each window, by its place in the low bits
-    ranked = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
-    if frequent is not None:
-        last = np.isin(grams.view(np.int64), frequent).astype(np.uint64) << np.uint64(63)
-        ranked = ((grams >> np.uint64(1)) & ~PLACE) | last | np.arange(len(grams), dtype=np.uint64)
-    low = (smallest(ranked, length - GRAM + 1) & PLACE).astype(np.int32)
-    own = np.repeat(np.arange(len(sizes)), windows)
-    begin = np.cumsum(sizes) - sizes
-    skip = begin - (np.cumsum(windows) - windows)
-    low = low[np.arange(len(own)) + np.repeat(skip, windows)]
+class Windows:
+    """All windows of some segments (text number, first byte, bytes), one after the other."""
+
+    def __init__(self, segments: list[tuple[int, int, bytes]], length: int):
+        self.segments = segments
+        sizes = np.array([len(t) for _, _, t in segments], np.int64)
+        windows = sizes - length + 1
+        self.data = np.frombuffer(b"".join(t for _, _, t in segments), np.uint8)
+        self.grams = gram_hashes(self.data)
+        # the first gram with the smallest high bits in each window, by its place in the low bits
+        ranked = (self.grams & ~PLACE) | np.arange(len(self.grams), dtype=np.uint64)
+        low = (smallest(ranked, length - GRAM + 1) & PLACE).astype(np.int32)
+        self.own = np.repeat(np.arange(len(sizes)), windows)
+        self.begin = np.cumsum(sizes) - sizes
+        self.skip = self.begin - (np.cumsum(windows) - windows)
+        self.low = low[np.arange(len(self.own)) + np.repeat(self.skip, windows)]
+
+    def starts(self, rows: np.ndarray) -> np.ndarray:
+        """Places of windows in ``data``."""
+        return rows + self.skip[self.own[rows]]
+
+    def text_and_place(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        segment = self.own[first]
+        text, offset = np.array([s[0] for s in self.segments], np.int64), np.array([s[1] for s in self.segments], np.int64)
+        return text[segment], self.starts(first) - self.begin[segment] + offset[segment]
+
+
+def segment_pieces(segments: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+    w = Windows(segments, length)
+    low, own = w.low, w.own
     change = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (own[1:] != own[:-1])))
-    value = grams[low[change]].view(np.int64)
+    value = w.grams[low[change]].view(np.int64)
     new = np.append(True, (value[1:] != value[:-1]) | (own[change[1:]] != own[change[:-1]]))
     start, value = change[new], value[new]
     again = np.diff(np.append(np.flatnonzero(new), len(new))) > 1
@@ -126,10 +140,27 @@ def segment_pieces(segments: list[tuple[int, int, bytes]], length: int, frequent
     parts = -(-run // MOST_WINDOWS)
     first = np.repeat(start, parts) + MOST_WINDOWS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     run = np.minimum(np.repeat(start + run, parts) - first, MOST_WINDOWS)
-    segment = own[first]
-    text, offset = np.array([s[0] for s in segments], np.int64), np.array([s[1] for s in segments], np.int64)
-    place = first + skip[segment] - begin[segment] + offset[segment]
-    return text[segment], np.repeat(value, parts), place, run, np.repeat(again, parts)
+    text, place = w.text_and_place(first)
+    return text, np.repeat(value, parts), place, run, np.repeat(again, parts)
+
+
+def core_pieces(segments: list[tuple[int, int, bytes]], length: int, width: int) -> tuple[np.ndarray, ...]:
+    """Text number, hash, first byte and windows of runs of at most ``width`` windows around one gram.
+
+    Windows that hold their gram at offsets from k * width to (k + 1) * width - 1 all hold the bytes from
+    k * width before the gram on that the first and the last of them share; the hash is that of these and k.
+    """
+    w = Windows(segments, length)
+    rows = np.arange(len(w.own))
+    group = (w.low - w.starts(rows)) // width
+    start = np.flatnonzero(np.append(True, (w.low[1:] != w.low[:-1]) | (group[1:] != group[:-1]) | (w.own[1:] != w.own[:-1])))
+    run = np.diff(np.append(start, len(rows)))
+    core, size = length - width + 1, 1 << ((length - width + 1).bit_length() - 1)
+    hashes = gram_hashes(w.data, size)
+    at = w.low[start] - width * group[start]
+    value = (hashes[at] * np.uint64(0x9E3779B97F4A7C15) + hashes[at + core - size]) ^ group[start].astype(np.uint64)
+    text, place = w.text_and_place(start)
+    return text, (value * np.uint64(0xD6E8FEB86659FD93)).view(np.int64), place, run
 
 
 def piece_rows(texts: DataFrame, length: int) -> DataFrame:
@@ -150,27 +181,15 @@ def piece_rows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(tidy(run), "key binary, pieces array<struct<h: long, at: long, again: boolean>>")
 
 
-def counted_grams(step: int):
-    """Hashes of about one in ``step`` grams of the pieces (key, n, s, piece), with their number in a batch."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = np.random.default_rng(zlib.crc32(batch.column(0)[0].as_py()) if batch.num_rows else 0)
-            for at in range(0, batch.num_rows, PIECES_AT_ONCE):
-                grams = gram_hashes(np.frombuffer(b"".join(batch.column(3).slice(at, PIECES_AT_ONCE).to_pylist()), np.uint8))
-                h, n = np.unique(grams[own.integers(step, size=len(grams)) == 0].view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
-    return run
-
-
-def dealt_anew(length: int, frequent: Broadcast):
-    """Rows (key, n, h, at, again) of the pieces (key, n, s, piece) by the hashes that are not frequent."""
+def dealt_anew(length: int, width: int):
+    """Rows (key, n, h, at) of the pieces (key, n, s, piece) by the bytes that windows of nearby offsets share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, PIECES_AT_ONCE) for b in batches for at in range(0, b.num_rows, PIECES_AT_ONCE)):
             parts = [(k, s, piece) for k, (s, piece) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))]
-            row, h, s, r, again = segment_pieces(parts, length, frequent.value)
+            row, h, s, r = core_pieces(parts, length, width)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(h),
-                 pa.array(s * MOST_WINDOWS + r - 1), pa.array(again.astype(bool))], names=["key", "n", "h", "at", "again"])
+                 pa.array(s * MOST_WINDOWS + r - 1)], names=["key", "n", "h", "at"])
     return run
 
 
@@ -289,40 +308,34 @@ def pieces_cut(different: DataFrame, wanted: DataFrame, length: int) -> DataFram
             .select("key", "n", "h", "s", F.substring("bytes", (F.col("s") + 1).cast("int"), F.col("size")).alias("piece")))
 
 
-def often(each: DataFrame, n: Column) -> DataFrame:
-    """Hashes of the pieces that may hold repeated windows, and their places."""
-    return each.groupBy("h").agg(n.alias("places"), F.max("again").alias("again")).where("places > 1 or again").drop("again")
-
-
-def without_hot(different: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` with the pieces around frequent grams (hot) dealt anew."""
-    hot = cut(pieces_cut(different, wanted.where(F.size("hot") > 0).select("key", "n", F.col("hot").alias("pieces")), length)
-              .select("key", "n", "s", "piece"))
-    step = max(1, HOT_PLACES // SAMPLED_PLACES)
-    counted = hot.mapInArrow(tidy(counted_grams(step)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    frequent = np.array(sorted(r["h"] for r in counted.where(F.col("n") * step >= HOT_PLACES).select("h").collect()), np.int64)
-    shared = different.sparkSession.sparkContext.broadcast(frequent)
-    each = cut(hot.mapInArrow(tidy(dealt_anew(length, shared)), "key binary, n long, h long, at long, again boolean"))
-    new = (each.join(often(each, F.sum("n")), "h", "left_semi").groupBy("key", "n")
-           .agg(F.collect_list(F.struct("h", "at")).alias("pieces")))
-    return cut(wanted.where(F.size("pieces") > 0).drop("hot").unionByName(new))
+def divided(each: DataFrame, last: bool) -> DataFrame:
+    """key, n, and lists of the pieces (key, n, h, at, again) that may hold repeated windows: usual ones, and hot ones unless last."""
+    often = (each.groupBy("h").agg(F.sum("n").alias("places"), F.count("*").alias("texts"), F.max("again").alias("again"))
+             .where("places > 1 or again").select("h", "texts"))
+    hot, own = (F.col("texts") >= HOT_TEXTS) & F.lit(not last), F.struct("h", "at")
+    return each.select("key", "n", "h", "at").join(often, "h").groupBy("key", "n").agg(
+        F.collect_list(F.when(~hot, own)).alias("pieces"), F.collect_list(F.when(hot, own)).alias("hot"))
 
 
 def dealt_pieces(texts: DataFrame, different: DataFrame, length: int) -> tuple[DataFrame, int]:
     """key, n, h, s, piece and id of all pieces that may hold repeated windows, and how many shards they fill."""
-    rows = cut(piece_rows(texts, length).where(F.size("pieces") > 0).withColumn("row", F.monotonically_increasing_id()))
-    each = rows.select("row", F.explode("pieces").alias("p")).select("row", "p.h", "p.at", "p.again")
-    first = rows.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("n"))
-    hot = F.col("places") >= HOT_PLACES
-    own = F.struct("h", "at")
-    wanted = cut(each.select("row", "h", "at").join(often(each, F.count("*")), "h").join(first, "row")
-                 .groupBy("key", "n").agg(F.collect_list(F.when(~hot, own)).alias("pieces"), F.collect_list(F.when(hot, own)).alias("hot")))
     size = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["at"] % MOST_WINDOWS + length)
-    total, n_hot = wanted.agg(F.sum(size), F.sum(F.size("hot"))).first()
-    if n_hot:
-        wanted = without_hot(different, wanted, length)
-        total = wanted.agg(F.sum(size)).first()[0]
-    return (pieces_cut(different, wanted.select("key", "n", "pieces"), length).withColumn("id", F.unhex(F.md5("piece"))),
+    with scratch(texts.sparkSession):
+        rows = cut(piece_rows(texts, length).where(F.size("pieces") > 0)
+                   .groupBy("key").agg(F.first("pieces").alias("pieces"), F.count("*").alias("n")))
+        wanted = cut(divided(rows.select("key", "n", F.inline("pieces")), last=False), kept=True)
+        parts = [wanted]
+        total, hot = wanted.agg(F.sum(size), F.sum(F.size("hot"))).first()
+        for width in CORES:  # for grams in very many texts only
+            if not hot:
+                break
+            pieces = pieces_cut(different, parts[-1].where(F.size("hot") > 0).select("key", "n", F.col("hot").alias("pieces")), length)
+            each = cut(pieces.select("key", "n", "s", "piece").mapInArrow(tidy(dealt_anew(length, width)), "key binary, n long, h long, at long"))
+            parts.append(cut(divided(each.withColumn("again", F.lit(False)), width == CORES[-1]), kept=True))
+            more, hot = parts[-1].agg(F.sum(size), F.sum(F.size("hot"))).first()
+            total = (total or 0) + (more or 0)
+    wanted = reduce(DataFrame.unionByName, [p.where(F.size("pieces") > 0).select("key", "n", "pieces") for p in parts])
+    return (pieces_cut(different, wanted, length).withColumn("id", F.unhex(F.md5("piece"))),
             max(1, -(-(total or 0) // SHARD_BYTES)))
 
 

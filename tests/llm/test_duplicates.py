@@ -19,10 +19,8 @@ from phasewise.llm.components import components
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("in_memory", [1 << 25, 10])
 @pytest.mark.parametrize("seed", range(4))
-def test_suffixes_equal_sorting(monkeypatch, seed, in_memory):
-    monkeypatch.setattr(induced, "IN_MEMORY", in_memory)  # 10: queues in files
+def test_suffixes_equal_sorting(seed):
     own = np.random.default_rng(seed)
     for trial in range(60):
         n, sigma = int(own.integers(0, 70)), int(own.integers(1, 6))
@@ -95,11 +93,11 @@ def test_a_frequent_line_does_not_make_one_large_shard(spark, monkeypatch):
         return sums.agg(F.max("sum(b)")).first()[0]
 
     assert largest() > 40_000  # the pieces around the smallest gram of the line
-    monkeypatch.setattr(op4, "HOT_PLACES", 20)
+    monkeypatch.setattr(op4, "HOT_TEXTS", 25)
     assert largest() < 10_000
     monkeypatch.setattr(op4, "SHARD_BYTES", 5_000)
     assert sorted(tuple(r)[1:] for r in op4.removals(docs).collect()) == expected
-    monkeypatch.setattr(op4, "HOT_PLACES", 2)  # nearly all grams of repeated passages
+    monkeypatch.setattr(op4, "HOT_TEXTS", 2)  # nearly all grams of repeated passages
     assert sorted(tuple(r)[1:] for r in op4.removals(docs).collect()) == expected
 
 
