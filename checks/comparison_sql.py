@@ -288,7 +288,8 @@ def _adjusted(outcomes: list[str]) -> tuple[list[str], str]:
     at = "case term when 0 then b0 when 1 then b1 else b2 end"
     select = f"""select outcome, true as weighted, name as term, round(exp(any_value(estimate)), 6) as odds_ratio,
         round(exp(max({at}) filter (side = -1)), 6) as ci_low, round(exp(max({at}) filter (side = 1)), 6) as ci_high,
-        true as converged, 0::bigint as rows_left_out
+        case when isfinite(max({at}) filter (side = -1)) then 'reached' end as ci_low_status,
+        case when isfinite(max({at}) filter (side = 1)) then 'reached' end as ci_high_status, true as converged, 0::bigint as rows_left_out
         from end_15 join (values {names_}) n(term, name) using (term) group by outcome, name"""
     return parts, select
 

@@ -1,13 +1,15 @@
 """Odds ratios of outcomes by treatment, with profile-likelihood intervals."""
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator
+from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from phasewise.functions.lineage import cut, scratch
 from phasewise.functions.roots import bisect
 from phasewise.operators.propensity import NotConverged
 
@@ -19,8 +21,10 @@ INTERCEPT = "(Intercept)"
 FAR = 40.0
 MAX_STEPS = 50
 TOLERANCE = 1e-9
-# Parts of a Newton step that are tried together.
-STEP_PARTS = [2.0**-k for k in range(8)]
+ROUNDING = 1e-9
+# Parts of a Newton step that are tried together where the whole one fails.
+STEP_PARTS = [2.0**-k for k in range(1, 8)]
+REACHED, OPEN, NOT_SETTLED = "reached", "open", "not settled"
 
 
 def outcome_cells(df: DataFrame, treat: str, outcomes: list[str], weight: str | None = None) -> DataFrame:
@@ -142,50 +146,91 @@ def odds_ratio_adjusted(
 ) -> DataFrame:
     """Weighted odds ratios with further covariates, quasi-binomial dispersion, per outcome.
 
-    Rows with equal covariates, treatment and outcome are merged first and carry their
-    weight sum, so that each pass of the fit sees distinct patterns only; rows with a missing
-    value are left out and counted. The profile limits come from Newton's method on "likelihood
-    at its limit, other slopes zero" (Venzon and Moolgavkar 1988); one pass advances the limits
-    of all terms together. A limit that is not reached, or not on its side, is null (open).
+    Rows with equal covariates, treatment and outcomes are merged first and carry their
+    weight sum; that table is written, and each pass of the fit reads it once for all outcomes, terms and
+    sides together. Rows with a missing value are left out of an outcome and counted. The profile
+    limits come from Newton's method on "likelihood at its limit, other slopes zero" (Venzon and Moolgavkar
+    1988) inside brackets: a step that leaves what is known to hold the limit is replaced by a
+    halving or doubling of the distance. ``ci_low_status`` and ``ci_high_status`` tell a limit that was
+    ``reached`` from one that is ``open`` (null: the likelihood stays above its limit all the way) and
+    one ``not settled`` after ``MAX_STEPS`` passes (null).
 
     A model without a finite estimate (separated data) raises ``NotConverged``; with
     ``on_failure='mark'`` its numbers are null and ``converged`` is false.
     """
     terms = [treat, *covariates]
+    spark = df.sparkSession
     found = []
+    with scratch(spark):
+        grouped = df.groupBy(*terms, *[F.col(y).cast("double").alias(y) for y in outcomes]).agg(
+            F.count("*").alias("_rows"), F.sum(weight).alias("_w"))
+        patterns = cut(grouped.unpivot([*terms, "_rows", "_w"], outcomes, "_outcome", "_y").select(
+            "_outcome", *[F.col(t).cast("double").alias(t) for t in terms], "_y", "_rows", "_w", F.lit(1.0).alias(INTERCEPT)))
+        complete = reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in (*terms, "_y", "_w")])
+        own = F.when(complete, F.col("_rows"))
+        counts = {r[0]: (r[1], r[2] or 0, [1.0, *r[3:]]) for r in patterns.groupBy("_outcome").agg(
+            F.sum("_rows"), F.sum(own), *[F.sqrt(F.try_divide(F.sum(own * F.pow(f"`{t}`", F.lit(2))), F.sum(own))) for t in terms]).collect()}
+        models = {y: _profile([INTERCEPT, *terms], *counts[y][1:]) for y in outcomes if y in counts}
+        results = _evaluated(patterns.where(complete), [INTERCEPT, *terms], models)
     for outcome in outcomes:
-        patterns = (
-            df.groupBy(*terms, outcome)
-            .agg(F.count("*").alias("_rows"), F.sum(weight).alias("_w"))
-            .select(*[F.col(t).cast("double").alias(t) for t in terms],
-                    F.col(outcome).cast("double").alias("_y"), "_rows", "_w", F.lit(1.0).alias(INTERCEPT))
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        )
-        try:
-            whole = patterns.dropna()
-            rows, used = (x.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0] for x in (patterns, whole))
-            try:
-                estimates, converged = _profile(whole, [INTERCEPT, *terms], used), True
-            except NotConverged as e:
-                if on_failure == "error":
-                    raise NotConverged(f"{outcome}: {e}") from None
-                estimates, converged = {t: (None, None, None) for t in (INTERCEPT, *terms)}, False
-        finally:
-            patterns.unpersist()
-        found += [(outcome, True, term, *row, converged, rows - used) for term, row in estimates.items()]
-    return df.sparkSession.createDataFrame(
+        rows, used = counts.get(outcome, (0, 0))[:2]
+        fit = results.get(outcome, NotConverged("no rows"))
+        if isinstance(fit, NotConverged):
+            if on_failure == "error":
+                raise NotConverged(f"{outcome}: {fit}")
+            fit = {t: (None,) * 5 for t in (INTERCEPT, *terms)}
+        found += [(outcome, True, term, *row, row[0] is not None, rows - used) for term, row in fit.items()]
+    return spark.createDataFrame(
         found, "outcome string, weighted boolean, term string, odds_ratio double, ci_low double, ci_high double, "
-               "converged boolean, rows_left_out long")
+               "ci_low_status string, ci_high_status string, converged boolean, rows_left_out long")
+
+
+@dataclass(frozen=True)
+class Point:
+    """Log-likelihood, gradient, information and Pearson sum at some coefficients."""
 
+    value: float
+    gradient: np.ndarray
+    information: np.ndarray
+    pearson: float
 
-def _likelihoods(patterns: DataFrame, terms: list[str], betas: list[np.ndarray]) -> list[tuple]:
-    """Log-likelihood, gradient, information and Pearson sum at several coefficient vectors, in one pass."""
+
+# A fit asks for points and is sent what was found there.
+Steps = Generator[list[np.ndarray], list[Point], Any]
+
+
+def _evaluated(patterns: DataFrame, terms: list[str], models: dict[str, Steps]) -> dict[str, Any]:
+    """What each model returns, or the ``NotConverged`` it raises; all ask together, one pass a round."""
+    done: dict[str, Any] = {}
+    asked: dict[str, list[np.ndarray]] = {}
+    answers: dict[str, list[Point] | None] = dict.fromkeys(models)
+    while len(done) < len(models):
+        asked.clear()
+        for name, model in models.items():
+            if name in done:
+                continue
+            try:
+                asked[name] = model.send(answers[name])
+            except StopIteration as end:
+                done[name] = end.value
+            except NotConverged as failure:
+                done[name] = failure
+        if asked:
+            answers = _likelihoods(patterns, terms, asked)
+    return done
+
+
+def _likelihoods(patterns: DataFrame, terms: list[str], betas: dict[str, list[np.ndarray]]) -> dict[str, list[Point]]:
+    """Every outcome at several coefficient vectors, in one pass."""
     size = len(terms)
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    at = F.array(*[F.array(*[F.lit(float(v)) for v in beta]) for beta in betas])
+    at = F.coalesce(*[
+        F.when(F.col("_outcome") == name, F.array(*[F.array(*[F.lit(float(v)) for v in beta]) for beta in own]))
+        for name, own in betas.items()
+    ])
     x, y, w, eta, mu = [F.col(f"`{t}`") for t in terms], *map(F.col, ("_y", "_w", "eta", "mu"))
     fitted = (
-        patterns.select("*", F.posexplode(at).alias("k", "beta"))
+        patterns.where(F.col("_outcome").isin(list(betas))).select("*", F.posexplode(at).alias("k", "beta"))
         .withColumn("eta", reduce(Column.__add__, [F.col("beta")[i] * x[i] for i in range(size)]))
         .withColumn("mu", 1 / (1 + F.exp(-eta)))
         .withColumn("v", w * mu * (1 - mu))
@@ -194,13 +239,12 @@ def _likelihoods(patterns: DataFrame, terms: list[str], betas: list[np.ndarray])
     sums += [F.sum(w * (y - mu) * x[i]) for i in range(size)]
     sums += [F.sum(F.col("v") * x[i] * x[j]) for i, j in pairs]
     sums += [F.sum(F.try_divide(F.pow(w * (y - mu), 2), F.col("v")))]
-    rows = fitted.groupBy("k").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).orderBy("k").collect()
-    found = []
-    for _, likelihood, *rest, pearson in rows:
+    found: dict[str, list] = {name: [None] * len(own) for name, own in betas.items()}
+    for name, k, value, *rest, pearson in fitted.groupBy("_outcome", "k").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).collect():
         information = np.zeros((size, size))
-        for (i, j), value in zip(pairs, rest[size:]):
-            information[i, j] = information[j, i] = value
-        found.append((likelihood, np.array(rest[:size]), information, pearson))
+        for (i, j), v in zip(pairs, rest[size:]):
+            information[i, j] = information[j, i] = v
+        found[name][k] = Point(value, np.array(rest[:size]), information, pearson)
     return found
 
 
@@ -212,58 +256,118 @@ def _solve(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray | None:
     return found if np.isfinite(found).all() else None
 
 
-def _maximum(patterns: DataFrame, terms: list[str]) -> tuple[np.ndarray, float, np.ndarray, float]:
-    """Estimate, log-likelihood, information and Pearson sum; the best part of each Newton step is taken."""
-    beta = np.zeros(len(terms))
-    best, gradient, information, pearson = _likelihoods(patterns, terms, [beta])[0]
+def _maximum(size: int) -> Steps:
+    """The estimate and its point. Only a Newton step that does not raise the likelihood is tried in parts."""
+    beta = np.zeros(size)
+    (best,) = yield [beta]
     for _ in range(MAX_STEPS):
-        step = _solve(information, gradient)
+        step = _solve(best.information, best.gradient)
         if step is None or np.abs(beta).max() > FAR:
             raise NotConverged("the data are separated: the estimate runs to infinity")
-        tried = [beta + part * step for part in STEP_PARTS]
-        results = _likelihoods(patterns, terms, tried)
-        k = max(range(len(tried)), key=lambda i: (results[i][0] if math.isfinite(results[i][0]) else -math.inf, -i))
+        (whole,) = yield [beta + step]
         if np.abs(step).max() < TOLERANCE:
-            return tried[0], *results[0][:1], *results[0][2:]
-        if not results[k][0] >= best - 1e-9 * abs(best):
+            return beta + step, whole
+        tried = {1.0: whole}
+        if not whole.value >= best.value - ROUNDING * abs(best.value):
+            tried = dict(zip(STEP_PARTS, (yield [beta + part * step for part in STEP_PARTS])))
+        part = max(tried, key=lambda k: (tried[k].value if math.isfinite(tried[k].value) else -math.inf, k))
+        if not tried[part].value >= best.value - ROUNDING * abs(best.value):
             raise NotConverged("no part of a Newton step raises the likelihood")
-        beta, (best, gradient, information, pearson) = tried[k], results[k]
+        beta, best = beta + part * step, tried[part]
     raise NotConverged(f"no estimate after {MAX_STEPS} steps")
 
 
-def _profile(patterns: DataFrame, terms: list[str], count: int) -> dict[str, tuple]:
-    """Odds ratio and limits per term."""
-    beta, best, information, pearson = _maximum(patterns, terms)
+class Limit:
+    """One end of a profile interval: where the best likelihood for a fixed coefficient meets its limit.
+
+    ``inside`` is the furthest point known to lie above the limit, ``outside`` the nearest value of the
+    coefficient known to lie below; the profile is concave, so the end is between them.
+    """
+
+    def __init__(self, i: int, side: int, beta: np.ndarray, error: np.ndarray, best: float, target: float, far: float):
+        self.i, self.side, self.start, self.best, self.target = i, side, beta[i], best, target
+        self.inside, self.outside = beta, math.inf
+        self.at = beta + side * error
+        self.far = far
+        self.status, self.value = NOT_SETTLED, None
+        self.undecided = 0
+
+    def _distance(self, b: float) -> float:
+        return self.side * (b - self.start)
+
+    def move(self, p: Point) -> bool:
+        """Learn from the point at ``at`` and go on; whether there is more to do."""
+        i, at, here = self.i, self.at, self._distance(self.at[self.i])
+        others = np.arange(len(at)) != i
+        inner = p.information[np.ix_(others, others)]
+        turn = _solve(inner, np.column_stack([p.gradient[others], p.information[others, i]])) if others.any() else np.zeros((0, 2))
+        raised = math.inf if turn is None else 0.5 * float(p.gradient[others] @ turn[:, 0])  # by the best other slopes
+        if p.value >= self.target:
+            self.undecided = 0
+            if here > self._distance(self.inside[i]):
+                self.inside = at
+            if here > self.far:
+                self.status = OPEN
+                return False
+        elif raised < 0.1 * (self.best - self.target) and p.value + 2 * raised < self.target:
+            self.undecided = 0
+            self.outside = min(self.outside, here)
+        else:
+            self.undecided += 1
+        aim, slopes = p.gradient.copy(), -p.information.copy()
+        aim[i], slopes[i] = p.value - self.target, p.gradient
+        step = _solve(slopes, aim)
+        if step is not None:
+            goal = self._distance(at[i] - step[i])
+            if np.abs(step).max() < TOLERANCE and goal > 0:
+                self.status, self.value = REACHED, at[i] - step[i]
+                return False
+            low = self._distance(self.inside[i])
+            high = self.outside if math.isfinite(self.outside) else 2 * max(here, low)
+            if low < goal < high and self.undecided < 2:
+                self.at = at - step
+                return True
+        if self.undecided or turn is None:
+            self.at = (self.inside + at) / 2  # towards a point that is known to be good
+            return True
+        low = self._distance(self.inside[i])
+        if math.isfinite(self.outside):
+            if self.outside - low < TOLERANCE:
+                self.status, self.value = REACHED, self.start + self.side * (low + self.outside) / 2
+                return False
+            goal = (low + self.outside) / 2
+        else:
+            goal = 2 * max(here, low)
+        moved = self.start + self.side * goal - at[i]
+        self.at = at.copy()
+        self.at[i] += moved
+        self.at[others] += turn[:, 0] - turn[:, 1] * moved
+        return True
+
+
+def _profile(terms: list[str], count: int, scales: list[float]) -> Steps:
+    """Odds ratio, limits and their status per term; scales: the usual size of each term's values."""
+    beta, best = yield from _maximum(len(terms))
     if count <= len(terms):
         raise NotConverged("not more rows than terms")
-    dispersion = pearson / (count - len(terms))
-    target = best - Z * Z * dispersion / 2
-    covariance = np.linalg.inv(information) * dispersion
-    ends = {
-        (i, side): beta + side * Z * covariance[:, i] / math.sqrt(covariance[i, i])
+    dispersion = best.pearson / (count - len(terms))
+    target = best.value - Z * Z * dispersion / 2
+    covariance = np.linalg.inv(best.information) * dispersion
+    limits = [
+        Limit(i, side, beta, Z * covariance[:, i] / math.sqrt(covariance[i, i]), best.value, target, FAR / (scales[i] or 1))
         for i in range(len(terms)) for side in (-1, 1)
-    }
-    reached: dict[tuple[int, int], float] = {}
+    ]
+    moving = limits
     for _ in range(MAX_STEPS):
-        if not ends:
+        if not moving:
             break
-        moved = {}
-        for (key, at), (value, gradient, information, _) in zip(
-                ends.items(), _likelihoods(patterns, terms, list(ends.values()))):
-            i, side = key
-            aim, slopes = gradient.copy(), -information.copy()
-            aim[i], slopes[i] = value - target, gradient
-            step = _solve(slopes, aim)
-            if step is None or np.abs(at).max() > FAR:
-                continue  # open
-            moved[key] = at - step
-            if np.abs(step).max() < TOLERANCE:
-                if side * (moved[key][i] - beta[i]) > 0:
-                    reached[key] = moved[key][i]
-                del moved[key]
-        ends = moved
-
-    def end(i: int, side: int) -> float | None:
-        return math.exp(reached[i, side]) if (i, side) in reached else None
-
-    return {term: (math.exp(beta[i]), end(i, -1), end(i, 1)) for i, term in enumerate(terms)}
+        points = yield [end.at for end in moving]
+        moving = [end for end, p in zip(moving, points) if end.move(p)]
+
+    def odds(end: Limit) -> float | None:
+        return None if end.value is None else math.exp(end.value)
+
+    return {
+        term: (math.exp(beta[i]), odds(limits[2 * i]), odds(limits[2 * i + 1]), limits[2 * i].status, limits[2 * i + 1].status)
+        for i, term in enumerate(terms)
+    }

@@ -303,6 +303,83 @@ def test_adjusted_limits_lie_on_the_profile(sample):
         assert 2 * (best - held) / phi == pytest.approx(Z2, rel=1e-6)
 
 
+def test_limits_that_stay_open_are_told_apart(spark):
+    """Nobody treated has the outcome: the estimate of the treatment runs away; of a covariate that almost
+    decides the outcome one limit is far and still reached."""
+    rows_ = [(0, float(i % 7), int(i % 3 == 0), 1.0) for i in range(90)] + [(1, float(i % 7), 0, 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows_, "t int, x double, y int, w double")
+    marked = outcomes.odds_ratio_adjusted(df, ["y"], "t", ["x"], "w", on_failure="mark").collect()
+    assert {(r.converged, r.ci_low_status, r.ci_high_status) for r in marked} == {(False, None, None)}
+    one = spark.createDataFrame([*rows_, (1, 3.0, 1, 0.02)], "t int, x double, y int, w double")  # hardly anybody
+    found = {r.term: r for r in outcomes.odds_ratio_adjusted(one, ["y"], "t", ["x"], "w").collect()}
+    assert (found["t"].ci_low, found["t"].ci_low_status, found["t"].ci_high_status) == (None, "open", "reached")
+    assert found["x"].ci_low_status == found["x"].ci_high_status == "reached"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_limits_of_skewed_models_lie_on_the_profile(seed):
+    """Few events and correlated covariates, where plain Newton steps leave the region: every limit
+    is checked by maximising over the other coefficients."""
+    own = np.random.default_rng(seed)
+    t = own.integers(0, 2, 60).astype(float)
+    x = np.exp(own.normal(0, 1.5, 60)) + t
+    y = (own.random(60) < 0.08 + 0.3 * (x > 4)).astype(float)
+    design, w = np.column_stack([np.ones(60), t, x]), own.uniform(0.2, 4, 60)
+
+    def point(beta):
+        eta = design @ beta
+        mu = 1 / (1 + np.exp(-eta))
+        v = w * mu * (1 - mu)
+        return outcomes.Point((w * (y * eta - np.logaddexp(0, eta))).sum(), design.T @ (w * (y - mu)), (design.T * v) @ design,
+                              ((w * (y - mu)) ** 2 / v).sum())
+
+    model = outcomes._profile(["c", "t", "x"], 60, [1.0, 0.7, 3.0])
+    asked, passes = next(model), 1
+    while True:
+        try:
+            asked = model.send([point(b) for b in asked])
+            passes += 1
+        except StopIteration as end:
+            found = end.value
+            break
+    assert passes < 45
+
+    def best(i, b):
+        beta, rest = np.zeros(3), [k for k in range(3) if k != i]
+        beta[i] = b
+        for _ in range(200):
+            p = point(beta)
+            step = np.linalg.solve(p.information[np.ix_(rest, rest)], p.gradient[rest])
+            size = 1.0
+            while size > 1e-12:
+                tried = beta.copy()
+                tried[rest] += size * step
+                if point(tried).value >= p.value:
+                    break
+                size /= 2
+            beta = tried
+        return p.value
+
+    full = np.array([math.log(found[k][0]) for k in ("c", "t", "x")])
+    top = point(full)
+    phi = top.pearson / 57
+    for i, term in enumerate(("c", "t", "x")):
+        for value, status in zip(found[term][1:3], found[term][3:]):
+            assert status == "reached"
+            assert 2 * (top.value - best(i, math.log(value))) / phi == pytest.approx(Z2, rel=1e-6)
+
+
+def test_adjusted_models_take_few_jobs(spark, sample):
+    df, _ = sample
+    two = df.withColumn("z", 1 - F.col("y"))
+    spark.sparkContext.setJobGroup("adjusted", "adjusted")
+    try:
+        outcomes.odds_ratio_adjusted(two, ["y", "z"], "t", ["x"], "w")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("adjusted")) < 40
+
+
 @pytest.fixture
 def separated(spark):
     """The outcome follows from x alone, and the treatment as well."""
