@@ -249,6 +249,7 @@ def study_flow(t):
 _BUILDERS: dict[str, Callable[[StudyTables], DataFrame]] = {
     "occurrence_intake": occurrence_intake,
     "person_sample": lambda t: intake.person_sample(t.person),
+    "person_sample_share": lambda t: intake.person_sample(t.person, 0.3),
     "concept_ids": lambda t: _ids(t, SETS.pcr_ag_tests, SETS.positive_results),
     "concept_indicator_map": concept_indicator_map,
     "merge_sheets": _sheet,

@@ -301,6 +301,8 @@ SELECTS = {
     "occurrence_intake": """select person_id, condition_start_date as date, condition_concept_id as concept_id
         from in_condition where condition_start_date is not null and person_id in (select person_id from base)""",
     "person_sample": "select * from people",
+    "person_sample_share": f"""select * from people
+        where cast('0x' || substr(md5('{N.SAMPLE_SEED}:' || person_id), 1, 8) as bigint) < floor(0.3 * 4294967296)""",
     "concept_ids": f"""select distinct concept_id from members
         where concept_set_name in ('{S.pcr_ag_tests}', '{S.positive_results}')""",
     "concept_indicator_map": "select * from map_condition",

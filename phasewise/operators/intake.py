@@ -10,7 +10,7 @@ PERSON_COLUMNS = [
     PERSON, "year_of_birth", "month_of_birth", "day_of_birth",
     "ethnicity_concept_name", "race_concept_name", "sex", "location_id", PARTNER,
 ]
-_BUCKETS = 1_000_000_000
+_BUCKETS = 1 << 32
 
 
 def dated_events(
@@ -63,12 +63,13 @@ def occurrence_intake(
 def person_sample(person: DataFrame, fraction: float = 1.0, seed: int = SAMPLE_SEED) -> DataFrame:
     """Distinct persons, or a fixed pseudo-random share of them.
 
-    The share is taken by a hash of the id: the same persons come out however the table
-    is partitioned, and all rows of a person stay together.
+    The share is taken by the first 32 bits of the MD5 of ``<seed>:<id>``: the same persons come out
+    however the table is partitioned and whatever engine takes it, and all rows of a person stay together.
     """
     people = person.withColumnRenamed("gender_concept_name", "sex").select(*PERSON_COLUMNS)
     if fraction < 1.0:
-        draw = F.pmod(F.xxhash64(PERSON, F.lit(seed)), F.lit(_BUCKETS))
+        digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(PERSON).cast("string")))
+        draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
         people = people.where(draw < F.lit(int(fraction * _BUCKETS)))
     return people.distinct()
 
