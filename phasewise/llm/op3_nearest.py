@@ -6,20 +6,24 @@ larger the product.  Every vector is projected on ``PROJECTIONS`` random directi
 values of each direction are kept sorted.  A query starts with a narrow window around its own
 value on every direction and widens all windows step by step (a wider window is a coarser hash,
 read off the same sorted array).  Vectors inside ``THRESHOLD`` of the windows are verified by
-their exact product.  Widening ends when a share ``VERIFIED`` of the vectors has been verified,
-or when the k-th best is so near that windows this wide would have met anything nearer.
+their exact product.  Widening ends only when the k-th best is so near that windows this wide would
+have met anything nearer (by ``MARGIN``), or when the windows have no end and all vectors are verified.
 
 The vectors are indexed in blocks of about ``BLOCK`` rows, all of them; queries meet every
-block in groups.  The best of each block are merged in stages, so no query gathers more than
-``k * MERGED`` rows in one step.
+block in groups of about ``QUERY_BLOCK``, which pass through its index one after the other.  The best of
+each block are merged in stages, so no query gathers more than ``k * MERGED`` rows in one step.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null
-id take no part.  Rows that share an id count once (their smallest vector).  Only vectors of
-equal length are compared.  Ties go to the smaller id.  Fewer candidates than k give all.
+id take no part.  Rows that share an id are vectors of their own: each is a candidate for all others, and
+each that asks gets its own answer.  Only vectors of equal length are compared.  The index works on vectors
+divided by a power of two near the largest component, so that no norm overflows; scores are those of the
+original vectors and can be infinite.  Ties go to the smaller id.  Fewer candidates than k give all.
+An empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +37,16 @@ from phasewise.llm.common import column, groups, tidy
 NEIGHBOURS = 20
 PROJECTIONS = 64
 THRESHOLD = 0.68
-VERIFIED = 0.1
 #: Half widths of the windows relative to the largest norm: the first, and the factor from one to the next.
 FIRST, WIDER, LEVELS = 0.8, 1.1, 14
 #: A normal value lies inside this many deviations with a probability of THRESHOLD.
 DEVIATIONS = 0.9945
 #: The k-th best ends the search if it is nearer by this factor than what the windows meet on average.
-MARGIN = 1.35
+MARGIN = 1.2
 ROUNDING = 1e-9
-BLOCK, QUERY_BLOCK, MERGED = 16_384, 512, 64
+BLOCK, QUERY_BLOCK, MERGED = 8_192, 8_192, 64
+#: Queries searched at once.
+ASKED_AT_ONCE = 256
 EVERY = 20
 
 
@@ -59,61 +64,64 @@ def directions(size: int) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors, self.largest = ids[order], vectors[order], largest
-        rest = np.sqrt(np.maximum(largest ** 2 - (self.vectors ** 2).sum(axis=1), 0))
+    """The vectors of a block: row numbers (of the table), ids and components, and their sorted projections.
+
+    largest: the largest norm of all vectors divided by ``unit``.
+    """
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, unit: float, largest: float):
+        order = np.lexsort((rows, ids))
+        self.rows, self.ids, self.vectors, self.largest = rows[order], ids[order], vectors[order], largest
+        self.scaled = self.vectors / unit
+        rest = np.sqrt(np.maximum(largest ** 2 - (self.scaled ** 2).sum(axis=1), 0))
         self.way = directions(vectors.shape[1] + 1)
-        values = np.hstack([self.vectors, rest[:, None]]) @ self.way
-        self.rows = np.argsort(values, axis=0).T.copy()
-        self.sorted = np.take_along_axis(values.T, self.rows, axis=1)
+        values = np.hstack([self.scaled, rest[:, None]]) @ self.way
+        self.places = np.argsort(values, axis=0).T.copy()
+        self.sorted = np.take_along_axis(values.T, self.places, axis=1)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query id, ids, scores) of the best found for each query."""
+    def search(self, asking: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row that asks, ids, scores) of the best found for each query."""
         n = len(self.ids)
-        scaled = queries * (self.largest / np.linalg.norm(queries, axis=1))[:, None]
-        centre = scaled @ self.way[:-1]
+        unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        centre = (unit * self.largest) @ self.way[:-1]
         half = self.largest * FIRST * WIDER ** np.arange(LEVELS)
         low = np.empty((LEVELS, *centre.shape), np.int32)
         high = np.empty_like(low)
         for p, values in enumerate(self.sorted):
             low[:, :, p] = np.searchsorted(values, centre[None, :, p] - half[:, None], side="left")
             high[:, :, p] = np.searchsorted(values, centre[None, :, p] + half[:, None], side="right")
-        enough = min(n, k + 1 + int(VERIFIED * n))
         least = THRESHOLD * PROJECTIONS
-        for q, (own, vector) in enumerate(zip(query_ids, queries)):
+        for q, (own, vector) in enumerate(zip(asking, queries)):
             counts = np.zeros(n, np.int64)
-            done = np.zeros(n, bool)
-            score = np.full(n, -np.inf)
+            done = self.rows == own  # its own row takes no part
+            score = np.full(n, -np.inf)  # products with the query of norm 1
             a0 = b0 = None
             for level in range(LEVELS + 1):
                 if level < LEVELS:
                     a, b = low[level, q], high[level, q]
                     if a0 is None:
-                        parts = [r[x:y] for r, x, y in zip(self.rows, a, b)]
+                        parts = [r[x:y] for r, x, y in zip(self.places, a, b)]
                     else:
-                        parts = [r[x:y] for r, x, y in zip(self.rows, a, a0)] + [r[x:y] for r, x, y in zip(self.rows, b0, b)]
+                        parts = [r[x:y] for r, x, y in zip(self.places, a, a0)] + [r[x:y] for r, x, y in zip(self.places, b0, b)]
                     a0, b0 = a, b
                     counts += np.bincount(np.concatenate(parts), minlength=n)
                     new = np.flatnonzero((counts >= least) & ~done)
                 else:
                     new = np.flatnonzero(~done)  # windows without end
                 done[new] = True
-                score[new] = np.einsum("ij,j->i", self.vectors[new], vector)
-                verified = np.count_nonzero(done)
-                if verified >= enough:
-                    break
-                if level < LEVELS and verified > k:
-                    kth = np.partition(score, -k - 1)[-k - 1] * self.largest / np.linalg.norm(vector)
+                score[new] = np.einsum("ij,j->i", self.scaled[new], unit[q])
+                if level < LEVELS and np.count_nonzero(done) > k:
+                    kth = np.partition(score, -k)[-k] * self.largest
                     if np.sqrt(max(2 * self.largest ** 2 - 2 * kth, 0)) * MARGIN <= half[level] / DEVIATIONS:
                         break
             # the nearest, and any within rounding of them, in one fixed order of summation
-            score[self.ids == own] = -np.inf
             last = np.partition(score, -k)[-k] if n > k else -np.inf
-            rows = np.flatnonzero((score >= last - ROUNDING * self.largest ** 2) & np.isfinite(score))
-            exact = (self.vectors[rows] * vector).sum(axis=1)
-            best = np.lexsort((self.ids[rows], -exact))[:k]
-            yield int(own), self.ids[rows[best]], exact[best]
+            near = np.flatnonzero((score >= last - ROUNDING * self.largest) & (score > -np.inf))
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = (self.vectors[near] * vector).sum(axis=1)
+            best = np.lexsort((self.ids[near], -exact))[:k]
+            yield int(own), self.ids[near[best]], exact[best]
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, id_column: str = "vec_id",
@@ -121,43 +129,52 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, id_column:
     """query_id, rank, vec_id and score of the k best found for each vector where ``queries`` (on ``_id``) holds."""
     rows = cut(vectors.select(column(id_column).cast("long").alias("_id"), column(vector_column).cast("array<double>").alias("_v"))
                .where(F.col("_id").isNotNull() & usable(F.col("_v")))
-               .groupBy("_id").agg(F.min("_v").alias("_v"))
+               .withColumn("_row", F.monotonically_increasing_id())
                .withColumn("_size", F.size("_v")).withColumn("_query", F.coalesce(queries, F.lit(False))))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    top = rows.agg(F.max(F.aggregate("_v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x))))).first()[0] or 1.0
+    unit = 2.0 ** math.frexp(top)[1] if math.frexp(top)[1] < 1024 else 2.0 ** 1023
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x / unit * (x / unit)))
     sizes = (rows.groupBy("_size").agg(F.max(norm).alias("_largest"), F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"),
                                        F.greatest(F.lit(1), F.ceil(F.count_if("_query") / QUERY_BLOCK)).cast("int").alias("_groups")))
     rows = rows.join(sizes, "_size")
-    block = F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")
-    group = F.pmod(F.xxhash64("_id", F.lit(1)), F.col("_groups")).cast("int")
+    block = F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int")
+    group = F.pmod(F.xxhash64("_row", F.lit(1)), F.col("_groups")).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    held = rows.select("_size", block.alias("_block"), every("_groups").alias("_group"), F.lit(0).alias("_asks"), "_id", "_v", "_largest")
-    asked = rows.where("_query").select("_size", every("_blocks").alias("_block"), group.alias("_group"), F.lit(1).alias("_asks"), "_id", "_v", "_largest")
+    last = ["_row", "_id", "_v", "_largest"]
+    held = rows.select("_size", block.alias("_block"), every("_groups").alias("_group"), F.lit(0).alias("_asks"), *last)
+    asked = rows.where("_query").select("_size", every("_blocks").alias("_block"), group.alias("_group"), F.lit(1).alias("_asks"), *last)
+
+    def vectors_of(batch: pa.Table, size: int) -> np.ndarray:
+        return np.vstack([c.flatten().to_numpy(zero_copy_only=False).reshape(-1, size) for c in batch["_v"].chunks])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (size, block_, _), own in groups(batches, 3):
-            asks = own["_asks"].to_numpy() == 1
-            if not asks.any() or asks.all():
-                continue
-            ids = own["_id"].to_numpy()
-            values = np.vstack([c.flatten().to_numpy(zero_copy_only=False).reshape(-1, size) for c in own["_v"].chunks])
-            index = Index(ids[~asks], values[~asks], own["_largest"][0].as_py())
-            for query, found, scores in index.search(ids[asks], values[asks], k):
-                if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(found), query)), pa.array(np.full(len(found), block_, np.int32)), pa.array(found), pa.array(scores)],
-                        names=["query_id", "part", "vec_id", "score"])
-
-    found = (held.union(asked).repartition("_size", "_block", "_group").sortWithinPartitions("_size", "_block", "_group")
-             .mapInArrow(tidy(run), "query_id long, part int, vec_id long, score double"))
+        index = now = None
+        for (size, block_, group_, asks), own in groups(batches, 4):  # a block's vectors come before the queries
+            if not asks:
+                now = (size, block_, group_)
+                index = Index(own["_row"].to_numpy(), own["_id"].to_numpy(), vectors_of(own, size), unit, own["_largest"][0].as_py())
+            elif now == (size, block_, group_):
+                for at in range(0, own.num_rows, ASKED_AT_ONCE):
+                    part = own.slice(at, ASKED_AT_ONCE)
+                    for row, found, scores in index.search(part["_row"].to_numpy(), vectors_of(part, size), k):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(found), row)), pa.array(np.full(len(found), block_, np.int32)), pa.array(found), pa.array(scores)],
+                            names=["row", "part", "vec_id", "score"])
+
+    by = ["_size", "_block", "_group"]
+    found = (held.union(asked).repartition(*by).sortWithinPartitions(*by, "_asks")
+             .mapInArrow(tidy(run), "row long, part int, vec_id long, score double"))
     parts = sizes.agg(F.max("_blocks")).first()[0] or 1
     order = [F.col("score").desc(), F.col("vec_id")]
     while parts > MERGED:
         parts = -(-parts // MERGED)
-        place = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))
+        place = F.row_number().over(Window.partitionBy("row", "part").orderBy(*order))
         found = (found.withColumn("part", F.floor(F.col("part") / MERGED).cast("int"))
                  .withColumn("place", place).where(F.col("place") <= k).drop("place"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(*order))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    asking = rows.where("_query").select(F.col("_row").alias("row"), F.col("_id").alias("query_id"))
+    return best.join(asking, "row").select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,8 @@ class Links:
     """Link counts and local representatives of the rows of one or two blocks."""
 
     def __init__(self, vectors: np.ndarray, weight: np.ndarray, cosine: float):
+        # by a power of two, which changes no cosine and keeps squares of tiny and huge numbers in range
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
         self.norm = np.linalg.norm(vectors, axis=1)
         self.vectors, self.unit = vectors, vectors / self.norm[:, None]
         self.weight, self.cosine = weight, cosine

@@ -142,34 +142,76 @@ def valid(v):
     return bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
+def neighbours(rows, chosen, k):
+    """Ids and scores of the k nearest of each row with a chosen id, in order of the rows."""
+    usable = [(i, np.array(v)) for i, _, v in rows if i is not None and valid(v)]
+    found = []
+    for n, (i, v) in enumerate(usable):
+        if chosen(i):
+            found.append((i, sorted((-float((v * w).sum()), j) for m, (j, w) in enumerate(usable) if m != n and len(w) == len(v))[:k]))
+    return found
+
+
+def answers(result):
+    """The rows of each answer as a list, for every query id (one list per row that asked)."""
+    found = {}
+    for r in result:
+        found.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+    return found
+
+
 def test_nearest(spark):
     rows, df = vectors(spark)
-    got = {}
-    for r in op3.nearest(df, F.col("_id") % 10 == 0, k=8).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    usable = [(i, np.array(v)) for i, _, v in rows if i is not None and valid(v)]
-    queries = [(i, v) for i, v in usable if i % 10 == 0]
-    assert set(got) == {i for i, _ in queries}
+    got = answers(op3.nearest(df, F.col("_id") % 10 == 0, k=8).collect())
+    truth = neighbours(rows, lambda i: i % 10 == 0, 8)
+    assert {i for i, _ in got} == {i for i, best in truth if best}
     recall = []
-    for i, v in queries:
-        best = sorted(((-float((v * w).sum()), j) for j, w in usable if j != i and len(w) == len(v)))[:8]
-        own = sorted(got[i])
-        assert [rank for rank, _, _ in own] == list(range(1, len(best) + 1))
-        assert [(-s, j) for _, j, s in own] == sorted((-s, j) for _, j, s in own)
-        truth = dict(usable)
-        assert all(abs(s - float((v * truth[j]).sum())) < 1e-9 for _, j, s in own)
-        recall.append(len({j for _, j in best} & {j for _, j, _ in own}) / len(best))
-    assert np.mean(recall) >= 0.9
+    for i, best in truth:
+        own = [got[i, k][0] for k in range(1, len(best) + 1)]
+        assert (i, len(best) + 1) not in got
+        assert [(-s, j) for j, s in own] == sorted((-s, j) for j, s in own)
+        recall.append(len({j for _, j in best} & {j for j, _ in own}) / max(1, len(best)))
+        assert all(abs(s + dict((j, t) for t, j in best).get(j, -s)) < 1e-9 for j, s in own)
+    assert np.mean(recall) >= 0.95
     assert op3.nearest(df.limit(0), F.col("_id") % 10 == 0).collect() == []
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_on_the_test_tables(spark, folder):
+    frame = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    table = [(r["vec_id"], None, r["embedding"]) for r in frame.collect()]
+    got = answers(op3.nearest(frame, F.col("_id") % 20 == 0).collect())
+    recall = []
+    for i, best in neighbours(table, lambda i: i % 20 == 0, 20):
+        own = {got[i, k][0][0] for k in range(1, 21)}
+        recall.append(len(own & {j for _, j in best}) / 20)
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.8
+
+
+def test_rows_with_one_id_are_candidates_of_each_other(spark):
+    frame = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.9, 0.1]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in op3.nearest(frame, F.col("_id") == 1, k=5).collect())
+    assert got == [(1, 1, 1, 0.9), (1, 1, 1, 0.9), (1, 1, 1, 0.9), (1, 2, 1, 0.82), (1, 2, 1, 0.82), (1, 2, 1, 0.9), (1, 3, 2, 0.0), (1, 3, 2, 0.1), (1, 3, 2, 0.1)]
+
+
+def test_huge_and_tiny_vectors(spark):
+    rows = [(1, 0, [1e-170, 0.0]), (2, 0, [2e-170, 0.0]), (3, 1, [1e200, 0.0]), (4, 1, [1e200, 1e190]), (5, 1, [0.0, 1e200]), (6, 2, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert [tuple(r)[:3] for r in op7.linked(frame).orderBy("vec_id").collect()] == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 0, 6)]
+    got = answers(op3.nearest(frame, F.col("_id") > 0, k=2).collect())
+    assert [got[3, 1][0], got[1, 1][0][0], got[6, 1][0]] == [(4, float("inf")), 3, (4, 1e200 + 1e190)]
+
+
 def test_nearest_merges_blocks_in_stages(spark, monkeypatch):
     monkeypatch.setattr(op3, "MERGED", 2)
-    _, df = vectors(spark, 3, 200)
+    rows, df = vectors(spark, 3, 200)
     monkeypatch.setattr(op3, "BLOCK", 30)
-    rows = op3.nearest(df, F.col("_id") % 20 == 0, k=5).collect()
-    assert {r["rank"] for r in rows} == {1, 2, 3, 4, 5}
-    assert len(rows) == len({(r["query_id"], r["rank"]) for r in rows})
+    monkeypatch.setattr(op3, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(op3, "ASKED_AT_ONCE", 2)
+    got = answers(op3.nearest(df, F.col("_id") % 20 == 0, k=5).collect())
+    recall = [len({j for _, j in best} & {got[i, k][0][0] for k in range(1, len(best) + 1)}) / max(1, len(best))
+              for i, best in neighbours(rows, lambda i: i % 20 == 0, 5)]
+    assert np.mean(recall) >= 0.95
 
 
 @pytest.mark.parametrize(("cosine", "block", "clusters", "size"), [(0.98, 2048, 12, 16), (0.98, 50, 12, 16), (0.9, 70, 3, 4), (0.7, 2048, 40, 3)])
