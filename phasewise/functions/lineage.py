@@ -5,7 +5,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from phasewise.functions import sizing
 
@@ -40,12 +40,17 @@ def cut(df: DataFrame, kept: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_observed(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+    """The same with aggregates of its rows, taken while it is written: no job for them."""
+    seen = Observation()
+    return cut(df.observe(seen, *[c.alias(name) for name, c in sums.items()])), seen.get
+
+
 def cut_bounded(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """The same, marked for broadcast if small; the bytes are summed while it is written."""
-    seen = Observation()
-    written = cut(df.observe(seen, F.sum(sizing.row_bytes(df)).alias("bytes")))
+    written, seen = cut_observed(df, bytes=F.sum(sizing.row_bytes(df)))
     limit = sizing.MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
-    return F.broadcast(written) if (seen.get["bytes"] or 0) <= limit else written
+    return F.broadcast(written) if (seen["bytes"] or 0) <= limit else written
 
 
 @contextmanager

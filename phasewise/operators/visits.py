@@ -18,6 +18,8 @@ from phasewise.names import (
 )
 
 VISIT_START = "visit_start_date"
+# What visits are compared with.
+INDEX_COLUMNS = [FIRST_LAB, FIRST_DX, INDEX]
 
 
 def visit_dedup(visits: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ MAX_SHEET_ROWS = 100_000
 class StudyCodes:
     """What every step needs to know about concepts.
 
-    ``roles`` and ``words`` have one row per concept (and domain) the study names; they are
-    written and counted once. ``sheet_rows`` is the sheet itself: it names the output columns.
+    ``roles`` and ``words`` have one row per concept (and domain) the study names, ``sources`` one
+    per source; they are written once and their sizes are known from the writing. ``sheet_rows`` is the sheet itself: it names the output columns.
     """
 
     sheet: DataFrame
@@ -57,6 +57,6 @@ def resolve_codes(tables: StudyTables, sets: CodeSets) -> StudyCodes:
         sheet_rows=rows,
         roles=cut_bounded(codesets.concept_roles(tables.concept_sets, sets.roles())),
         words=cut_bounded(codesets.indicator_words(pairs, indicators)),
-        sources=intake.source_manifest(tables.manifest),
+        sources=cut_bounded(intake.source_manifest(tables.manifest)),
         indicators=indicators,
     )

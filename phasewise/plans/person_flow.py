@@ -6,10 +6,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from phasewise import names
-from phasewise.functions import flags
+from phasewise.functions import flags, sizing
 from phasewise.functions.dates import plausible
-from phasewise.functions.lineage import cut, scratch
-from phasewise.functions.sizing import bounded
+from phasewise.functions.lineage import cut_observed, scratch
 from phasewise.names import BMI, DATE, DEATH, DOMAINS, DOSE, OBESITY, PERSON
 from phasewise.operators import (
     codesets, day_facts, deaths, demographics, domains, index_event, intake, summary, visits,
@@ -61,28 +60,59 @@ def counted_visits(tables: StudyTables, sources: DataFrame, windows: Windows) ->
     )
 
 
-def index_persons(tables: StudyTables, codes: StudyCodes, windows: Windows) -> DataFrame:
+@dataclass(frozen=True)
+class IndexPersons:
+    """Persons with an index date and what was seen while they were written.
+
+    ``near`` and ``ids`` are the same rows, and their ids, for joins with events: marked for
+    broadcast where their measured size allows it.
+    """
+
+    rows: DataFrame
+    near: DataFrame
+    ids: DataFrame
+    max_shift: int
+
+
+def index_group(tables: StudyTables, codes: StudyCodes, windows: Windows) -> IndexPersons:
     """Index dates with person and source columns, before anything derived from them.
 
     Written once: most later steps read it, and none should repeat the scan of the event
-    tables.
+    tables. Its bytes, rows and largest shift are aggregated on the way.
     """
     people = intake.person_sample(tables.person, windows.sample, windows.seed)
-    return cut(index_dates(tables, codes).join(people, PERSON).join(codes.sources, names.PARTNER))
+    found = index_dates(tables, codes).join(people, PERSON).join(codes.sources, names.PARTNER)
+    dates = found.select(PERSON, *visits.INDEX_COLUMNS, names.EXTRACTION)
+    rows, seen = cut_observed(found, rows=F.count(F.lit(1)), shift=F.max("shift_days"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        size = (seen["rows"] or 0) * (sizing.ROW_BYTES + sizing.VALUE_BYTES * len(df.columns))
+        return F.broadcast(df) if size <= sizing.MAX_BROADCAST_BYTES else df
+
+    return IndexPersons(rows, marked(rows.select(*dates.columns)), marked(rows.select(PERSON)), seen["shift"] or 0)
+
+
+def index_persons(tables: StudyTables, codes: StudyCodes, windows: Windows) -> DataFrame:
+    return index_group(tables, codes, windows).rows
 
 
 def build_cohort(
-    tables: StudyTables, persons: DataFrame, sources: DataFrame, windows: Windows
+    tables: StudyTables, persons: DataFrame, sources: DataFrame, windows: Windows, group: IndexPersons | None = None
 ) -> DataFrame:
-    """One row per person with an index date: dates, demographics, place, source, visit measures."""
-    max_shift = F.coalesce(persons.agg(F.max("shift_days")).scalar(), F.lit(0))
-    measures = visits.visit_measures(counted_visits(tables, sources, windows), persons)
-    places = bounded(intake.locations(tables.location))
+    """One row per person with an index date: dates, demographics, place, source, visit measures.
+
+    ``group`` tells what is known of the persons already.
+    """
+    if group is None:
+        max_shift = F.coalesce(persons.agg(F.max("shift_days")).scalar(), F.lit(0))
+    else:
+        max_shift = F.lit(group.max_shift)
+    measures = visits.visit_measures(counted_visits(tables, sources, windows), persons if group is None else group.near)
     described = demographics.age_at_index(demographics.date_of_birth(persons, windows.as_of, max_shift))
     grouped = demographics.race_ethnicity(demographics.race(described))
     return (
         grouped.join(measures, PERSON, "left")
-        .join(places, "location_id", "left")
+        .join(intake.locations(tables.location), "location_id", "left")
         .select(*names.COHORT_COLUMNS)
     )
 
@@ -135,20 +165,21 @@ def merged_days(
     codes: StudyCodes,
     death_days: DataFrame,
     windows: Windows,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """Every fact of every day, straight from the source rows.
 
     All sources are brought to one narrow row (person, day, indicator bits, body values) and
     merged by one aggregate: one shuffle, combined on the map side, in place of an aggregate
     per domain and a join between each two. Stay spans ride along; a day that only starts a
-    span has ``is_fact`` false.
+    span has ``is_fact`` false. ``ids``: the cohort's, where their size is known already.
     """
     indicators = codes.indicators
     body = [f"{part}_value" for part in domains.BODY_PARTS]
     no_body = [F.lit(None).cast("double").alias(b) for b in body]
     no_span = [F.lit(None).cast("date").alias(c) for c in day_facts.SPAN]
     fact = F.lit(True).alias("is_fact")
-    ids = intake.cohort_ids(cohort)
+    ids = intake.cohort_ids(cohort) if ids is None else ids
 
     def near(rows: DataFrame) -> DataFrame:
         return intake.early_cohort_filter(rows, ids)
@@ -196,6 +227,7 @@ def covered_days(
     codes: StudyCodes,
     death_days: DataFrame,
     windows: Windows,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """Merged days with the stay that covers each, indicators still as bits.
 
@@ -204,7 +236,7 @@ def covered_days(
     """
     by_day = Window.partitionBy(PERSON).orderBy(DATE)
     return (
-        merged_days(tables, cohort, codes, death_days, windows)
+        merged_days(tables, cohort, codes, death_days, windows, ids)
         .withColumns(day_facts.latest_span(by_day))
         .where(F.col("is_fact"))
         .select(PERSON, DATE, *flags.word_names(codes.indicators), BMI, OBESITY, *day_facts.covering())
@@ -231,6 +263,7 @@ def build_day_facts(
     linked: DataFrame,
     death_rows: DataFrame,
     windows: Windows,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """One row per cohort person and day, all indicators and flags.
 
@@ -242,7 +275,7 @@ def build_day_facts(
     words = flags.word_names(indicators)
     needed = [names.DEATH, day_facts.POSITIVE]
     days = covered_days(
-        tables, cohort, codes, plausible_death_days(death_rows, cohort, windows), windows
+        tables, cohort, codes, plausible_death_days(death_rows, cohort, windows), windows, ids
     ).select("*", *[flags.flag(indicators, c).alias(c) for c in needed])
     attached = day_facts.attach_person_dates(days, cohort, linked)
     flagged = day_facts.stay_flags(
@@ -276,11 +309,11 @@ class StudyResult:
 def run(tables: StudyTables, sets: CodeSets, windows: Windows) -> StudyResult:
     """Cohort, linked visits, deaths, day facts and person summary of a study."""
     codes = resolve_codes(tables, sets)
-    persons = index_persons(tables, codes, windows)
-    cohort = build_cohort(tables, persons, codes.sources, windows)
-    linked = linked_visits(tables, persons, codes, windows)
-    death_rows = death_table(tables, persons, codes, windows)
-    facts = build_day_facts(tables, persons, codes, linked, death_rows, windows)
+    group = index_group(tables, codes, windows)
+    cohort = build_cohort(tables, group.rows, codes.sources, windows, group)
+    linked = linked_visits(tables, group.near, codes, windows)
+    death_rows = death_table(tables, group.near, codes, windows)
+    facts = build_day_facts(tables, group.rows, codes, linked, death_rows, windows, group.ids)
     columns = summary.phase_column_lists(codes.sheet_rows, facts.columns)
     people = summary.person_summary(cohort, facts, linked, death_rows, columns)
     return StudyResult(codes, cohort, linked, death_rows, facts, people)
@@ -303,22 +336,22 @@ def write_outputs(tables: StudyTables, sets: CodeSets, windows: Windows, folder:
 
     with scratch(spark):
         codes = resolve_codes(tables, sets)
-        persons = index_persons(tables, codes, windows)
-        cohort = written("cohort", build_cohort(tables, persons, codes.sources, windows))
-        linked = written("linked", linked_visits(tables, persons, codes, windows))
-        death_rows = written("deaths", death_table(tables, persons, codes, windows))
-        facts = written("day_facts", build_day_facts(tables, persons, codes, linked, death_rows, windows))
+        group = index_group(tables, codes, windows)
+        cohort = written("cohort", build_cohort(tables, group.rows, codes.sources, windows, group))
+        linked = written("linked", linked_visits(tables, group.near, codes, windows))
+        death_rows = written("deaths", death_table(tables, group.near, codes, windows))
+        facts = written("day_facts", build_day_facts(tables, group.rows, codes, linked, death_rows, windows, group.ids))
         columns = summary.phase_column_lists(codes.sheet_rows, facts.columns)
         people = written("person_summary", summary.person_summary(cohort, facts, linked, death_rows, columns))
     return dict(zip(OUTPUTS, (cohort, linked, death_rows, facts, people)))
 
 
 def output_sizes(outputs: dict[str, DataFrame]) -> DataFrame:
-    """Per output table: rows, persons, and the sum of its person ids."""
-    return reduce(DataFrame.unionByName, [
-        df.agg(
-            F.lit(name).alias("output"), F.count("*").alias("n"), F.countDistinct(PERSON).alias("persons"),
-            F.coalesce(F.sum(PERSON), F.lit(0)).cast("long").alias("person_sum"),
-        )
-        for name, df in outputs.items()
-    ])
+    """Per output table: rows, persons, and the sum of its person ids; one aggregate over all of them."""
+    spark = next(iter(outputs.values())).sparkSession
+    # a row for every table, counted as none, so that an empty one is listed
+    named = spark.createDataFrame([(name, None, 0) for name in outputs], f"output string, {PERSON} long, rows int")
+    rows = [df.select(F.lit(name).alias("output"), F.col(PERSON).cast("long"), F.lit(1).alias("rows")) for name, df in outputs.items()]
+    return reduce(DataFrame.unionByName, [named, *rows]).groupBy("output").agg(
+        F.sum("rows").alias("n"), F.countDistinct(PERSON).alias("persons"), F.coalesce(F.sum(PERSON), F.lit(0)).alias("person_sum"),
+    )
