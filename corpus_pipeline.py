@@ -3,11 +3,15 @@
 Each stage takes what its predecessor kept, as written and read again: toxic documents go, one of
 each group of near duplicates stays, long repeated strings go from the texts, and the tokens of
 what is left are packed into sequences.  All but the last keep the columns of documents.
+
+Null and empty texts pass the first three stages (they score low, are near copies of nothing and hold no
+repeats) and pack as the closing token alone.  Repeated rows are near copies of each other: the near-duplicate stage keeps one
+row of each smallest doc_id.  Rows with a null doc_id are judged like others and stay.  Empty tables pass as empty ones, if
+the labels leave a model to be fitted.  Columns beyond those of documents stay until packing.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
     return op6_packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -135,9 +135,11 @@ def base_places(joined: str, phrases: tuple[tuple[str, str], ...]) -> list[tuple
     found = []
     for phrase, label in phrases:
         needle = f" {phrase} "
-        at = joined.find(needle)
+        at, counted, spaces = joined.find(needle), 0, 0
         while at >= 0:
-            found.append((joined.count(" ", 0, at + 1) - 1, label))
+            spaces += joined.count(" ", counted, at + 1)  # on from the last place
+            counted = at + 1
+            found.append((spaces - 1, label))
             at = joined.find(needle, at + 1)
     return sorted(found)
 
@@ -162,14 +164,21 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         joined = " " + b" ".join(words).decode("utf-8", "replace") + " "
         base = base_places(joined, phrases)
         spans = []
-        for label, start, end, edits in own.matches(joined):
+        counted = spaces = 0
+        for label, start, end, edits in sorted(own.matches(joined), key=lambda m: m[1]):
             while start < end and joined[start] == " ":
                 start += 1
             while end > start and joined[end - 1] == " ":
                 end -= 1
-            first = joined.count(" ", 0, start) - 1
+            if start < counted:  # a match that began with the space behind the last one's first word
+                spaces -= joined.count(" ", start, counted)
+            else:
+                spaces += joined.count(" ", counted, start)
+            counted = start
+            first = spaces - 1
             spans.append({"label": label, "first_word": first, "last_word": first + joined.count(" ", start, end),
                           "edits": edits, "score": 1 - edits / max(end - start, edits, 1)})
+        spans.sort(key=lambda s: (s["label"], s["first_word"], s["last_word"], s["edits"]))
         base_labels = {label for _, label in base}
         labels = base_labels | {s["label"] for s in spans}
         score = 1.0 if base else max([0.0, *(s.pop("score") for s in spans)])

@@ -73,7 +73,8 @@ INSIDE = frozenset("article main".split())
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "tokens", "own", "links", "points", "tags", "paragraphs", "scored", "label", "depth", "hidden", "in_p")
+    __slots__ = ("tag", "parent", "children", "tokens", "own", "links", "points", "tags", "paragraphs", "scored", "label", "depth", "hidden", "in_p",
+                 "above", "text")
 
     def __init__(self, tag: str, parent: Element | None, tokens: tuple[str, ...] = (), label: int = -1, hidden: bool = False):
         self.tag, self.parent, self.tokens, self.label, self.hidden = tag, parent, tokens, label, hidden
@@ -81,6 +82,8 @@ class Element:
         self.depth = parent.depth + 1 if parent else 0
         self.scored = tag in BLOCKS and tag not in PARTS or tag in INSTEAD or bool(tokens)
         self.in_p = tag == "p" or parent is not None and parent.in_p
+        # the nearest scored ancestor
+        self.above = None if parent is None else parent if parent.scored else parent.above
 
 
 def attributes(text: str) -> tuple[tuple[str, ...], int, bool]:
@@ -103,6 +106,15 @@ def attributes(text: str) -> tuple[tuple[str, ...], int, bool]:
 def parse(page: str) -> Element:
     root = Element("html", None)
     at, here, n = 0, root, len(page)
+    is_open: dict[str, int] = {}  # open elements below the root by tag
+
+    def leave(upto: Element) -> Element:
+        """``upto``, an open element, with all below it closed."""
+        walk = here
+        while walk is not upto:
+            is_open[walk.tag] -= 1
+            walk = walk.parent
+        return upto
 
     def close(node: Element, wanted: frozenset[str], until: frozenset[str]) -> Element:
         """The parent of the outermost open element of ``wanted`` below the nearest of ``until``."""
@@ -125,11 +137,11 @@ def parse(page: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            walk = here
-            while walk is not root and walk.tag != tag:
-                walk = walk.parent
-            if walk is not root:
-                here = walk.parent
+            if is_open.get(tag):
+                walk = here
+                while walk.tag != tag:
+                    walk = walk.parent
+                here = leave(walk.parent)
             continue
         if tag in ("html", "body"):
             if tag == "body" and here is root:
@@ -144,16 +156,17 @@ def parse(page: str) -> Element:
             here.children.append("\n")
             continue
         if tag in CLOSES_P and here.in_p:
-            here = close(here, frozenset({"p"}), frozenset({"td", "th", "button", "table"}))
+            here = leave(close(here, frozenset({"p"}), frozenset({"td", "th", "button", "table"})))
         if tag in IMPLIED:
-            here = close(here, *IMPLIED[tag])
+            here = leave(close(here, *IMPLIED[tag]))
         if here.tag == "head" and tag not in ("meta", "link", "base", "noscript", "template"):
-            here = here.parent
+            here = leave(here.parent)
         tokens, label, hidden = attributes(m[3])
         node = Element(tag, here, tokens, label, hidden)
         here.children.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             here = node
+            is_open[tag] = is_open.get(tag, 0) + 1
     return root
 
 
@@ -166,7 +179,7 @@ def measured(root: Element) -> list[Element]:
         while todo:
             node, done = todo.pop()
             if not done:
-                node.own = node.links = node.points = node.paragraphs = 0
+                node.own = node.links = node.points = node.paragraphs = node.text = 0
                 node.tags = 1
                 if node.tag in DROPPED or node.hidden:
                     node.children = []
@@ -180,9 +193,11 @@ def measured(root: Element) -> list[Element]:
                 if isinstance(c, str):
                     text = c.strip()
                     chars += len(text)
+                    node.text += len(text)
                     node.points += len(PUNCTUATION.findall(text)) if text else 0
                 else:
                     node.links += c.links
+                    node.text += c.text
                     node.points += c.points
                     node.tags += c.tags
                     node.paragraphs += c.paragraphs + (c.tag == "p")
@@ -190,31 +205,17 @@ def measured(root: Element) -> list[Element]:
                         chars += c.own
             node.own = chars  # text of this element and of inline elements in it that are not scored
             if node.tag == "a":
-                node.links = total(node)
+                node.links = node.text  # all of it, links in the link as well
     visit(root)
     return found
 
 
-def total(node: Element) -> int:
-    """Characters of text in a subtree."""
-    todo, chars = [node], 0
-    while todo:
-        for c in todo.pop().children:
-            if isinstance(c, str):
-                chars += len(c.strip())
-            else:
-                todo.append(c)
-    return chars
-
-
 def features(nodes: list[Element], odds: dict[str, float]) -> np.ndarray:
     """One row per scored element; parents come before their children."""
     chars: dict[int, int] = {}
     for node in reversed(nodes):  # children first
         chars[id(node)] = chars.get(id(node), 0) + node.own
-        up = node.parent
-        while up is not None and not up.scored:
-            up = up.parent
+        up = node.above
         if up is not None:
             chars[id(up)] = chars.get(id(up), 0) + chars[id(node)]
     above: dict[int, tuple] = {}
@@ -232,9 +233,7 @@ def features(nodes: list[Element], odds: dict[str, float]) -> np.ndarray:
     index: dict[int, int] = {}
     rows = []
     for k, node in enumerate(nodes):
-        up = node.parent
-        while up is not None and id(up) not in above:
-            up = up.parent
+        up = node.above
         low0, high0, out0, in0, tag0 = above[id(up)] if up is not None else (0.0, 0.0, 0, 0, 0)
         values = [odds[t] for t in node.tokens if t in odds]
         low, high = min(values, default=0.0), max(values, default=0.0)
@@ -258,12 +257,7 @@ def features(nodes: list[Element], odds: dict[str, float]) -> np.ndarray:
 def decoded(nodes: list[Element], logits: np.ndarray) -> set[int]:
     """Ids of the kept elements: the best set in which all ancestors of a kept one are kept."""
     worth: dict[int, float] = {}
-    ups: list[Element | None] = []
-    for node in nodes:
-        up = node.parent
-        while up is not None and not up.scored:
-            up = up.parent
-        ups.append(up)
+    ups = [node.above for node in nodes]
     for node, up, logit in zip(reversed(nodes), reversed(ups), reversed(logits.tolist())):
         own = worth.get(id(node), 0.0) + logit * (1 + node.own)
         worth[id(node)] = own
@@ -495,10 +489,17 @@ def extract(pages: DataFrame, model: Model, id_column: str = "page_id", url_colu
 
 
 def sample(pages: DataFrame, url_column: str = "url", html_column: str = "html", count: int = TRAIN_PAGES) -> list[str]:
-    """At most ``count`` pages, cut to TRAIN_CHARS, to fit on."""
-    rows = (pages.select(F.substring(column(html_column).cast("string"), 1, TRAIN_CHARS).alias("h"),
-                         F.xxhash64(column(url_column)).alias("k")).where("h is not null").orderBy("k", "h").limit(count))
-    return [r["h"] for r in rows.collect()]
+    """At most ``count`` pages of different urls, each cut to TRAIN_CHARS, to fit on.
+
+    The smallest hashes of urls are picked first; only pages with these are then read (the
+    smallest text, where a url has several).
+    """
+    key = F.xxhash64(column(url_column))
+    some = pages.where(column(html_column).isNotNull())
+    keys = [r["k"] for r in some.select(key.alias("k")).distinct().orderBy("k").limit(count).collect()]
+    rows = (some.where(key.isin(keys)).groupBy(key.alias("k"))
+            .agg(F.min(F.substring(column(html_column).cast("string"), 1, TRAIN_CHARS)).alias("h")).collect())
+    return [r["h"] for r in sorted(rows, key=lambda r: r["k"])]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

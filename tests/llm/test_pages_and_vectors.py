@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -128,6 +129,18 @@ def test_odd_pages(spark, model):
     assert op5.extract(pages.limit(0), model).collect() == []
 
 
+def test_unclosed_anchors_and_stray_ends_take_linear_time(model):
+    """Pages of old: anchors that are never closed, ends without a start, blocks deep inside unclosed inline elements."""
+    times = {}
+    for count in (5_000, 40_000):
+        for name, part in {"anchors": "<a name=x>word ", "ends": "</i><b>word ", "blocks": "<a name=x><p class=k>word</p>"}.items():
+            started = time.perf_counter()
+            assert "word" in model.texts(["<article><h1>title</h1><p>" + "some words of prose, and more. " * 20 + "</p>" + part * count + "</article>"])[0]
+            times[name, count] = time.perf_counter() - started
+    for name in ("anchors", "ends", "blocks"):
+        assert times[name, 40_000] < 30 * times[name, 5_000] + 0.5, times  # eight times the page
+
+
 def vectors(spark, seed=0, count=600, size=16, clusters=12):
     own = np.random.default_rng(seed)
     centres = own.standard_normal((clusters, size))

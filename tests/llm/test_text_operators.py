@@ -240,3 +240,17 @@ def test_toxicity_without_examples(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (None, 1), (7, 0)], "doc_id long, toxic int")
     assert len(op9.score(docs, op9.fit(docs, labels)).collect()) == 2
+
+
+def test_many_places_are_counted_once(spark):
+    """Word numbers of places count on from the place before, and equal those of a plain search."""
+    text = "The MIT license, and the apache license. " * 3000 + "mit license general public license"
+    (row,) = op10.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    words = [w.decode() for w in op10.words_of(text)]
+    places = [k for phrase, _ in op10.PHRASES for n in [phrase.split()] for k in range(len(words)) if words[k:k + len(n)] == n]
+    assert (row["n_base"], row["first_word"], row["last_word"]) == (len(places), min(places), max(places))
+    for span in row["spans"]:
+        assert 0 <= span["first_word"] <= span["last_word"] < len(words)
+    joined = " " + " ".join(words) + " "
+    for index, _ in op10.base_places(joined, op10.PHRASES)[::97]:
+        assert index in set(places)
