@@ -346,6 +346,20 @@ def _with_model(chosen) -> dict[str, str]:
     return before
 
 
+def _report(chosen) -> str:
+    """What a fit reports; covariates that follow from others are those left without a pivot."""
+    entries = " || ".join([
+        "['']", f"[{', '.join(repr(v) for v in chosen.numeric)}]::varchar[]",
+        *[f"(select list('{c}_' || l order by l) from (select distinct {c} as l from pop) where l > (select min({c}) from pop))"
+          for c in chosen.categorical]])
+    return _recursive(f"""select '{chosen.name}' as comparison, '{chosen.weight_treatment}' as treatment, count(*) as rows,
+            0::bigint as rows_left_out, min(pr_score) > 1e-8 and max(pr_score) < 1 - 1e-8 as converged,
+            coalesce((select string_agg(name, ',' order by at) from (
+                select unnest({entries}) as name, unnest(range(1, len(m) + 1)) as at, unnest(list_transform(m, lambda r, i: r[i])) as pivot
+                from solved_0 where step = len(m)) where pivot = 0), '') as aliased
+        from scores""", parts=_with_model(chosen))
+
+
 def _by_group(chosen) -> dict[str, str]:
     """Parts of a comparison whose score is the treated share of each group."""
     treat, (low, high) = chosen.weight_treatment, chosen.trim
@@ -372,6 +386,7 @@ def _comparisons() -> dict[str, str]:
         (plain, plain_select), (weighted, weighted_select) = (_odds(list(c.outcomes), w) for w in (False, True))
         found[f"outcomes_{c.name}{ending}"] = _recursive(
             f"select '{c.name}' as comparison, * from ({plain_select} union all {weighted_select})", plain, weighted, parts=own)
+    found["fit_reports"] = " union all ".join(f"select * from ({_report(c)})" for c in COMPARISONS)
     c = ONE_CATEGORY_COMPARISONS[1]
     own = _by_group(c)
     for table, key in {"description": "table_one", "description_weighted": "table_one_weighted", "differences": "smd",
