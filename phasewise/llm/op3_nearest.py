@@ -35,10 +35,10 @@ from phasewise.functions.lineage import cut
 from phasewise.llm.common import column, groups, tidy
 
 NEIGHBOURS = 20
-PROJECTIONS = 64
+PROJECTIONS = 48
 THRESHOLD = 0.68
 #: Half widths of the windows relative to the largest norm: the first, and the factor from one to the next.
-FIRST, WIDER, LEVELS = 0.8, 1.1, 14
+FIRST, WIDER, LEVELS = 0.8, 1.25, 7
 #: A normal value lies inside this many deviations with a probability of THRESHOLD.
 DEVIATIONS = 0.9945
 #: The k-th best ends the search if it is nearer by this factor than what the windows meet on average.
