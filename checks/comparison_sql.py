@@ -354,9 +354,9 @@ def _report(chosen) -> str:
           for c in chosen.categorical]])
     return _recursive(f"""select '{chosen.name}' as comparison, '{chosen.weight_treatment}' as treatment, count(*) as rows,
             0::bigint as rows_left_out, min(pr_score) > 1e-8 and max(pr_score) < 1 - 1e-8 as converged,
-            coalesce((select string_agg(name, ',' order by at) from (
-                select unnest({entries}) as name, unnest(range(1, len(m) + 1)) as at, unnest(list_transform(m, lambda r, i: r[i])) as pivot
-                from solved_0 where step = len(m)) where pivot = 0), '') as aliased
+            coalesce((select string_agg(name, ',' order by place) from (
+                select unnest({entries}) as name, unnest(range(1, len(m) + 1)) as place, unnest(list_transform(m, lambda r, i: r[i])) as own
+                from solved_0 where step = len(m)) where own = 0), '') as aliased
         from scores""", parts=_with_model(chosen))
 
 
