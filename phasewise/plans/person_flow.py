@@ -69,10 +69,22 @@ class IndexPersons:
     """
 
     rows: DataFrame
-    near: DataFrame
-    ids: DataFrame
+    count: int
     max_shift: int
 
+    def marked(self, df: DataFrame) -> DataFrame:
+        """A table with at most one row of fixed size for each of the persons, marked if that is small."""
+        size = self.count * (sizing.ROW_BYTES + sizing.VALUE_BYTES * len(df.columns))
+        return F.broadcast(df) if size <= sizing.MAX_BROADCAST_BYTES else df
+
+    @property
+    def near(self) -> DataFrame:
+        return self.marked(self.rows.select(PERSON, *visits.INDEX_COLUMNS, names.EXTRACTION))
+
+    @property
+    def ids(self) -> DataFrame:
+        return self.marked(self.rows.select(PERSON))
+
 
 def index_group(tables: StudyTables, codes: StudyCodes, windows: Windows) -> IndexPersons:
     """Index dates with person and source columns, before anything derived from them.
@@ -82,14 +94,8 @@ def index_group(tables: StudyTables, codes: StudyCodes, windows: Windows) -> Ind
     """
     people = intake.person_sample(tables.person, windows.sample, windows.seed)
     found = index_dates(tables, codes).join(people, PERSON).join(codes.sources, names.PARTNER)
-    dates = found.select(PERSON, *visits.INDEX_COLUMNS, names.EXTRACTION)
     rows, seen = cut_observed(found, rows=F.count(F.lit(1)), shift=F.max("shift_days"))
-
-    def marked(df: DataFrame) -> DataFrame:
-        size = (seen["rows"] or 0) * (sizing.ROW_BYTES + sizing.VALUE_BYTES * len(df.columns))
-        return F.broadcast(df) if size <= sizing.MAX_BROADCAST_BYTES else df
-
-    return IndexPersons(rows, marked(rows.select(*dates.columns)), marked(rows.select(PERSON)), seen["shift"] or 0)
+    return IndexPersons(rows, seen["rows"] or 0, seen["shift"] or 0)
 
 
 def index_persons(tables: StudyTables, codes: StudyCodes, windows: Windows) -> DataFrame:
@@ -103,11 +109,13 @@ def build_cohort(
 
     ``group`` tells what is known of the persons already.
     """
+    seen = counted_visits(tables, sources, windows)
     if group is None:
         max_shift = F.coalesce(persons.agg(F.max("shift_days")).scalar(), F.lit(0))
+        measures = visits.visit_measures(seen, persons)
     else:
         max_shift = F.lit(group.max_shift)
-    measures = visits.visit_measures(counted_visits(tables, sources, windows), persons if group is None else group.near)
+        measures = group.marked(visits.visit_measures(seen, group.near))
     described = demographics.age_at_index(demographics.date_of_birth(persons, windows.as_of, max_shift))
     grouped = demographics.race_ethnicity(demographics.race(described))
     return (
@@ -313,9 +321,10 @@ def run(tables: StudyTables, sets: CodeSets, windows: Windows) -> StudyResult:
     cohort = build_cohort(tables, group.rows, codes.sources, windows, group)
     linked = linked_visits(tables, group.near, codes, windows)
     death_rows = death_table(tables, group.near, codes, windows)
-    facts = build_day_facts(tables, group.rows, codes, linked, death_rows, windows, group.ids)
+    stays, dead = group.marked(linked), group.marked(death_rows)
+    facts = build_day_facts(tables, group.rows, codes, stays, death_rows, windows, group.ids)
     columns = summary.phase_column_lists(codes.sheet_rows, facts.columns)
-    people = summary.person_summary(cohort, facts, linked, death_rows, columns)
+    people = summary.person_summary(cohort, facts, stays, dead, columns)
     return StudyResult(codes, cohort, linked, death_rows, facts, people)
 
 
@@ -340,9 +349,10 @@ def write_outputs(tables: StudyTables, sets: CodeSets, windows: Windows, folder:
         cohort = written("cohort", build_cohort(tables, group.rows, codes.sources, windows, group))
         linked = written("linked", linked_visits(tables, group.near, codes, windows))
         death_rows = written("deaths", death_table(tables, group.near, codes, windows))
-        facts = written("day_facts", build_day_facts(tables, group.rows, codes, linked, death_rows, windows, group.ids))
+        stays, dead = group.marked(linked), group.marked(death_rows)
+        facts = written("day_facts", build_day_facts(tables, group.rows, codes, stays, death_rows, windows, group.ids))
         columns = summary.phase_column_lists(codes.sheet_rows, facts.columns)
-        people = written("person_summary", summary.person_summary(cohort, facts, linked, death_rows, columns))
+        people = written("person_summary", summary.person_summary(cohort, facts, stays, dead, columns))
     return dict(zip(OUTPUTS, (cohort, linked, death_rows, facts, people)))
 
 
