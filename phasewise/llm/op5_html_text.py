@@ -373,20 +373,27 @@ def layout(own: random.Random, texts: list[str]) -> str:
             inner = tag("h3", 0, "Comments") + "".join(
                 tag(own.choice(("div", "li", "article")), 0, paragraphs(0, 1, 3), named(own, BAD_NAMES["comments"])) for _ in range(own.randint(1, 5)))
         elif kind == "footer":
-            inner = f"&copy; {own.choice(texts)[:60]}" if own.random() < 0.5 else paragraphs(0, 1, 2, 120) + menu("nav")
+            inner = f"&copy; {own.choice(texts)[:own.choice((60, 160))]}" if own.random() < 0.5 else paragraphs(0, 1, 2, 120) + menu("nav")
         elif kind == "side":
             inner = tag("h3", 0, own.choice(texts)[:30]) + (menu("side") if own.random() < 0.5 else paragraphs(0, 1, 4, 200))
         else:
             inner = own.choice(texts)[:200] if own.random() < 0.5 else paragraphs(0, 1, 3, 250)
         return tag(name, 0, inner, extra)
 
+    def table() -> str:
+        cells = own.randint(2, 4)
+        rows = ["".join(tag(own.choice(("td", "td", "th")), 1, own.choice(texts)[:own.choice((5, 25))]) for _ in range(cells)) for _ in range(own.randint(2, 5))]
+        return tag("table", 1, "".join(tag("tr", 1, r) for r in rows))
+
     title = own.choice(texts)[:80]
-    parts = [paragraphs(1, 1, 1)]
-    for _ in range(own.randint(1, 10)):
+    # an article can be shorter than what stands around it
+    short = own.random() < 0.12
+    parts = [tag("p", 1, own.choice(texts)[:own.choice((15, 40))]) if short else paragraphs(1, 1, 1)]
+    for _ in range(0 if short else own.randint(1, 10)):
         parts.append(own.choices(
             (paragraphs(1, 1, 4), tag(own.choice(("h2", "h3")), 1, own.choice(texts)[:50]),
              tag(own.choice(("ul", "ol")), 1, "".join(tag("li", 1, t[:own.choice((20, 150))]) for t in some(2, 8))),
-             tag("blockquote", 1, paragraphs(1, 1, 2)), bad(own.choice(("ad", "share", "notice", "side", "form")))), (8, 2, 1, 1, 1.5))[0])
+             table(), tag("blockquote", 1, paragraphs(1, 1, 2)), bad(own.choice(("ad", "share", "notice", "side", "form")))), (8, 2, 2, 1, 1, 1.5))[0])
     if own.random() < 0.3:
         parts.append(bad("comments"))
     head = tag("h1", 1, title)

@@ -83,11 +83,33 @@ def test_made_up_layouts(model):
     good = 0
     for _ in range(60):
         page = op5.layout(own, texts)
-        wanted = [" ".join(t.split()) for t in re.findall(r"<(?:p|h1|h2|h3|li|div) data-made-label=1>([^<]+)<", page)]
+        wanted = [" ".join(t.split()) for t in re.findall(r"<(?:p|h1|h2|h3|li|div|td|th) data-made-label=1>([^<]+)<", page)]
         good += model.texts([page.replace(" data-made-label=1", "").replace(" data-made-label=0", "")])[0] == "\n\n".join(wanted)
     assert good >= 50
 
 
+def test_lists_and_tables_of_an_article_stay(model):
+    """Elements and lengths that the pages of the test tables do not have; the article is shorter than what is around it once."""
+    menu = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+    footer = "<footer>&copy; bakers &middot; all rights reserved everywhere, and in every way that there is</footer>"
+    inner = ("<h1>On bread</h1><p>Bread is made of flour and water, and rises slowly.</p><ul><li>first point of the recipe</li><li>second point</li></ul>"
+             "<table><tr><td>flour</td><td>500 g</td></tr><tr><td>water</td><td>300 g</td></tr></table><p>Bake it for an hour in a hot oven.</p>")
+    comments = '<div class="comments"><p>I like this bread a lot, thank you.</p><p>Me too, it is good.</p></div>'
+    wanted = ["On bread", "Bread is made of flour and water, and rises slowly.", "first point of the recipe", "second point", "flour", "500 g",
+              "water", "300 g", "Bake it for an hour in a hot oven."]
+    for name, end in (("article", "article"), ("main", "main"), ('div class="post"', "div")):
+        page = f"<html><body>{menu}<{name}>{inner}</{end}>{comments}{footer}</body></html>"
+        assert model.texts([page])[0] == "\n\n".join(wanted)
+    assert model.texts([f"<html><body>{menu}<article><h1>On bread</h1><p><b>Soon.<br></article>{footer}</body></html>"])[0] == "On bread\n\nSoon."
+
+
+def test_all_pages_of_the_larger_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    wanted = {r["page_id"]: main_text(r["html"]) for r in pages.collect()}
+    rows = op5.extract(pages, op5.fit(op5.sample(pages))).collect()
+    assert sum(r["text"] != wanted[r["page_id"]] for r in rows) == 0
+
+
 ODD_PAGES = {
     None: "", "": "", "plain & simple": "plain & simple", "<p>open <i>x": "open x", "<<>><p>a</p": "<<>>\n\na</p",
     "<script>var a='<p>no</p>'</script><style>p{}</style><main><p>x &lt;b&gt;  y</p></main>": "x <b> y", "<!-- a <p> b --><p>c</p>": "c",
