@@ -414,6 +414,17 @@ def test_separated_models_give_no_estimate(separated):
     assert found.scored.where("pr_score is not null").count() == 0
 
 
+def test_dependent_covariates_change_no_score(sample):
+    """A constant, a copy and a sum of others get no coefficient; the scores are those without them, to the last digits."""
+    df, _ = sample
+    more = df.withColumns({"one": F.lit(3.0), "twice": 2 * F.col("x") - 1, "f2": F.col("f").cast("string")})
+    plain = propensity.fit(df, "t", ["x"], ["c"])
+    found = propensity.fit(more, "t", ["x", "one", "twice"], ["c"])
+    assert found.report.first().aliased == "one,twice" and plain.report.first().aliased == ""
+    a, b = ({r.id: r.pr_score for r in x.scored.select("id", "pr_score").collect()} for x in (plain, found))
+    assert max(abs(a[i] - b[i]) for i in a) < 1e-12
+
+
 def test_rows_left_out_are_counted(sample):
     df, _ = sample
     holes = df.withColumn("x", F.when(F.col("id") >= 10, F.col("x")))
