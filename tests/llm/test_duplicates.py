@@ -216,4 +216,4 @@ def test_pipeline(spark):
 
 
 def test_queries_are_registered():
-    assert len(queries.queries()) == 11 and set(queries.statements()) <= set(queries.queries())
+    assert len(queries.queries()) == 14 and set(queries.statements()) <= set(queries.queries())
