@@ -41,11 +41,15 @@ def concept_roles(concept_sets: DataFrame, roles: dict[str, str]) -> DataFrame:
 
 
 def concept_indicator_map(concept_sets: DataFrame, sheet: DataFrame, domain: str) -> DataFrame:
-    """(concept, indicator) pairs the sheet asks for in one domain."""
+    """(concept, indicator) pairs the sheet asks for in one domain.
+
+    The members meet the sheet where they are: it is the sheet that is sent to them, never the
+    members, whose number grows, to the sheet.
+    """
     wanted = sheet.where(F.col("domain").contains(domain)).select(SET_NAME, INDICATOR)
     return (
         current_members(concept_sets)
-        .join(wanted, SET_NAME)
+        .join(bounded(wanted), SET_NAME)
         .select(CONCEPT, INDICATOR)
         .distinct()
     )
@@ -70,7 +74,7 @@ def domain_indicator_map(concept_sets: DataFrame, sheet: DataFrame, domains: lis
     wanted = sheet.select(SET_NAME, INDICATOR, F.explode(F.array_compact(named)).alias("domain"))
     return (
         current_members(concept_sets)
-        .join(wanted, SET_NAME)
+        .join(bounded(wanted), SET_NAME)
         .select("domain", CONCEPT, INDICATOR)
         .distinct()
     )

@@ -57,6 +57,23 @@ def test_pivot_without_broadcast_gives_the_same(frame, monkeypatch):
     assert rows(domains.indicator_pivot(events, cohort, pairs, ["x", "y"])) == small
 
 
+@pytest.mark.parametrize("domains_asked", ["drug", ["drug", "device"]])
+def test_the_sheet_goes_to_the_members_not_the_members_to_the_sheet(spark, frame, tmp_path, domains_asked):
+    """The members grow with the study; a sheet made of collected rows has no size Spark knows."""
+    members = frame("concept_set_name string, concept_id int, is_most_recent_version string",
+                    ("A", 1, "true"), ("A", 2, "true"), ("A", 3, "false"), ("B", 1, "true"), ("C", 9, "true"), (None, 5, "true"))
+    members.write.parquet(f"{tmp_path}/members")
+    sheet = frame("concept_set_name string, indicator_prefix string, domain string",
+                  ("A", "a", "drug,device"), ("A", "a", "drug"), ("B", "b", "drug"), ("C", "c", None), (None, "d", "drug"))
+    one = isinstance(domains_asked, str)
+    mapped = codesets.concept_indicator_map if one else codesets.domain_indicator_map
+    found = mapped(spark.read.parquet(f"{tmp_path}/members"), sheet, domains_asked)
+    drug = [(1, "a"), (1, "b"), (2, "a")]
+    assert rows(found) == (drug if one else sorted([("drug", *r) for r in drug] + [("device", 1, "a"), ("device", 2, "a")]))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan
+
+
 def test_labs_keep_days_without_flags(frame, roles):
     meas = frame(MEAS, (1, "01-01", 1, 8, None), (1, "01-01", 2, 9, None), (1, "01-02", 77, 8, None),
                  (1, "01-03", 1, None, None))
